@@ -6,26 +6,29 @@ c(b) = ceil(t * b) shingles, so
 
 * a light set (up to ``boundary`` shingles) enumerates all its subsets of the fixed sizes
   c(b) of its possible partners: linked sets share one;
-* a heavy set is entered in inverted lists. Sizes are cut into bands no wider than the
-  threshold allows, and in each band the universe of shingles is dealt by hash into more
+* a heavy set is entered in inverted lists. Sizes are cut into bands, and in each band the universe of shingles is dealt by hash into more
   segments than linked sets can have differences: by the pigeonhole principle they agree
   on a segment, and the list of that segment's content holds both. A set stands in the
-  lists of its own band and of the next. Lists of single shingles would be as long as a
+  lists of its own band and, if it can have partners there, of the next. Lists of single shingles would be as long as a
   shared passage is common; segments hold about six shingles, so only near copies meet.
 
 The boundary is where enumerating costs as much as the lists (``light_boundary``).
 
-Every pair that shares a key is in the group of that list's smallest class. Groups are
-verified in blocks on the full sets, exactly; inside a block a comparison is skipped only
-if both ends are already known to be linked through verified links, which cannot change
-components. Groups of several blocks are settled by a second pass over pairs of blocks
-with more than one component left. Components then come from the verified links.
-
-Scale. What is shuffled are 64-bit keys, about a third as many as shingles, then the
-(group, class) pairs that share one, and the sets of those classes only. A list holds at
-most one entry a class, and a set spreads over as many lists as it has segments, so a
-family that a third of the documents belong to is spread over many tasks. No list or
-group is gathered in one task beyond a block of ``BLOCK`` sets. Whole texts are used.
+Every pair that shares a key is in the group of that list's smallest class. Groups are cut
+into blocks and compared by pairs of blocks, first on parity sketches: the bits in which
+the sketches of two sets differ are at most as many as their differences, so a pair with
+too many is no link, for certain. A first round verifies, on the full sets, a spanning
+forest of the pairs that remain. Where members of a group that might link are not
+connected by verified links, later rounds verify the likeliest pairs between each two
+components, more each round, until none is left out. All pairs that could still change a
+component are verified, but the pairs within a family of copies are never expanded.
+
+Scale. What is shuffled are 64-bit keys, about a third as many as shingles, once, then the
+(group, class) pairs that share one with sketches of four bits a shingle, and the full
+sets of classes that have a pair left. A list holds at most one entry a class and a set
+spreads over as many lists as it has segments, so a family that a third of the documents
+belong to is spread over many tasks. No list or group is gathered in one task beyond two
+blocks of ``BLOCK`` sketches. Whole texts are used.
 
 Defined results. A text that is null or has no words has an empty set and links with
 nothing. Rows of equal sets, repeated rows among them, are linked. A null doc_id takes
@@ -41,7 +44,6 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,9 +54,14 @@ from trellium.llm.scratch import Stored, store
 
 U = np.uint64
 BLOCK = 512
+#: Bits of a sketch per shingle, and pairs verified between two components by round.
+SKETCH = 4
+ROUNDS = (4, 64, 1024, 1 << 40)
 #: What reading a list and verifying what it brings is worth, in keys.
 LIST_COST = 48
 MAX_LIGHT = 24
+#: Wider bands have more segments, but fewer sets that also stand in the next one.
+BAND = 1.6
 MAX_BITS = 1 << 23
 
 
@@ -88,7 +95,7 @@ def bands(rule: Rule, first: int, upto: int) -> list[tuple[int, int, int]]:
     """(largest size, segments, spare segments) of the bands of heavy sets from ``first`` on."""
     out, low = [], first
     while True:
-        top = rule.partner(low)
+        top = max(rule.partner(low), int(BAND * low))
         apart = (rule.den - rule.num) * 2 * top // (rule.den + rule.num)
         spare = 1 + apart // 32
         out.append((top, apart + spare, spare))
@@ -193,7 +200,10 @@ def _digest(rule: Rule):
                 tokens, bounds = shingle_sets(part.column(2), rule.n)
                 sizes = np.diff(bounds)
                 sig = pa.array(signatures(tokens, bounds).view(np.int64), mask=sizes == 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), sig], names=["doc_id", "k", "n", "sig"])
+                held = pa.array(sketches(tokens, bounds), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(sizes), sig, held], names=["doc_id", "k", "n", "sig", "sketch"]
+                )
 
     return run
 
@@ -202,7 +212,7 @@ def _entries(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for a, b in texts.slices(batch.column(0), 2 << 20):
+            for a, b in texts.slices(batch.column(0)):
                 tokens, bounds = shingle_sets(batch.column(0).slice(a, b - a), rule.n)
                 sig = signatures(tokens, bounds).view(np.int64)
                 if len(seen) > 100_000:
@@ -221,81 +231,154 @@ def _entries(rule: Rule):
 def _sets(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in texts.slices(batch.column(1), 2 << 20):
-                tokens, bounds = shingle_sets(batch.column(1).slice(a, b - a), rule.n)
+            for a, b in texts.slices(batch.column(0)):
+                tokens, bounds = shingle_sets(batch.column(0).slice(a, b - a), rule.n)
                 held = [tokens[bounds[d] : bounds[d + 1]].tobytes() for d in range(b - a)]
                 sig = pa.array(signatures(tokens, bounds).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sig, pa.array(held, pa.binary())], names=["k", "v", "tokens"])
+                yield pa.RecordBatch.from_arrays([sig, pa.array(held, pa.binary())], names=["v", "tokens"])
 
     return run
 
 
-class _Forest:
-    """Union-find over members 0 to n - 1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def sketches(tokens: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Of each set the parities of its shingles in at least SKETCH bits a shingle, a power of two."""
+    sizes = np.diff(bounds)
+    words = 1 << np.ceil(np.log2(np.maximum(sizes * SKETCH / 64, 1))).astype(np.int64)
+    start = np.concatenate([[0], np.cumsum(words)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    spot = texts.mix(tokens ^ U(0x2545F4914F6CDD1D))
+    at = start[owner] + ((spot >> U(6)) & (words[owner] - 1).astype(U)).astype(np.int64)
+    out = np.zeros(int(start[-1]), U)
+    np.bitwise_xor.at(out, at, U(1) << (spot & U(63)))
+    return [out[a:b].tobytes() for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
+
+
+def _apart(rule: Rule, held: list[bytes], sizes: np.ndarray, side: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, differing bits) of the pairs that may be links, of different sides and components."""
+    words = min(len(x) for x in held) // 8
+    table = np.array([np.bitwise_xor.reduce(np.frombuffer(x, U).reshape(-1, words), axis=0) for x in held])
+    mixed = bool((side != side[0]).any())
+    out = []
+    for i in range(1, len(held)):
+        both = sizes[:i] + sizes[i]
+        most = both - 2 * (-(-rule.num * both // (rule.num + rule.den)))
+        fits = np.minimum(sizes[:i], sizes[i]) * rule.den >= np.maximum(sizes[:i], sizes[i]) * rule.num
+        fits &= comp[:i] != comp[i]
+        if mixed:
+            fits &= side[:i] != side[i]
+        at = np.flatnonzero(fits)
+        if len(at):
+            bits = np.bitwise_count(table[at] ^ table[i]).sum(axis=1).astype(np.int64)
+            near = bits <= most[at]
+            out.append((np.full(int(near.sum()), i), at[near], bits[near]))
+    if not out:
+        none = np.empty(0, np.int64)
+        return none, none, none
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _forest(n: int, i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs, likeliest first."""
+    up = list(range(n))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for k in np.lexsort((j, i, bits)).tolist():
+        a, b = root(int(i[k])), root(int(j[k]))
+        if a != b:
+            up[a] = b
+            out.append((int(i[k]), int(j[k])))
+    return out
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
 
-    def join(self, i: int, j: int) -> None:
-        self.up[self.root(i)] = self.root(j)
+def _likeliest(comp: np.ndarray, i: np.ndarray, j: np.ndarray, bits: np.ndarray, most: int) -> tuple[np.ndarray, bool]:
+    """The pairs to verify, up to ``most`` between two components, and whether that left any out."""
+    low, high = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+    order = np.lexsort((j, i, bits, high, low))
+    new = np.ones(len(order), bool)
+    new[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    kept = np.arange(len(order)) - first < most
+    return order[kept], not bool(kept.all())
 
 
-def verified_links(sets: list[np.ndarray], rule: Rule, groups: list[int] | None = None, sides: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that connect exactly what the pairs of ``sets`` connect.
+def _candidates(rule: Rule, most: int):
+    """Over rows sorted by group (r, i, j): pairs u, v to verify; ``most`` 0 asks for forests.
 
-    ``groups``: what is known to be connected already; ``sides``: pairs of one side are
-    left out, as they were compared before.
+    A row of u = v tells that pairs were left out. Groups are no larger than two blocks.
     """
-    n = len(sets)
-    forest, out = _Forest(n), []
-    first: dict[int, int] = {}
-    for i, g in enumerate(groups or range(n)):
-        if g in first:
-            forest.join(i, first[g])
-        first.setdefault(g, i)
-    members: dict[int, list[int]] = {}
-    for i in range(n):
-        a = sets[i]
-        mine = forest.root(i)
-        for other in list(members):
-            if other == forest.root(i) or other not in members:
-                continue
-            for j in members[other]:
-                if sides is not None and sides[i] == sides[j]:
-                    continue
-                b = sets[j]
+
+    def of_group(v, n, side, comp, held) -> Iterator[tuple[int, int]]:
+        v, first = np.unique(v, return_index=True)
+        if len(v) < 2:
+            return
+        n, side, comp = n[first], side[first], comp[first]
+        held = [held[x] for x in first.tolist()]
+        i, j, bits = _apart(rule, held, n, side, comp)
+        if not len(i):
+            return
+        if most == 0:
+            for a, b in _forest(len(v), i, j, bits):
+                yield int(v[a]), int(v[b])
+            return
+        chosen, left_out = _likeliest(comp, i, j, bits, most)
+        for k in chosen.tolist():
+            yield int(v[i[k]]), int(v[j[k]])
+        if left_out:
+            yield int(v[0]), int(v[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            waiting = now if waiting is None else pa.concat_tables([waiting, now])
+            yield from groups(waiting, False)
+            waiting = rest(waiting)
+        if waiting is not None and waiting.num_rows:
+            yield from groups(waiting, True)
+
+    def edges_of(table: pa.Table) -> np.ndarray:
+        r, i, j = (table.column(c).to_numpy() for c in ("r", "i", "j"))
+        return np.flatnonzero((r[1:] != r[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+
+    def rest(table: pa.Table) -> pa.Table:
+        ends = edges_of(table)
+        return table.slice(int(ends[-1])) if len(ends) else table
+
+    def groups(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        ends = edges_of(table).tolist()
+        stops = ends + ([table.num_rows] if last else [])
+        if not stops:
+            return
+        v, n, side, comp = (table.column(c).to_numpy() for c in ("v", "n", "b", "comp"))
+        held = table.column("sketch").to_pylist()
+        found: list[tuple[int, int]] = []
+        for a, b in zip([0, *stops], stops, strict=False):
+            found.extend(of_group(v[a:b], n[a:b], side[a:b], comp[a:b], held[a:b]))
+        if found:
+            u, w = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(w, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _verified(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(a.as_py(), U), np.frombuffer(b.as_py(), U)
                 small, large = (a, b) if len(a) <= len(b) else (b, a)
-                if rule.partner(len(small)) < len(large):
-                    continue
                 at = np.searchsorted(large, small)
                 at[at == len(large)] = 0
-                if rule.linked(int((large[at] == small).sum()), len(small), len(large)):
-                    out.append((i, j))
-                    mine = forest.root(i)
-                    forest.join(i, j)
-                    new = forest.root(i)
-                    merged = members.pop(other, []) + (members.pop(mine, []) if mine != other else [])
-                    members.setdefault(new, []).extend(merged)
-                    break
-        members.setdefault(forest.root(i), []).append(i)
-    return out
-
-
-def _verify(rule: Rule):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("v").sort_values("v")
-        v = rows["v"].to_numpy()
-        sets = [np.frombuffer(t, U) for t in rows["tokens"]]
-        comp = rows["comp"].tolist() if "comp" in rows else None
-        side = rows["b"].tolist() if "comp" in rows else None
-        links = verified_links(sets, rule, comp, side)
-        return pd.DataFrame({"u": [v[i] for i, _ in links], "v": [v[j] for _, j in links]}, dtype="int64")
+                keep.append(rule.linked(int((large[at] == small).sum()), len(a), len(b)))
+            kept = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["u", "v"])
 
     return run
 
@@ -306,53 +389,89 @@ def row_key():
 
 def _members(docs: DataFrame, rule: Rule) -> DataFrame:
     """r, v: the classes of each group of lists with the same smallest class."""
-    entries = docs.select("text").mapInArrow(_entries(rule), "key long, v long").repartition("key")
-    lists = entries.groupBy("key").agg(F.min("v").alias("r"), F.max("v").alias("x")).where("r <> x").select("key", "r")
-    return entries.join(lists, "key").where("v <> r").select("r", "v").distinct()
+    entries = docs.select("text").mapInArrow(_entries(rule), "key long, v long")
+    # the join tests both for null; stated for both readers, one exchange serves them
+    dealt = entries.where("key is not null and v is not null").repartition("key")
+    lists = dealt.groupBy("key").agg(F.min("v").alias("r"), F.max("v").alias("x")).where("r <> x").select("key", "r")
+    return dealt.join(lists, "key").where("v <> r").select("r", "v").distinct()
 
 
 def _class_sets(docs: DataFrame, base: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """v, tokens of the classes in ``wanted``, from one row of each."""
-    need = base.where("sig is not null").groupBy(F.col("sig").alias("v")).agg(F.min("k").alias("k")).join(wanted, "v", "left_semi")
-    held = store(need, "classes")
-    count = held.df.count()
+    """v, tokens of the classes in ``wanted``, and of few others; of repeated rows repeated."""
+    classes = base.where("sig is not null").groupBy(F.col("sig").alias("v")).agg(F.min("k").alias("k"))
+    need = store(classes.join(wanted, "v", "left_semi").select("k"), "classes")
     keyed = docs.select(row_key().alias("k"), "text")
-    bits, hashes = bloom.plan(max(1, count), 10.0)
-    if bits <= MAX_BITS:  # else the join alone keeps the rows that are needed
-        words = bloom.literal(bloom.build(held.df, "k", bits, hashes, 7))
+    bits, hashes = bloom.plan(max(1, need.df.count()), 10.0)
+    if bits <= MAX_BITS:
+        words = bloom.literal(bloom.build(need.df, "k", bits, hashes, 7))
         keyed = keyed.where(bloom.probe(F.col("k"), words, bits, hashes, 7))
-    sets = keyed.mapInArrow(_sets(rule), "k long, v long, tokens binary")
-    return sets.join(held.df, ["v", "k"], "left_semi").dropDuplicates(["v", "k"]).select("v", "tokens")
+    else:
+        keyed = keyed.join(need.df, "k", "left_semi")
+    return keyed.select("text").mapInArrow(_sets(rule), "v long, tokens binary")
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """The rows (r, v, ...) of each pair i <= j of blocks of their group, with their block b."""
+    count = rows.groupBy("r").agg(F.count("*").alias("c"))
+    blocks = count.select("r", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
+    placed = rows.join(blocks, "r").withColumn("b", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int"))
+    other = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return other.withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o")).drop("o", "nb")
 
 
 def links(docs: DataFrame, base: DataFrame, rule: Rule) -> Stored:
     """u, v: verified links between classes that connect exactly what all links connect."""
     members = store(_members(docs, rule), "members")
-    counted = members.df.groupBy("r").agg(F.count("*").alias("c")).select("r", F.ceil((F.col("c") + 1) / BLOCK).cast("int").alias("nb"))
-    blocked = members.df.join(counted, "r").select("r", "nb", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int").alias("b"), "v")
-    hubs = counted.select("r", "nb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"), F.col("r").alias("v"))
-    wanted = members.df.select("v").unionByName(members.df.select(F.col("r").alias("v"))).distinct()
-    sets = store(_class_sets(docs, base, wanted, rule), "sets")
-    rows = blocked.unionByName(hubs)
-    inside = store(rows.join(sets.df, "v").groupBy("r", "b").applyInPandas(_verify(rule), "u long, v long"), "links")
-    wide = store(rows.where("nb > 1"), "wide")
-    if not wide.df.isEmpty():
-        known = connected_components(inside.df)
-        comp = known.df.select(F.col("u").alias("v"), "root")
-        placed = wide.df.join(comp, "v", "left").withColumn("comp", F.coalesce("root", "v")).drop("root")
-        open_ = placed.groupBy("r").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("r")
-        left = placed.join(open_, "r", "left_semi")
-        pairs = left.select(
-            "r", "v", "comp", "b", F.explode(F.expr("filter(sequence(0, nb - 1), x -> x <> b)")).alias("o")
-        ).select("r", "v", "comp", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-        across = pairs.join(sets.df, "v").groupBy("r", "i", "j").applyInPandas(_verify(rule), "u long, v long")
-        both = store(inside.df.unionByName(across), "links")
+    every = members.df.unionByName(members.df.select("r", F.col("r").alias("v")).distinct())
+    sketched = base.where("sig is not null").groupBy(F.col("sig").alias("v")).agg(
+        F.first("n").alias("n"), F.first("sketch").alias("sketch")
+    )
+
+    def candidates(rows: DataFrame, most: int) -> DataFrame:
+        dealt = _block_pairs(rows).join(sketched, "v").select("r", "i", "j", "b", "v", "n", "comp", "sketch")
+        sorted_ = dealt.repartition("r", "i", "j").sortWithinPartitions("r", "i", "j", "v")
+        return sorted_.mapInArrow(_candidates(rule, most), "u long, v long").select(
+            F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
+        ).distinct()
+
+    tested = [store(candidates(every.withColumn("comp", F.col("v")), 0), "pairs")]
+    nodes = store(tested[0].df.select(F.explode(F.array("u", "v")).alias("v")).distinct(), "nodes")
+    sets = store(_class_sets(docs, base, nodes.df, rule), "sets")
+
+    def verified(pairs: DataFrame) -> Stored:
+        left = pairs.join(sets.df.select(F.col("v").alias("u"), F.col("tokens").alias("a")), "u")
+        both = left.join(sets.df.withColumnRenamed("tokens", "b"), "v").select("u", "v", "a", "b")
+        return store(both.mapInArrow(_verified(rule), "u long, v long").distinct(), "links")
+
+    found = [verified(tested[0].df)]
+    might = store(every.join(nodes.df, "v", "left_semi"), "might")
+    for most in ROUNDS:
+        known = connected_components(_union(found))
+        placed = might.df.join(known.df.select(F.col("u").alias("v"), "root"), "v", "left").select(
+            "r", "v", F.coalesce("root", "v").alias("comp")
+        )
+        apart = placed.groupBy("r").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("r")
+        more = store(candidates(placed.join(apart, "r", "left_semi"), most), "pairs")
         known.drop()
-        inside.drop()
-        inside = both
-    for held in (members, sets, wide):
+        new = store(more.df.where("u <> v").join(_union(tested), ["u", "v"], "left_anti"), "pairs")
+        left_out = not more.df.where("u = v").isEmpty()
+        more.drop()
+        if not new.df.isEmpty():
+            tested.append(new)
+            found.append(verified(new.df))
+        if not left_out:
+            break
+    every_link = store(_union(found), "links")
+    for held in (members, nodes, sets, might, *tested, *found):
         held.drop()
-    return inside
+    return every_link
+
+
+def _union(tables: list[Stored]) -> DataFrame:
+    out = tables[0].df
+    for t in tables[1:]:
+        out = out.unionByName(t.df)
+    return out
 
 
 def join(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -362,7 +481,7 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
     ``component_id`` is its smallest doc_id, for an empty set the document's own.
     """
     given = docs.select("doc_id", "text")
-    digests = given.select("doc_id", row_key().alias("k"), "text").mapInArrow(_digest(rule), "doc_id long, k long, n long, sig long")
+    digests = given.select("doc_id", row_key().alias("k"), "text").mapInArrow(_digest(rule), "doc_id long, k long, n long, sig long, sketch binary")
     base = store(digests, "digests").df
     found = links(given, base, rule)
     comp = connected_components(found.df)

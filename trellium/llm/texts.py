@@ -113,7 +113,7 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
-def slices(column: pa.Array, size: int = 8 << 20):
+def slices(column: pa.Array, size: int = 2 << 20):
     """(first row, last row) of runs of rows that hold about ``size`` bytes, one row at least."""
     _, offsets = buffers(column)
     at = 0
