@@ -14,6 +14,11 @@ c(b) = ceil(t * b) shingles, so
 
 The boundary is where enumerating costs as much as the lists (``light_boundary``).
 
+Segments outnumber the possible differences by some spare ones, so linked sets agree on as
+many segments, and each set may leave the lists that are longest, one fewer than it has to
+spare: in any fixed order of all lists, linked sets still share the first list they have
+in common. That clears the lists of segments that hold a shared passage alone.
+
 Every pair that shares a key is in the group of that list's smallest class. Groups are cut
 into blocks and compared by pairs of blocks, first on parity sketches: the bits in which
 the sketches of two sets differ are at most as many as their differences, so a pair with
@@ -24,7 +29,7 @@ components, more each round, until none is left out. All pairs that could still
 component are verified, but the pairs within a family of copies are never expanded.
 
 Scale. What is shuffled are 64-bit keys, about a third as many as shingles, once, then the
-(group, class) pairs that share one with sketches of four bits a shingle, and the full
+entries of lists that are shared, and the (group, class) pairs with sketches of four bits a shingle, and the full
 sets of classes that have a pair left. A list holds at most one entry a class and a set
 spreads over as many lists as it has segments, so a family that a third of the documents
 belong to is spread over many tasks. No list or group is gathered in one task beyond two
@@ -45,7 +50,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellium.llm import bloom, texts
@@ -97,7 +102,7 @@ def bands(rule: Rule, first: int, upto: int) -> list[tuple[int, int, int]]:
     while True:
         top = max(rule.partner(low), int(BAND * low))
         apart = (rule.den - rule.num) * 2 * top // (rule.den + rule.num)
-        spare = 1 + apart // 32
+        spare = 1 + apart // 4
         out.append((top, apart + spare, spare))
         if top >= upto:
             return out
@@ -142,10 +147,15 @@ def signatures(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return texts.mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(U))
 
 
-def keys(tokens: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(key, number of the set) of all entries of the sets, light and heavy."""
+def keys(tokens: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, number of the set, code) of all entries of the sets, light and heavy.
+
+    The code is 4 times the lists that the set may leave plus the kind of the entry:
+    own band, next band, or subset. Segments that are empty are entered only by sets with
+    as many as they have to spare; otherwise they count among the lists left.
+    """
     sizes, x = np.diff(bounds), light_boundary(rule)
-    out_key, out_set = [], []
+    out_key, out_set, out_code = [], [], []
     mixed = texts.mix(tokens)
     for a in np.unique(sizes[(sizes > 0) & (sizes <= x)]).tolist():
         rows = np.flatnonzero(sizes == a)
@@ -155,8 +165,9 @@ def keys(tokens: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray
             sums = values[:, chosen].sum(axis=2, dtype=U)
             out_key.append(texts.mix(sums + U(c)).ravel())
             out_set.append(np.repeat(rows, len(chosen)))
+            out_code.append(np.full(len(rows) * len(chosen), 2, np.int32))
     if not len(sizes) or int(sizes.max()) == 0:
-        return np.empty(0, U), np.empty(0, np.int64)
+        return np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int32)
     table = bands(rule, x + 1, rule.partner(int(sizes.max())) + 1)
     tops = np.array([t for t, _, _ in table])
     own = np.searchsorted(tops, sizes)
@@ -187,9 +198,11 @@ def keys(tokens: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray
         empty = segments - np.bincount(whose[full], minlength=len(rows))
         stay = full | (empty >= spare)[whose]
         key = texts.mix(sums + texts.mix((band[whose].astype(U) << U(40)) + place.astype(U)))
+        code = 4 * np.maximum(spare - 1 - empty, 0) * (empty < spare) + shift
         out_key.append(key[stay])
         out_set.append(rows[whose[stay]])
-    return np.concatenate(out_key), np.concatenate(out_set)
+        out_code.append(code[whose[stay]].astype(np.int32))
+    return np.concatenate(out_key), np.concatenate(out_set), np.concatenate(out_code)
 
 
 def _digest(rule: Rule):
@@ -222,8 +235,10 @@ def _entries(rule: Rule):
                     continue
                 sizes = np.diff(bounds)[new]
                 picked = np.concatenate([tokens[bounds[d] : bounds[d + 1]] for d in new])
-                key, owner = keys(picked, np.concatenate([[0], np.cumsum(sizes)]), rule)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sig[new][owner])], names=["key", "v"])
+                key, owner, code = keys(picked, np.concatenate([[0], np.cumsum(sizes)]), rule)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(sig[new][owner]), pa.array(code)], names=["key", "v", "code"]
+                )
 
     return run
 
@@ -387,13 +402,20 @@ def row_key():
     return F.xxhash64("doc_id", "text")
 
 
-def _members(docs: DataFrame, rule: Rule) -> DataFrame:
+def _members(docs: DataFrame, rule: Rule) -> Stored:
     """r, v: the classes of each group of lists with the same smallest class."""
-    entries = docs.select("text").mapInArrow(_entries(rule), "key long, v long")
-    # the join tests both for null; stated for both readers, one exchange serves them
+    entries = docs.select("text").mapInArrow(_entries(rule), "key long, v long, code int")
+    # both readers need all columns and test for null, so one exchange serves them
     dealt = entries.where("key is not null and v is not null").repartition("key")
-    lists = dealt.groupBy("key").agg(F.min("v").alias("r"), F.max("v").alias("x")).where("r <> x").select("key", "r")
-    return dealt.join(lists, "key").where("v <> r").select("r", "v").distinct()
+    found = dealt.groupBy("key").agg(F.min("v").alias("r"), F.max("v").alias("x"), F.count("code").alias("c"))
+    shared = dealt.join(found.where("r <> x").select("key", "c"), "key").repartition("v").distinct()
+    longest = Window.partitionBy("v", F.col("code") % 4).orderBy(F.desc("c"), "key")
+    left = shared.withColumn("at", F.row_number().over(longest)).where(F.expr("at > code div 4")).select("key", "v")
+    entered = store(left, "entries")
+    lists = entered.df.groupBy("key").agg(F.min("v").alias("r"), F.max("v").alias("x")).where("r <> x").select("key", "r")
+    members = store(entered.df.join(lists, "key").where("v <> r").select("r", "v").distinct(), "members")
+    entered.drop()
+    return members
 
 
 def _class_sets(docs: DataFrame, base: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
@@ -421,7 +443,7 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, base: DataFrame, rule: Rule) -> Stored:
     """u, v: verified links between classes that connect exactly what all links connect."""
-    members = store(_members(docs, rule), "members")
+    members = _members(docs, rule)
     every = members.df.unionByName(members.df.select("r", F.col("r").alias("v")).distinct())
     sketched = base.where("sig is not null").groupBy(F.col("sig").alias("v")).agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch")
