@@ -64,8 +64,8 @@ def invert(share: Column, schedule: Sequence[tuple[float, float]]) -> Column:
 
 
 def source_plan(sizes: DataFrame, max_epochs: int, weights: Sequence[int]) -> DataFrame:
-    """_source, _rank, source_size, target, one row a source; ``sizes`` has _source, source_size."""
-    by_name = Window.orderBy(F.col("_source").asc_nulls_last())
+    """_s, _n, _rank, source_size, target, one row a source; ``sizes`` has _s, _n, source_size."""
+    by_name = Window.orderBy("_n", "_s")
     ranked = sizes.withColumn("_rank", F.row_number().over(by_name) - 1)
     weight = F.element_at(F.array(*map(F.lit, weights)), F.col("_rank") % len(weights) + 1)
     capped = ranked.withColumn("_w", weight.cast("long")).withColumn("_cap", F.col("source_size") * max_epochs)
@@ -86,7 +86,7 @@ def source_plan(sizes: DataFrame, max_epochs: int, weights: Sequence[int]) -> Da
     share = F.col("_at._left") * F.col("_w") / F.col("_at._open")
     under = F.struct(F.col("_cap") / F.col("_w"), F.col("_rank")) < F.struct(F.col("_at.col1"), F.col("_at._rank"))
     return chosen.select(
-        "_source", "_rank", "source_size", F.when(under, F.col("_cap").cast("double")).otherwise(share).alias("target")
+        "_s", "_n", "_rank", "source_size", F.when(under, F.col("_cap").cast("double")).otherwise(share).alias("target")
     )
 
 
@@ -106,18 +106,16 @@ def place(
     size = word_count(F.col("text")) if size is None else size
     sized = docs.withColumn("_size", size).drop(*ADDED).withColumnRenamed("_size", "size")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    keyed = sized.withColumn("_key", key).withColumn("_cell", F.substring("_key", 1, 3))
-    cells = keyed.groupBy(F.col("source").alias("_source"), "_cell").agg(F.sum("size").alias("_sum"))
-    plan = source_plan(
-        cells.groupBy("_source").agg(F.sum("_sum").alias("source_size")), max_epochs, weights
-    ).withColumnRenamed("_source", "_name")
-    inside = Window.partitionBy("_source").orderBy("_cell")
-    starts = cells.withColumn("_start", F.sum("_sum").over(inside) - F.col("_sum"))
-    known = starts.join(plan, F.col("_source").eqNullSafe(F.col("_name"))).select(
-        "_source", F.col("_cell").alias("_c"), "_start", "_rank", "source_size", "target"
+    keyed = sized.withColumns(
+        {"_key": key, "_s": F.coalesce("source", F.lit("")), "_n": F.col("source").isNull(), "_cell": F.substring(key, 1, 3)}
     )
-    joined = keyed.join(known, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_cell") == F.col("_c")))
-    order = Window.partitionBy("_source", "_c").orderBy("_key", "doc_id", "size")
+    cells = keyed.groupBy("_s", "_n", "_cell").agg(F.sum("size").alias("_sum"))
+    plan = source_plan(cells.groupBy("_s", "_n").agg(F.sum("_sum").alias("source_size")), max_epochs, weights)
+    inside = Window.partitionBy("_s", "_n").orderBy("_cell")
+    starts = cells.withColumn("_start", F.sum("_sum").over(inside) - F.col("_sum")).drop("_sum")
+    # the window below needs rows where the join has put them: no second exchange
+    joined = keyed.join(starts.join(plan, ["_s", "_n"]), ["_s", "_n", "_cell"])
+    order = Window.partitionBy("_s", "_n", "_cell").orderBy("_key", "doc_id", "size")
     offset = joined.withColumn("_before", F.col("_start") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     part = F.floor(F.col("target") - (F.col("_passes") * F.col("source_size")).cast("double") + F.lit(0.5)).cast("long")
@@ -131,7 +129,7 @@ def place(
         .withColumn("_part", part)
         .withColumn("taken", taken)
         .withColumn("position", F.when(F.col("taken") > 0, F.round(at, 9)))
-        .drop("_source", "_name", "_c", "_cell", "_key", "_start", "_passes", "_part")
+        .drop("_s", "_n", "_cell", "_key", "_start", "_passes", "_part")
     )
 
 
