@@ -6,7 +6,7 @@ one minus the product of what the sentences leave. Training maximises the likeli
 the document labels through that product, so weight settles on the sentences that explain
 a toxic label, and these are what ``score`` reports as offending.
 
-Scale. The model is fitted by the driver on a bounded sample: ``TRAIN_ROWS`` labelled
+Scale. The model is fitted by one task on a bounded sample: ``TRAIN_ROWS`` labelled
 documents (the first by MD5 of doc_id) of up to ``TRAIN_CHARS`` characters, found by a
 broadcast join on at most that many ids. It keeps ``FEATURES`` weights, which is what the
 workers get. Scoring is one pass over all documents, without a shuffle, in Arrow batches;
@@ -20,22 +20,24 @@ those named like the added ones are replaced.
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 6000
 TRAIN_CHARS = 50_000
 FEATURES = 4000
 LEAST_DOCS = 4
+BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6, 7)
-CACHE = 200_000
+CACHE = 100_000
 ADDED = ("score", "predicted", "offending")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -44,29 +46,52 @@ _WORD = re.compile(r"[^\W\d_]+")
 @dataclass
 class Model:
     bias: float = -30.0
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[int, float] = field(default_factory=dict)
 
 
-def features(word: str) -> list[str]:
-    """The word and its beginnings, marked apart."""
-    return [word, *[word[:n] + "*" for n in PREFIXES if len(word) >= n]]
+def features(word: str) -> tuple[int, ...]:
+    """Hash buckets of the word and its beginnings, marked apart."""
+    names = [word, *[word[:n] + "*" for n in PREFIXES if len(word) >= n]]
+    return tuple(crc32(x.encode()) % BUCKETS for x in names)
 
 
-def sentences(text: str) -> list[set[str]]:
-    return [w for w in (set(_WORD.findall(s)) for s in _SENTENCE.findall(text.lower())) if w]
+class _Cache(dict):
+    """What ``make`` returns for a word, kept for a bounded number of words."""
 
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
 
-def _select(bags: list[list[set[str]]], y: np.ndarray) -> dict[str, int]:
-    """Numbers of the features that tell most, by the G statistic over documents."""
-    seen, toxic = Counter(), Counter()
-    for bag, label in zip(bags, y, strict=True):
-        have = {f for s in bag for w in s for f in features(w)}
-        seen.update(have)
+    def __missing__(self, word: str):
+        if len(self) >= CACHE:
+            self.clear()
+        value = self[word] = self.make(word)
+        return value
+
+
+def bag(text: str, known: _Cache) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all sentences one after the other, and how many each sentence has."""
+    buckets: list[int] = []
+    counts = []
+    for m in _SENTENCE.finditer(text.lower()):
+        before = len(buckets)
+        for word in dict.fromkeys(_WORD.findall(m[0])):
+            buckets.extend(known[word])
+        if len(buckets) > before:
+            counts.append(len(buckets) - before)
+    return np.array(buckets, np.int32), np.array(counts, np.int32)
+
+
+def _select(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.ndarray:
+    """The buckets that tell most, by the G statistic over documents."""
+    seen, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for (buckets, _), label in zip(bags, y, strict=True):
+        have = np.unique(buckets)
+        seen[have] += 1
         if label:
-            toxic.update(have)
-    names = sorted(f for f, n in seen.items() if n >= LEAST_DOCS)
-    n = np.array([seen[f] for f in names], float)
-    t = np.array([toxic[f] for f in names], float)
+            toxic[have] += 1
+    names = np.flatnonzero(seen >= LEAST_DOCS)
+    n, t = seen[names], toxic[names]
     rate, rows = y.mean(), len(y)
 
     def term(part: np.ndarray, want: np.ndarray) -> np.ndarray:
@@ -74,8 +99,7 @@ def _select(bags: list[list[set[str]]], y: np.ndarray) -> dict[str, int]:
 
     g = term(t, n * rate) + term(n - t, n * (1 - rate)) + term(y.sum() - t, (rows - n) * rate)
     g += term(rows - n - y.sum() + t, (rows - n) * (1 - rate))
-    best = np.argsort(-g, kind="stable")[:FEATURES]
-    return {names[i]: k for k, i in enumerate(sorted(best.tolist()))}
+    return np.sort(names[np.argsort(-g, kind="stable")[:FEATURES]])
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
@@ -87,23 +111,25 @@ def fit(texts: list[str], labels: list[int], rounds: int = 250, ridge: float = 6
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Model()
-    bags = [sentences(t or "") for t in texts]
-    known = _select(bags, y)
+    known = _Cache(features)
+    bags = [bag(t or "", known) for t in texts]
+    chosen = _select(bags, y)
     column, sentence, owner = [], [], []
     blank = np.zeros(len(bags))
     count = 0
-    for d, bag in enumerate(bags):
-        for words in bag:
-            have = [known[f] for w in words for f in features(w) if f in known]
-            if not have:
-                blank[d] += 1
-                continue
-            column += have
-            sentence += [count] * len(have)
-            owner.append(d)
-            count += 1
+    for d, (buckets, sizes) in enumerate(bags):
+        at = np.minimum(np.searchsorted(chosen, buckets), max(0, len(chosen) - 1))
+        hit = chosen[at] == buckets if len(chosen) else np.zeros(len(buckets), bool)
+        used, place = np.unique(np.repeat(np.arange(len(sizes)), sizes)[hit], return_inverse=True)
+        blank[d] = len(sizes) - len(used)
+        column.append(at[hit])
+        sentence.append(place + count)
+        owner += [d] * len(used)
+        count += len(used)
+    del bags
+    column, sentence = np.concatenate(column), np.concatenate(sentence)
     col, sen, own = np.array(column, np.int64), np.array(sentence, np.int64), np.array(owner, np.int64)
-    w, b = np.zeros(len(known)), -6.0
+    w, b = np.zeros(len(chosen)), -6.0
     m1, m2, c1, c2 = np.zeros(len(w)), np.zeros(len(w)), 0.0, 0.0
     for k in range(1, rounds + 1):
         z = b + np.bincount(sen, w[col], count)
@@ -120,45 +146,41 @@ def fit(texts: list[str], labels: list[int], rounds: int = 250, ridge: float = 6
         rate = 0.1 * np.sqrt(1 - 0.999**k) / (1 - 0.9**k)
         w -= rate * m1 / (np.sqrt(m2) + 1e-8)
         b -= rate * c1 / (np.sqrt(c2) + 1e-8)
-    return Model(float(b), {f: float(w[i]) for f, i in known.items() if abs(w[i]) > 1e-3})
+    return Model(float(b), {int(f): float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-3})
 
 
-def score_text(text: str, model: Model, cache: dict[str, float]) -> tuple[float, list[tuple[int, int, float]]]:
+def score_text(text: str, bias: float, cache: _Cache) -> tuple[float, list[tuple[int, int, float]]]:
     """The noisy-or score, and (start, end, probability) of sentences of 0.5 and more."""
-    weights, bias = model.weights, model.bias
-    blank = np.log1p(np.exp(bias))
+    blank = math.log1p(math.exp(bias))
     kept, offending = 0.0, []
-    low = text.lower()
-    for m in _SENTENCE.finditer(low):
+    for m in _SENTENCE.finditer(text.lower()):
         words = set(_WORD.findall(m[0]))
         if not words:
             continue
-        z = 0.0
-        for word in words:
-            x = cache.get(word)
-            if x is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                x = cache[word] = sum(weights.get(f, 0.0) for f in features(word))
-            z += x
+        z = math.fsum(map(cache.__getitem__, words))
         if not z:
             kept += blank
             continue
         z += bias
-        kept += z + np.log1p(np.exp(-z)) if z > 0 else np.log1p(np.exp(z))
+        kept += z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
         if z >= 0:
-            offending.append((m.start(), m.end(), float(1 / (1 + np.exp(-min(z, 40))))))
-    return float(min(1.0, max(0.0, -np.expm1(-kept)))), offending
+            offending.append((m.start(), m.end(), 1 / (1 + math.exp(-z))))
+    return min(1.0, max(0.0, -math.expm1(-kept))), offending
+
+
+def weight_cache(model: Model) -> _Cache:
+    weights = model.weights
+    return _Cache(lambda word: sum(weights.get(f, 0.0) for f in features(word)))
 
 
 def _scorer(model: Model, text: str, keep_text: bool):
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
+        cache = weight_cache(model)
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            scored = [score_text(t.as_py() or "", model, cache) for t in batch.column(at)]
+            scored = [score_text(t.as_py() or "", model.bias, cache) for t in batch.column(at)]
             kept = [i for i in range(batch.num_columns) if keep_text or i != at]
             columns = [batch.column(i) for i in kept] + [
                 pa.array([s for s, _ in scored], pa.float64()),
@@ -170,14 +192,28 @@ def _scorer(model: Model, text: str, keep_text: bool):
     return run
 
 
+def _fitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weights of a model of all rows, the bias as bucket -1."""
+    texts, labels = [], []
+    for batch in batches:
+        texts += batch.column(0).to_pylist()
+        labels += [int(y > 0) for y in batch.column(1).to_pylist()]
+    model = fit(texts, labels)
+    rows = [(-1, model.bias), *model.weights.items()]
+    buckets, weights = zip(*rows, strict=True)
+    yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(weights, pa.float64())], names=["bucket", "weight"])
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
     """A model of the sample that the docstring of this module bounds; ``labels``: doc_id, toxic."""
     key = F.md5(F.col("doc_id").cast("string").cast("binary"))
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     ids = known.orderBy(key, "doc_id").limit(rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.length("text") <= chars)
-    first = sample.orderBy(key, "doc_id", F.xxhash64("text")).limit(rows).select("text", "_toxic").collect()
-    return fit([r[0] for r in first], [int(r[1] > 0) for r in first])
+    first = sample.orderBy(key, "doc_id", F.xxhash64("text")).limit(rows).select("text", "_toxic")
+    fitted = first.coalesce(1).mapInArrow(_fitter, "bucket int, weight double").collect()
+    weights = {r[0]: r[1] for r in fitted}
+    return Model(weights.pop(-1), weights) if weights else Model()
 
 
 def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
