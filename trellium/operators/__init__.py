@@ -1,0 +1 @@
+"""Operators: functions from DataFrames to DataFrames, without driver-side loops over data."""
