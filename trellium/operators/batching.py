@@ -63,8 +63,8 @@ def cursor_of(start: int, step: int, accumulation: int, per_group: int, groups:
 def whole_groups(rows: DataFrame, order: Sequence[str], size: int) -> DataFrame:
     """Rows numbered in order with their group, without an incomplete last group."""
     numbered = rows.withColumn("position", F.row_number().over(Window.orderBy(*order)) - 1)
-    total = F.count("*").over(Window.partitionBy())
-    return numbered.withColumn("group_index", F.expr(f"position div {size}")).where(F.col("position") < F.floor(total / size) * size)
+    counted = numbered.withColumn("_total", F.count("*").over(Window.partitionBy()))
+    return counted.withColumn("group_index", F.expr(f"position div {size}")).where(f"position < _total div {size} * {size}").drop("_total")
 
 
 def padding_saved(batches: DataFrame, by: Sequence[str], length: str) -> DataFrame:

@@ -70,7 +70,7 @@ def bag_contained(expected: DataFrame, actual: DataFrame, key: Sequence[str], va
 
 def running_mean(df: DataFrame, order: Sequence[Column], value: str, by: Sequence[str] = ()) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running_mean", F.round(F.avg(value).over(w), 4))
+    return df.withColumn("running_mean", F.round(F.avg(value).over(w), 9))
 
 
 def comparable(a: DataFrame, b: DataFrame) -> DataFrame:

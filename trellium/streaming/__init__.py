@@ -1,0 +1 @@
+"""Structured Streaming twins of the telemetry operators."""
