@@ -155,7 +155,7 @@ def keys(tokens: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray
     as many as they have to spare; otherwise they count among the lists left.
     """
     sizes, x = np.diff(bounds), light_boundary(rule)
-    out_key, out_set, out_code = [], [], []
+    out_key, out_set, out_code = [np.empty(0, U)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
     mixed = texts.mix(tokens)
     for a in np.unique(sizes[(sizes > 0) & (sizes <= x)]).tolist():
         rows = np.flatnonzero(sizes == a)
@@ -167,7 +167,7 @@ def keys(tokens: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray
             out_set.append(np.repeat(rows, len(chosen)))
             out_code.append(np.full(len(rows) * len(chosen), 2, np.int32))
     if not len(sizes) or int(sizes.max()) == 0:
-        return np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int32)
+        return out_key[0], out_set[0], out_code[0]
     table = bands(rule, x + 1, rule.partner(int(sizes.max())) + 1)
     tops = np.array([t for t, _, _ in table])
     own = np.searchsorted(tops, sizes)
@@ -535,7 +535,7 @@ def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
         words = bloom.literal(bloom.build(held.df, "k", bits, hashes, 8))
         inside = bloom.probe(F.col("_k"), words, bits, hashes, 8)
     free = keyed.where(~inside)
-    decided = keyed.where(inside).join(held.df.withColumnRenamed("k", "_t"), F.col("_k") == F.col("_t"), "left")
-    single = decided.where(F.col("keep").isNull()).drop("_t", "keep")
-    kept = decided.where("keep").drop("_t", "keep").dropDuplicates(["_k"])
+    decided = keyed.where(inside).join(held.df.select(F.col("k").alias("_t"), F.col("keep").alias("_keep")), F.col("_k") == F.col("_t"), "left")
+    single = decided.where(F.col("_keep").isNull()).drop("_t", "_keep")
+    kept = decided.where("_keep").drop("_t", "_keep").dropDuplicates(["_k"])
     return free.unionByName(single).unionByName(kept).select(*docs.columns)

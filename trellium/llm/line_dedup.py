@@ -62,15 +62,15 @@ def later_places(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with ``n_lines``, ``removed`` (sorted line numbers) and ``clean``, the text that stays."""
-    gone = later_places(docs).select(F.col("doc_id").alias("_doc"), F.col("k").alias("_k"), "starts")
+    gone = later_places(docs).select(F.col("doc_id").alias("_doc"), F.col("k").alias("_k"), F.col("starts").alias("_starts"))
     joined = docs.drop("n_lines", "removed", "clean").withColumn("_key", row_key()).join(
         gone, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left"
     )
     covered = F.array_sort(
-        F.array_distinct(F.flatten(F.transform("starts", lambda s: F.array(*[s + j for j in range(WINDOW)]))))
+        F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.array(*[s + j for j in range(WINDOW)]))))
     )
     none = F.array().cast("array<int>")
-    marked = joined.withColumn("removed", F.when(F.col("starts").isNull(), none).otherwise(covered)).withColumn(
+    marked = joined.withColumn("removed", F.when(F.col("_starts").isNull(), none).otherwise(covered)).withColumn(
         "n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text"))))
     )
     stay = F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), F.col("removed"))
@@ -78,5 +78,5 @@ def dedup(docs: DataFrame) -> DataFrame:
     return (
         marked.withColumn("_lines", F.when(F.size("removed") > 0, _lines(F.col("text"))))
         .withColumn("clean", F.when(F.size("removed") > 0, kept).otherwise(F.col("text")))
-        .drop("_doc", "_k", "_key", "_lines", "starts")
+        .drop("_doc", "_k", "_key", "_lines", "_starts")
     )

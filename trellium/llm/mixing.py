@@ -143,7 +143,8 @@ def emit(docs: DataFrame, schedules: Sequence[Sequence[tuple[float, float]]] = S
 
     A copy that the target cuts is emitted whole if half of its words or more are taken.
     """
-    placed = place(docs, schedules=schedules, **options)
+    own = {c: f"_own_{c}" for c in docs.columns if c in ADDED}
+    placed = place(docs.withColumnsRenamed(own), schedules=schedules, **options)
     copies = F.expr("cast(taken div size + if(2 * (taken % size) >= size, 1, 0) as int)")
     repeated = placed.where("taken > 0").withColumn("_copies", copies).where("_copies > 0").withColumn(
         "_copy", F.explode(F.expr("sequence(0, _copies - 1)"))
@@ -154,4 +155,5 @@ def emit(docs: DataFrame, schedules: Sequence[Sequence[tuple[float, float]]] = S
     at = invert(share, schedules[0])
     for k in range(1, len(schedules)):
         at = F.when(F.col("_rank") % len(schedules) == k, invert(share, schedules[k])).otherwise(at)
-    return repeated.withColumn("_at", at).orderBy("_at", "doc_id", "_copy").select(*docs.columns)
+    ordered = repeated.withColumn("_at", at).orderBy("_at", "doc_id", "_copy")
+    return ordered.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
