@@ -161,7 +161,7 @@ def judge(
     """
     spark = pages.sparkSession
     if listed is None:
-        listed = spark.createDataFrame([(x,) for x in LISTED], "key string")
+        listed = spark.range(1).select(F.explode(F.array(*map(F.lit, LISTED))).alias("key"))
     given = pages.drop("host", "path", "rule", "verdict", "listed")
     parsed = given.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     flagged = flag_listed(parsed, listed, max_bits).withColumn("_rule", apply_rules(F.col("host"), F.col("path"), rules))
