@@ -75,7 +75,7 @@ def test_turn_outcomes(spark, turn, outcome):
 def test_reasoning(spark):
     r = one(
         spark, a=toolcalls.split_reasoning(F.lit("<think> r </think> c")), b=toolcalls.split_reasoning(F.lit("<think>open")),
-        c=toolcalls.split_continuation(F.lit("r</think>c")), d=toolcalls.split_continuation(F.lit("c"), False), e=toolcalls.is_done(F.lit("x</think> Done.\n")),
+        c=toolcalls.split_continuation(F.lit("r</think>c")), d=toolcalls.split_continuation(F.lit("c"), False), e=toolcalls.is_done(F.lit("x</think> <Task_Finished>.\n")),
         f=toolcalls.any_calls(F.lit('text\n[{"name": "f", "arguments": {"a": "1"}}]')), g=toolcalls.json_type(F.lit("Optional[List[int]]")),
     )
     assert [tuple(r[x]) for x in "abcd"] == [("r", "c"), ("open", ""), ("r", "c"), ("", "c")]

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 BLOCK = r"(?s)<tool_call>(.*?)</tool_call>"
 FUNCTION = r"(?s)<function=([^>]*)>(.*?)</function>"
 PARAMETER = r"(?s)<parameter=([^>]*)>(.*?)</parameter>"
-#: What a final answer may consist of alone.
-DONE_WORDS = ("done", "finished", "complete", "completed")
+#: The closing marks of a turn, the mark of a failed task, and public methods that are no tools.
+DONE_WORDS = ("task_finished", "task finished", "task completed", "finish")
+ERROR_WORD = "task_error"
+RESERVED = ("reset", "step", "close", "render", "seed", "state", "get_state", "get_state_info", "final_state", "initial_state", "tools")
 
 
 def strip(text: Column) -> Column:
@@ -126,10 +128,22 @@ def any_calls(text: Column) -> Column:
     return F.when(F.size(xml) > 0, xml).when(F.size(inner) > 0, inner).otherwise(json_calls(text))
 
 
-def is_done(text: Column) -> Column:
-    """Whether the text after the last think block is one of the closing words."""
+def _closing(text: Column) -> Column:
     rest = F.lower(F.substring_index(text, "</think>", -1))
-    return F.regexp_replace(rest, r"^[<> \t\r\n.!?]+|[<> \t\r\n.!?]+$", "").isin(*DONE_WORDS)
+    return F.regexp_replace(rest, r"^[<>\s.!?]+|[<>\s.!?]+$", "")
+
+
+def is_done(text: Column) -> Column:
+    """Whether what follows the last think block is one of the closing marks."""
+    return _closing(text).isin(*DONE_WORDS)
+
+
+def is_task_error(text: Column) -> Column:
+    return _closing(text) == ERROR_WORD
+
+
+def is_tool_method(name: Column) -> Column:
+    return ~name.startswith("_") & ~name.isin(*RESERVED)
 
 
 def is_error(result: Column) -> Column:
