@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellium.operators import ordered
+
 
 def pack(rows: DataFrame, shard: Sequence[str], order: Sequence[str], length: str, budget: int, padded: bool = False) -> DataFrame:
     """``rows`` with ``batch``, filled greedily in order within each shard; no row is split.
@@ -62,9 +64,10 @@ def cursor_of(start: int, step: int, accumulation: int, per_group: int, groups:
 
 def whole_groups(rows: DataFrame, order: Sequence[str], size: int) -> DataFrame:
     """Rows numbered in order with their group, without an incomplete last group."""
-    numbered = rows.withColumn("position", F.row_number().over(Window.orderBy(*order)) - 1)
-    counted = numbered.withColumn("_total", F.count("*").over(Window.partitionBy()))
-    return counted.withColumn("group_index", F.expr(f"position div {size}")).where(f"position < _total div {size} * {size}").drop("_total")
+    numbered = ordered.numbered(rows, order)
+    total = rows.agg(F.count("*").alias("_total"))
+    whole = numbered.join(F.broadcast(total), F.expr(f"position < _total div {size} * {size}")).drop("_total")
+    return whole.withColumn("group_index", F.expr(f"position div {size}"))
 
 
 def padding_saved(batches: DataFrame, by: Sequence[str], length: str) -> DataFrame:
@@ -74,6 +77,10 @@ def padding_saved(batches: DataFrame, by: Sequence[str], length: str) -> DataFra
 
 
 def flatten(rows: DataFrame, by: Sequence[str], order: str, length: str) -> DataFrame:
-    """Where each row starts and ends in its batch when rows are laid end to end."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("ends", F.sum(length).over(w)).withColumn("starts", F.col("ends") - F.col(length))
+    """Where each row starts and ends in its batch, or among all rows, when rows are laid end to end."""
+    if by:
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        ended = rows.withColumn("ends", F.sum(length).over(w))
+    else:
+        ended = ordered.running(rows, [order], F.col(length), "ends")
+    return ended.withColumn("starts", F.col("ends") - F.col(length))

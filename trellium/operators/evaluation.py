@@ -108,14 +108,26 @@ def budget_share(steps: DataFrame, caps: Sequence[int], value: str = "steps") ->
 
 
 def task_verdict(turns: DataFrame) -> DataFrame:
-    """Per task the first failed condition: never completed, snapshot count, state, result; else pass."""
+    """Per task the first failed condition and its sparse diagnostics.
+
+    In order: never completed, snapshot count, then turn by turn the state and, where that
+    holds, the result; else pass. What a failure leaves undefined is null, not 0.
+    """
+    bad = ~F.col("state_match") | ~F.col("result_match")
     per = turns.groupBy("task_id").agg(
         F.bool_and("completed").alias("done"), F.max("expected_turns").alias("want"), F.count("*").alias("have"),
-        F.min(F.when(~F.col("state_match"), F.col("turn"))).alias("state_at"), F.min(F.when(~F.col("result_match"), F.col("turn"))).alias("result_at"),
+        F.min(F.when(bad, F.struct("turn", (~F.col("state_match")).alias("state")))).alias("first"),
     )
+    kind = F.when(F.col("first.state"), "state").otherwise("result")
+    reached = F.col("done") & (F.col("want") == F.col("have"))
     verdict = (
         F.when(~F.col("done"), "never_completed").when(F.col("want") != F.col("have"), "snapshot_count_mismatch")
-        .when(F.col("state_at").isNotNull(), F.concat(F.lit("state_mismatch_at_turn_"), F.col("state_at")))
-        .when(F.col("result_at").isNotNull(), F.concat(F.lit("result_mismatch_at_turn_"), F.col("result_at"))).otherwise("pass")
+        .when(F.col("first").isNotNull(), F.concat(kind, F.lit("_mismatch_at_turn_"), F.col("first.turn"))).otherwise("pass")
+    )
+    stateful = reached & ~F.coalesce(F.col("first.state"), F.lit(False))
+    return per.select(
+        "task_id", verdict.alias("verdict"), F.col("done").cast("double").alias("completion_rate"),
+        F.round(F.coalesce(F.try_divide("have", "want"), F.lit(0.0)), 6).alias("snapshot_count_ratio"),
+        F.when(reached, stateful.cast("double")).alias("state_match_rate"),
+        F.when(stateful, F.col("first").isNull().cast("double")).alias("result_match_rate"),
     )
-    return per.select("task_id", verdict.alias("verdict"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellium.operators import ordered
+
 
 def episode_walls(events: DataFrame, key: str, at: str, event: str, opened: str = "open", done: str = "done", ties: Sequence[str] = ()) -> DataFrame:
     """Each done with the latest open since the done before; a later open overwrites."""
@@ -85,10 +87,8 @@ def utilization(df: DataFrame, value: str) -> DataFrame:
 
 def throughput_meter(steps: DataFrame, order: str, tokens: str, seconds: str) -> DataFrame:
     """Tokens per second, seconds per million tokens, and running tokens."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumns({
+    return ordered.running(steps, [order], F.col(tokens), "running_tokens").withColumns({
         "tokens_per_s": F.round(F.try_divide(tokens, seconds), 4), "s_per_mtok": F.round(F.try_divide(F.col(seconds) * 1e6, F.col(tokens)), 4),
-        "running_tokens": F.sum(tokens).over(w),
     })
 
 

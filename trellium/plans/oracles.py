@@ -72,9 +72,11 @@ def oracle_sql() -> dict[str, str]:
             FROM tasks GROUP BY category""",
         "budget_share": f"WITH {_TASKS}, c AS (SELECT unnest([1, 2, 4, 6])::INT AS cap) SELECT cap, round(avg((steps <= cap)::INT), 4) AS share FROM tasks, c GROUP BY cap",
         "task_verdicts": """WITH t AS (SELECT conv_id, turn, max(length(text)) AS n FROM conversations GROUP BY ALL),
-            g AS (SELECT conv_id AS task_id, bool_and(n > 20) AS done, count(*) AS have, min(turn) FILTER (n % 5 = 0) AS s, min(turn) FILTER (n % 3 = 0) AS r FROM t GROUP BY conv_id)
-            SELECT task_id, CASE WHEN NOT done THEN 'never_completed' WHEN have <> 6 THEN 'snapshot_count_mismatch' WHEN s IS NOT NULL THEN 'state_mismatch_at_turn_' || s
-            WHEN r IS NOT NULL THEN 'result_mismatch_at_turn_' || r ELSE 'pass' END AS verdict FROM g""",
+            g AS (SELECT conv_id AS task_id, bool_and(n > 20) AS done, count(*) AS have, min(turn) FILTER (n % 5 = 0 OR n % 3 = 0) AS f, arg_min(n % 5 = 0, turn) FILTER (n % 5 = 0 OR n % 3 = 0) AS s FROM t GROUP BY conv_id)
+            SELECT task_id, CASE WHEN NOT done THEN 'never_completed' WHEN have <> 6 THEN 'snapshot_count_mismatch' WHEN s THEN 'state_mismatch_at_turn_' || f
+            WHEN f IS NOT NULL THEN 'result_mismatch_at_turn_' || f ELSE 'pass' END AS verdict, done::INT::DOUBLE AS completion_rate, round(have / 6, 6) AS snapshot_count_ratio,
+            CASE WHEN done AND have = 6 THEN (NOT coalesce(s, false))::INT::DOUBLE END AS state_match_rate,
+            CASE WHEN done AND have = 6 AND NOT coalesce(s, false) THEN (f IS NULL)::INT::DOUBLE END AS result_match_rate FROM g""",
         "nearest_rank_p95": """WITH r AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)
             SELECT lang, n_chars AS p FROM r WHERE i = ceil(0.95::DOUBLE * n)""",
         "rounded_index_percentile": """WITH r AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)
@@ -119,7 +121,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT lang, batch, count(*) AS rows, max(n_chars) AS longest, sum(n_chars)::BIGINT AS tokens, (count(*) * max(n_chars) - sum(n_chars))::BIGINT AS padding FROM p GROUP BY lang, batch""",
         "rotate_sampler": """WITH p AS (SELECT p_partkey - 1 AS idx, (p_partkey - 1 - 37 + 100) % 100 AS place FROM part WHERE p_partkey - 1 < 100)
             SELECT idx, (place // 8)::INT AS chunk, r::INT AS round, c::INT AS copy FROM p, range(2) a(r), range(3) b(c) WHERE place < 96""",
-        "whole_groups": """WITH n AS (SELECT s_suppkey, (row_number() OVER (ORDER BY s_suppkey) - 1)::INT AS position, count(*) OVER () AS t FROM supplier)
+        "whole_groups": """WITH n AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS position, count(*) OVER () AS t FROM supplier)
             SELECT s_suppkey, position, (position // 7)::BIGINT AS group_index FROM n WHERE position < t // 7 * 7""",
         "flatten_offsets": "SELECT conv_id, sum(length(text))::BIGINT AS cu_seqlen, max(length(text))::INT AS max_len FROM conversations GROUP BY conv_id",
         "tool_call_roundtrip": "SELECT event_id, event_type AS name, json_extract_string(props, '$.k') AS k FROM events",
@@ -142,4 +144,43 @@ def oracle_sql() -> dict[str, str]:
         "session_windows": """WITH l AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR >= ts THEN 0 ELSE 1 END AS fresh FROM events),
             g AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM l), c AS (SELECT user_id, s, count(*) AS n FROM g GROUP BY ALL)
             SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id""",
+        "held_out_tools": """WITH tools AS (SELECT DISTINCT conv_id, role AS name FROM conversations), turns AS (SELECT DISTINCT conv_id, turn FROM conversations),
+            held AS (SELECT conv_id, role AS name, min(turn) AS hold_turn FROM conversations GROUP BY ALL)
+            SELECT conv_id, turn, name FROM turns JOIN tools USING (conv_id) WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.conv_id = turns.conv_id AND h.name = tools.name AND h.hold_turn > turns.turn)""",
+        "generation_ready": """WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity, CASE WHEN l_linenumber >= 6 THEN 'turn_cap' WHEN l_quantity >= 45 THEN 'step_cap' WHEN l_partkey >= 180 - 8 THEN 'step_cap' END AS cap
+              FROM lineitem WHERE l_returnflag <> 'R' AND l_linestatus = 'O'),
+            t AS (SELECT *, coalesce(sum(CASE WHEN cap IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM r)
+            SELECT l_suppkey, CASE WHEN taken >= 4 THEN 'wait' ELSE coalesce(cap, 'generate') END AS decision, count(*) AS n FROM t GROUP BY ALL""",
+        "text_binding": """WITH s AS (SELECT text, min(doc_id) AS task_id FROM documents GROUP BY text), n AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents)
+            SELECT doc_id, task_id, position, position // 4 AS group_index FROM n JOIN s USING (text)""",
+        "dimension_lookup": "SELECT o_orderkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey",
+        "token_budgets": "SELECT doc_id, greatest(1, least(512, 4096 - n_chars - 8)) AS budget FROM documents",
+        "eval_boundaries": "SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' OR (o_orderkey > 0 AND o_orderkey % 50 = 0)",
+        "mute_groups": """SELECT l_suppkey, count(*) AS episodes, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS reasons FROM lineitem
+            GROUP BY l_suppkey HAVING max(CASE WHEN l_quantity > 49 THEN l_linenumber ELSE 0 END) = 0""",
+        "cap_messages": "SELECT 'p' || p_partkey AS field, 'p' || p_partkey || '=' || p_size || ' exceeds cap 40' AS message FROM part WHERE p_size > 40",
+        "turn_replay": """WITH r AS (SELECT event_id, user_id, ts, event_type <> 'purchase' AS has_call FROM events),
+            t AS (SELECT *, coalesce(sum(CASE WHEN has_call THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS task_turn FROM r),
+            s AS (SELECT *, row_number() OVER (PARTITION BY user_id, task_turn ORDER BY ts, event_id)::INT AS step FROM t),
+            o AS (SELECT *, sum((step > 5)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gone FROM s)
+            SELECT event_id, task_turn, step, CASE WHEN gone = 1 THEN 'step_cap' END AS terminal_reason FROM o WHERE gone <= 1""",
+        "admission_window": """WITH RECURSIVE d AS (SELECT user_id, event_id, floor(value)::BIGINT AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+            a AS (SELECT user_id, event_id, i, 0::BIGINT AS starts, n AS ends, list_sort([0, 0, n]) AS free FROM d WHERE i = 1 UNION ALL
+              SELECT d.user_id, d.event_id, d.i, a.free[1], a.free[1] + d.n, list_sort(list_append(a.free[2:], a.free[1] + d.n)) FROM a JOIN d ON d.user_id = a.user_id AND d.i = a.i + 1)
+            SELECT event_id, starts, ends FROM a""",
+        "call_outcomes": "SELECT ['worker_crash', 'timeout', 'error', 'ok'][event_id % 4 + 1] AS outcome, count(*) AS n FROM events GROUP BY 1",
+        "system_prompts": """SELECT r_name, 'Act.' || chr(10) || '# Environment Information' || chr(10) || chr(10) || '## Brief Introduction:  ' || chr(10) || r_name || chr(10) || chr(10)
+            || '## Environment Rules / Constraints:  ' || chr(10) || string_agg('- ' || n_name || chr(10), '' ORDER BY n_name) AS prompt FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name""",
+        "results_covered": """WITH e AS (SELECT l_orderkey, l_linenumber, l_returnflag, count(*) AS want FROM lineitem WHERE l_quantity > 10 GROUP BY ALL)
+            SELECT l_orderkey, l_linenumber, bool_and(want <= (SELECT count(*) FROM lineitem a WHERE a.l_orderkey = e.l_orderkey AND a.l_returnflag = e.l_returnflag AND a.l_linenumber <= e.l_linenumber AND a.l_quantity < 40)) AS covered
+            FROM e GROUP BY ALL""",
+        "eval_records": """SELECT doc_id AS task_id, lang, round(e.w, 4) AS wall_s, CASE WHEN e.w IS NULL THEN 'never_run' ELSE 'final_answer' END AS terminal_reason, coalesce(quality, 0)::DOUBLE AS score
+            FROM documents LEFT JOIN (SELECT vec_id, vec_id / 7.0::DOUBLE AS w FROM embeddings) e ON doc_id = vec_id LEFT JOIN labels USING (doc_id)""",
+        "study_points": "SELECT p AS precision, s AS seqs, t AS tokens FROM (VALUES ('bf16'), ('fp8')) a(p), (VALUES (32, 4096), (64, 8192), (128, 16384)) b(s, t)",
+        "ladder_lookup": f"WITH {_POINTS} SELECT config, throughput, latency FROM points WHERE precision = 'O' AND flag = 'N' AND config <= 6",
+        "strict_rows": "SELECT event_id FROM events WHERE event_id % 9 <> 0",
+        "scenario_checks": "SELECT l_orderkey::VARCHAR AS task_id, count(*)::INT AS checks FROM lineitem GROUP BY l_orderkey",
+        "logp_stops": "SELECT event_id FROM events WHERE event_id % 10 <> 0 AND value > 20",
+        "resume_guard": "SELECT p_partkey FROM part WHERE p_partkey % 10 <> 0",
+        "running_totals": "SELECT doc_id, (sum(n_chars) OVER (ORDER BY doc_id))::BIGINT AS ends, (sum(n_chars) OVER (ORDER BY doc_id) - n_chars)::BIGINT AS starts FROM documents",
     }

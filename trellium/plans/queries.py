@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trellium.functions import arrays, text, toolcalls
-from trellium.operators import batching, evaluation, sweep, telemetry, trajectories
+from trellium.operators import batching, evaluation, guards, sweep, telemetry, trajectories, turns as replays
 from trellium.sources import files
 from trellium.streaming import metrics
 
@@ -380,7 +380,7 @@ def histogram_quantile(spark, sf_dir):
 def prometheus_sum(spark, sf_dir):
     events = read(spark, sf_dir, "events")
     line = F.concat(F.lit("events_"), F.col("event_type"), F.lit('{user="'), F.col("user_id"), F.lit('"} '), F.floor("value"))
-    lines = events.select(line.alias("value")).unionByName(events.limit(1).select(F.lit("# HELP events").alias("value")))
+    lines = events.select(line.alias("value")).unionByName(spark.range(1).select(F.lit("# HELP events").alias("value")))
     return files.metric_sums(files.metric_samples(lines))
 
 
@@ -390,7 +390,7 @@ def prometheus_sum(spark, sf_dir):
 @query
 def star_join(spark, sf_dir):
     orders, customers, nations, regions = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
-    joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(regions), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey")).join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
     return joined.groupBy("r_name", "o_orderpriority").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("largest"))
 
 
@@ -409,3 +409,138 @@ def session_windows(spark, sf_dir):
     events = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     found = metrics.sessions(events, "user_id", "ts", "1 hour", "1 day")
     return found.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+# Guards, replays and records.
+
+
+@query
+def held_out_tools(spark, sf_dir):
+    said = read(spark, sf_dir, "conversations").withColumnRenamed("role", "name")
+    held = said.groupBy("conv_id", "name").agg(F.min("turn").alias("hold_turn"))
+    return guards.visible_tools(said.select("conv_id", "turn").distinct(), said.select("conv_id", "name").distinct(), held, "conv_id").select("conv_id", "turn", "name")
+
+
+@query
+def generation_ready(spark, sf_dir):
+    slots = read(spark, sf_dir, "lineitem").select(
+        "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", (F.col("l_returnflag") != "R").alias("admitted"), F.when(F.col("l_linestatus") == "O", "ready").otherwise("tool").alias("state"),
+        F.lit(None).cast("string").alias("terminal_reason"), F.col("l_linenumber").alias("generation_count"), F.col("l_quantity").alias("step_count"), F.col("l_partkey").alias("prefix"),
+    )
+    chosen = guards.select_ready(slots, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], 4, 6, 45, 180, 8)
+    return chosen.groupBy("l_suppkey", "decision").agg(F.count("*").alias("n"))
+
+
+@query
+def text_binding(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return guards.bind_by_text(docs, docs.groupBy("text").agg(F.min("doc_id").alias("task_id")), "text", ["doc_id"], 4)
+
+
+@query
+def dimension_lookup(spark, sf_dir):
+    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    return guards.looked_up(read(spark, sf_dir, "orders"), customers, ["o_custkey"]).select("o_orderkey", "c_nationkey")
+
+
+@query
+def token_budgets(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", guards.token_budget(F.col("n_chars"), 512, 4096, 8).alias("budget"))
+
+
+@query
+def eval_boundaries(spark, sf_dir):
+    return read(spark, sf_dir, "orders").where(guards.is_boundary(F.col("o_orderkey"), 50, F.col("o_orderpriority") == "1-URGENT")).select("o_orderkey")
+
+
+@query
+def mute_groups(spark, sf_dir):
+    episodes = read(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_returnflag").alias("terminal_reason"), F.when(F.col("l_quantity") > 49, F.col("l_linenumber")).otherwise(0).alias("generation_count"))
+    return guards.nothing_generated(episodes, ["l_suppkey"]).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query
+def cap_messages(spark, sf_dir):
+    fields = read(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("field"), F.col("p_size").alias("value"))
+    return guards.cap_violations(fields, fields.select("field", F.lit(40).alias("cap")))
+
+
+@query
+def turn_replay(spark, sf_dir):
+    responses = read(spark, sf_dir, "events").withColumn("has_call", F.col("event_type") != "purchase")
+    return replays.replay(responses, "user_id", ["ts", "event_id"], "has_call", 5).select("event_id", "task_turn", "step", "terminal_reason")
+
+
+@query
+def admission_window(spark, sf_dir):
+    tasks = read(spark, sf_dir, "events").select("user_id", "event_id", F.floor("value").cast("long").alias("n"))
+    return replays.admit(tasks, ["user_id"], ["event_id"], "n", 3).select("event_id", "starts", "ends")
+
+
+@query
+def call_outcomes(spark, sf_dir):
+    n = F.col("event_id") % 4
+    reply = F.when(n == 1, "partial").when(n == 2, "Error during execution: no").when(n == 3, "fine")
+    return read(spark, sf_dir, "events").groupBy(replays.outcome(reply, n >= 2).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query
+def system_prompts(spark, sf_dir):
+    rules = read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list("n_name")).alias("rules"))
+    return read(spark, sf_dir, "region").join(rules, "r_regionkey").select("r_name", replays.system_prompt(F.lit("Act."), "\n", F.col("r_name"), F.col("rules")).alias("prompt"))
+
+
+@query
+def results_covered(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem")
+    return replays.covered(lines.where("l_quantity > 10"), lines.where("l_quantity < 40"), "l_orderkey", "l_linenumber", "l_returnflag")
+
+
+@query
+def eval_records(spark, sf_dir):
+    tasks = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("task_id"), "lang")
+    episodes = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("task_id"), (F.col("vec_id") / F.lit(7.0)).alias("wall_s"), F.lit("final_answer").alias("terminal_reason"))
+    verdicts = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("task_id"), F.col("quality").cast("double").alias("score"))
+    return replays.eval_record(tasks, episodes, verdicts)
+
+
+@query
+def study_points(spark, sf_dir):
+    points = replays.study_points(["bf16", "fp8"], [(32, 4096), (64, 8192), (128, 16384)], ["precision", "seqs", "tokens"])
+    return spark.range(1).select(F.inline(points))
+
+
+@query
+def ladder_lookup(spark, sf_dir):
+    ladder = spark.range(1, 7).select(F.col("id").cast("int").alias("config"))
+    return guards.looked_up(ladder, _points(spark, sf_dir).where("precision = 'O' and flag = 'N'").select("config", "throughput", "latency"), ["config"])
+
+
+@query
+def strict_rows(spark, sf_dir):
+    parsed = read(spark, sf_dir, "events").withColumn("malformed_reason", F.when(F.col("event_id") % 9 == 0, "no task"))
+    return guards.valid_rows(parsed).select("event_id")
+
+
+@query
+def scenario_checks(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("task_id"))
+    made = lines.agg(F.collect_list("l_returnflag").alias("checklist")).withColumns({"env_id": F.lit("e"), "env_class_name": F.lit("E")})
+    return guards.scenarios(made).select("task_id", F.size("checklist").alias("checks"))
+
+
+@query
+def logp_stops(spark, sf_dir):
+    logged = F.when(F.col("event_id") % 20 == 0, F.lit(float("nan"))).when(F.col("event_id") % 10 != 0, F.col("value"))
+    return read(spark, sf_dir, "events").where(guards.exceeds(logged, 20.0)).select("event_id")
+
+
+@query
+def resume_guard(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 10 == 0, "run").otherwise("phase").alias("name"), F.lit("gpu").alias("profile"), F.lit(None).cast("string").alias("dtype"))
+    return guards.resumable(rows, {"profile": "gpu", "dtype": None}).select("p_partkey")
+
+
+@query
+def running_totals(spark, sf_dir):
+    return batching.flatten(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), [], "doc_id", "n_chars").select("doc_id", "ends", "starts")
