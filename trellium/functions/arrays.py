@@ -22,7 +22,8 @@ def spans_to_mask(spans: Column) -> Column:
 
 
 def spans_are_gapless(spans: Column) -> Column:
-    return F.forall(F.sequence(F.lit(1), F.size(spans)), lambda i: F.get(spans, i - 1)["start"] == F.coalesce(F.get(spans, i - 2)["end"], F.lit(0)))
+    follows = F.forall(F.sequence(F.lit(1), F.size(spans)), lambda i: F.get(spans, i - 1)["start"] == F.coalesce(F.get(spans, i - 2)["end"], F.lit(0)))
+    return (F.size(spans) == 0) | follows
 
 
 def labels_of(ids: Column, mask: Column) -> Column:
@@ -35,7 +36,8 @@ def supervised(labels: Column) -> Column:
 
 def shifted_positions(labels: Column) -> Column:
     """The indexes i whose next label is supervised."""
-    return F.filter(F.sequence(F.lit(0), F.size(labels) - 2), lambda i: F.get(labels, i + 1) != IGNORED)
+    places = F.sequence(F.lit(0), F.greatest(F.size(labels) - 2, F.lit(0)))
+    return F.filter(places, lambda i: F.coalesce(F.get(labels, i + 1) != IGNORED, F.lit(False)))
 
 
 def pad(values: Column, width: Column, filler: int) -> Column:

@@ -39,3 +39,22 @@ def malformed_key(reason: Column) -> Column:
 
 def isclose(a: Column, b: Column, tolerance: float = 1e-9) -> Column:
     return F.abs(a - b) <= tolerance
+
+
+def json_field(text: Column, path: str, kind: str) -> Column:
+    """struct<value, fault>: the field at ``$.path`` as integer, number, string or object, else why not, naming the path.
+
+    Booleans are no numbers; a number without a fraction is an integer too.
+    """
+    field = F.try_variant_get(F.try_parse_json(text), f"$.{path}", "variant")
+    found = F.schema_of_variant(field)
+    number = F.try_variant_get(F.try_parse_json(text), f"$.{path}", "double")
+    numeric = found.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    fits, value = {
+        "integer": (numeric & (number == F.floor(number)), F.floor(number).cast("string")),
+        "number": (numeric, number.cast("string")),
+        "string": (found == "STRING", F.try_variant_get(F.try_parse_json(text), f"$.{path}", "string")),
+        "object": (found.startswith("OBJECT"), F.to_json(field)),
+    }[kind]
+    ok = F.coalesce(fits, F.lit(False))
+    return F.struct(F.when(ok, value).alias("value"), F.when(~ok, F.lit(f"{path}: no {kind}")).alias("fault"))

@@ -52,7 +52,7 @@ def serialize_call(name: Column, arguments: Column) -> Column:
 def coerce(value: Column, declared: Column) -> Column:
     """A variant of the parameter text: verbatim for strings, else JSON, boolean, number, or the text."""
     low = F.lower(strip(value))
-    as_text = F.to_variant_object(value)
+    as_text = value.cast("variant")
     number = strip(value).rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$")
     structured = strip(value).rlike(r"^[{\[]")
     guess = F.coalesce(F.try_parse_json(F.when(low.isin("true", "false"), low).when(structured | number, strip(value))), as_text)

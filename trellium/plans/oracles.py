@@ -22,7 +22,18 @@ counts AS (SELECT conv_id, sum(n)::BIGINT AS tokens, sum(CASE WHEN role = 'assis
   count(*) FILTER (role = 'user' AND NOT starts_with(regexp_replace(text, '^\s+', ''), '<tool_response>')) AS user_turns FROM tok GROUP BY conv_id)"""
 
 
+def _dealt(k: int, **columns: str) -> str:
+    """Rows counted by the values that lists give for event_id modulo k."""
+    chosen = ", ".join(f"{values}[event_id % {k} + 1] AS {name}" for name, values in columns.items())
+    return f"SELECT {chosen}, count(*) AS n FROM events GROUP BY ALL"
+
+
 def oracle_sql() -> dict[str, str]:
+    found = _all()
+    return found | {"resume_cursor": f"SELECT lang, batch, tokens FROM ({found['pack_batches']}) WHERE batch >= 2"}
+
+
+def _all() -> dict[str, str]:
     return {
         "sweep_points": f"WITH {_POINTS} SELECT precision, flag, config, n_runs, throughput, min_throughput, max_throughput, latency FROM points",
         "sweep_validity": f"""WITH {_POINTS}, r AS (SELECT precision, flag, config, CASE WHEN n_reps <> n_runs THEN 'duplicate_repetition'
@@ -183,4 +194,37 @@ def oracle_sql() -> dict[str, str]:
         "logp_stops": "SELECT event_id FROM events WHERE event_id % 10 <> 0 AND value > 20",
         "resume_guard": "SELECT p_partkey FROM part WHERE p_partkey % 10 <> 0",
         "running_totals": "SELECT doc_id, (sum(n_chars) OVER (ORDER BY doc_id))::BIGINT AS ends, (sum(n_chars) OVER (ORDER BY doc_id) - n_chars)::BIGINT AS starts FROM documents",
+        "split_reasonings": _dealt(4, reasoning="['a', 'open', '', 'y']", content="['b', '', 'plain', 'x  z']"),
+        "split_continuations": _dealt(3, reasoning="['a', '', 'c']", content="['b', 'no end', 'd']"),
+        "call_cascade": _dealt(5, names="['f', 'g', 'h,i', '', '']"),
+        "content_outside_calls": _dealt(3, content="['a  b', 'plain', '']"),
+        "closing_marks": _dealt(4, done="[true, false, false, true]", failed="[false, true, false, false]"),
+        "error_results": _dealt(4, error="[true, true, false, false]"),
+        "tool_methods": "SELECT event_id FROM events WHERE event_id % 4 = 2",
+        "annotation_types": _dealt(6, kind="['integer', 'number', 'boolean', 'array', 'object', 'string']"),
+        "parameter_values": _dealt(6, value="""['12', '1.5', 'true', '[1,2]', '"{oops"', '"plain words"']""", as_string="""['"12"', '"1.5"', '"True"', '"[1,2]"', '"{oops"', '"plain words"']"""),
+        "argument_coercion": _dealt(4, value="['3', NULL, NULL, NULL]", reason="[NULL, 'not integer', 'not integer', 'not integer']"),
+        "argument_names": """SELECT CASE WHEN event_type IN ('click', 'view') THEN '' ELSE event_type END AS unknown, CASE WHEN event_type = 'click' THEN '' ELSE 'click' END AS missing, count(*) AS n FROM events GROUP BY ALL""",
+        "python_call_text": _dealt(4, name="['f', 'g', NULL, NULL]", args="['1', '', NULL, NULL]", key="['a', NULL, NULL, NULL]"),
+        "typed_fields": _dealt(6, value="['3', '3', NULL, NULL, NULL, NULL]", fault="[NULL, NULL, 'a.n: no integer', 'a.n: no integer', 'a.n: no integer', 'a.n: no integer']"),
+        "commit_ids": "SELECT event_id FROM events WHERE event_id % 3 = 0",
+        "loss_labels": """WITH d AS (SELECT doc_id, list_transform(range(1, doc_id % 9 + 2), lambda x: CASE WHEN x % 3 = 0 THEN x ELSE -100 END) AS l FROM documents)
+            SELECT doc_id, array_to_string(l, ',') AS labels, len(list_filter(l, lambda x: x <> -100))::INT AS supervised,
+            array_to_string(list_filter(range(0, len(l) - 1), lambda i: l[i + 2] <> -100), ',') AS shifted FROM d""",
+        "padded_batches": """WITH d AS (SELECT doc_id, doc_id % 9 + 1 AS n, max(doc_id % 9 + 1) OVER (PARTITION BY doc_id // 4) AS w FROM documents)
+            SELECT doc_id, array_to_string(list_transform(range(1, w + 1), lambda x: CASE WHEN x <= n THEN x ELSE 0 END), ',') AS padded FROM d""",
+        "training_records": """SELECT doc_id, (doc_id % 9 + 1)::INT AS seq_length, ((doc_id % 9 + 1) // 3)::INT AS supervised_tokens, CASE WHEN doc_id % 9 + 1 < 3 THEN 'unsupervised' END AS fault FROM documents""",
+        "span_masks": """SELECT doc_id, doc_id % 4 <> 3 AS gapless, repeat('0', (doc_id % 4 + 1)::INT) || repeat('1', (6 - doc_id % 4 - CASE WHEN doc_id % 4 = 3 THEN 2 ELSE 1 END)::INT) AS mask FROM documents""",
+        "sampled_logprobs": "SELECT doc_id, [-0.5, -1.5, -2.5, NULL][doc_id % 4 + 1]::DOUBLE AS logprob FROM documents",
+        "completion_differences": "SELECT doc_id, doc_id % 4 IN (0, 1) AS differs FROM documents",
+        "eta_slope": """WITH w AS (SELECT event_id, value, first_value(value) OVER f AS v, first_value(event_id) OVER f AS e FROM events WINDOW f AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+            SELECT event_id, CASE WHEN event_id > e THEN round((value - v) / (event_id - e), 6) END AS s_per_step FROM w""",
+        "episode_summary": """SELECT count(*) AS episodes, round(count(*) * 3600 / 1000.0::DOUBLE, 4) AS episodes_per_hour, round(sum(l_suppkey) / 1000.0::DOUBLE, 4) AS tokens_per_s,
+            round(avg(CASE WHEN l_linestatus = 'O' THEN l_discount END), 6) AS mean_reward, round(avg(l_linenumber), 6) AS mean_steps, count(*) AS invalid_calls,
+            (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT CASE WHEN l_returnflag <> 'R' THEN l_returnflag ELSE 'none' END AS k, count(*) AS n FROM lineitem GROUP BY 1)) AS terminals FROM lineitem""",
+        "snapshot_delta": "SELECT event_type AS name, count(*) FILTER (event_id % 2 <> 0)::DOUBLE AS delta FROM events GROUP BY 1",
+        "rewards_checked": "SELECT l_orderkey, l_linenumber, l_discount AS reward FROM lineitem",
+        "single_manifest": "SELECT p_partkey, 'm' AS manifest_hash FROM part",
+        "epoch_order": "SELECT count(*) AS n, count(DISTINCT p_partkey) AS different FROM part",
+        "release_rows": _dealt(5, reason="['', 'messages: empty', 'messages: not JSON', 'messages: not a list', 'messages.role: empty']"),
     }
