@@ -212,3 +212,19 @@ def test_toxicity_finds_the_sentence():
     score, offending = toxicity.score_text("w1 w2 w3. w4 VILE w5. w6 w7", model.bias, cache)
     assert score >= 0.5 and [(a, b) for a, b, _ in offending] == [(9, 20)]
     assert toxicity.score_text("w1 w2. w3 w4", model.bias, cache)[0] < 0.5 and toxicity.score_text("", model.bias, cache) == (0.0, [])
+
+
+def test_decontamination_in_parts_equals_one_scan(spark):
+    words = [f"w{i}" for i in range(60)]
+    items = [(k, " ".join(words[k * 5 : k * 5 + 12])) for k in range(6)] + [(9, "only three words"), (None, "w1"), (10, None)]
+    texts = [" ".join(words[:30]), " ".join(words[7:19]) + " x " + " ".join(words[:11]), "Only THREE, words", "", None, "clean text"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[0]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def found(limit):
+        got = decontamination.scan(docs, bench, max_bytes=limit).collect()
+        return sorted(((-1 if r.doc_id is None else r.doc_id), r.n_words, r.n_hit, list(r["items"]), sorted(r._spots)) for r in got)
+
+    assert found(60) == found(1 << 20)
+    assert sum(x[2] > 0 for x in found(60)) == 5

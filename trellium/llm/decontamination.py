@@ -131,6 +131,12 @@ def _collect(benchmark: DataFrame, part: int, parts: int) -> list[Grams]:
     return gram_sets([(r[0], r[1]) for r in mine.select(F.col("item_id").cast("string"), "text").collect()])
 
 
+def _row_key() -> Column:
+    """256 bits, so that no two rows of different id or words share a key at any size."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text")]
+    return F.sha2(F.concat(parts[0], F.lit("\x01"), parts[1]).cast("binary"), 256)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MAX_BYTES, keep_text: bool = False) -> DataFrame:
     """``docs``, without text unless it is kept, with ADDED and ``_spots``, the numbers of the words that are hit."""
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
@@ -142,10 +148,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MAX_BYTES, keep
     schema = ", ".join(x for x in (rest, "n_words bigint, n_hit bigint, items array<string>, _spots array<int>") if x)
     if parts == 1:
         return given.mapInArrow(_scanner(_collect(items, 0, 1), "text", keep_text), schema)
-    keyed = given.select(F.xxhash64("doc_id", "text").alias("_key"), "text")
+    keyed = given.select(_row_key().alias("_key"), "text")
     hits = None
     for part in range(parts):
-        found = keyed.mapInArrow(_scanner(_collect(items, part, parts), "text"), "_key bigint, n_words bigint, n_hit bigint, items array<string>, _spots array<int>")
+        found = keyed.mapInArrow(_scanner(_collect(items, part, parts), "text"), "_key string, n_words bigint, n_hit bigint, items array<string>, _spots array<int>")
         table = store(found, "contamination").df
         hits = table if hits is None else hits.unionByName(table)
     united = hits.groupBy("_key").agg(
@@ -153,7 +159,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MAX_BYTES, keep
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("_spots")))).alias("_spots"),
     ).withColumn("n_hit", F.size("_spots").cast("long"))
-    marked = given.withColumn("_key", F.xxhash64("doc_id", "text"))
+    marked = given.withColumn("_key", _row_key())
     return marked.join(united, "_key").select(*kept.columns, *ADDED, "_spots")
 
 
