@@ -172,6 +172,54 @@ def test_join_equals_brute_force(spark, monkeypatch, rule, block):
     assert got == {i: (len(s), low[c]) for i, (s, c) in enumerate(zip(sets, comp, strict=True))}
 
 
+@pytest.mark.parametrize("block", [512, 8])
+def test_join_counts_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rule, words = jaccard_join.Rule(4, 85, 100), [f"w{i}" for i in range(50)]
+    random.seed(11)
+    texts = [None, "", "  "]
+    for size, copies in ((60, 30), (200, 12), (14, 9), (3, 4)):
+        base = random.choices(words, k=size)
+        for _ in range(copies):
+            w = base[:]
+            for _ in range(random.randint(0, 2)):
+                w[random.randrange(len(w))] = random.choice(words)
+            texts.append(" ".join(w))
+    texts += texts[3:9]
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3])], "doc_id long, text string")
+    sets, _ = brute_components([*texts, texts[3]], rule)
+    want = [sum(i != j and bool(a and b) and rule.linked(len(a & b), len(a), len(b)) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    got = jaccard_join.join(docs, rule, count=True).select("doc_id", "n_links").collect()
+    assert max(want) > 2 and sorted(map(tuple, got)) == sorted(zip([*range(len(texts)), 3], want, strict=True))
+
+
+def test_shared_shingles_by_pairs_and_by_products(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 90, 40).astype(np.uint64)) for _ in range(20)]
+    i, j = np.tril_indices(20, -1)
+    want = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 7)
+    for cost in (0, 1 << 40):
+        monkeypatch.setattr(jaccard_join, "PAIR_COST", cost)
+        assert jaccard_join._common(sets, i, j).tolist() == want
+
+
+def test_links_of_the_table(spark, sf):
+    from trellium.llm import queries
+
+    texts = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    rule = jaccard_join.Rule(4, 85, 100)
+    sets, comp = brute_components([t for _, t in texts], rule)
+    low, want = {}, []
+    for (i, _), c in zip(texts, comp, strict=True):
+        low.setdefault(c, i)
+    for k, a in enumerate(sets):
+        n = sum(k != x and bool(a and b) and rule.linked(len(a & b), len(a), len(b)) for x, b in enumerate(sets))
+        want.append((texts[k][0], len(a), n, low[comp[k]]))
+    got = queries.op10_jaccard_links(spark, sf).select("doc_id", "n_shingles", "n_links", "component_id").collect()
+    assert sorted(map(tuple, got)) == want
+
+
 @pytest.mark.parametrize("shard_rows", [8192, 40])
 def test_embeddings_against_brute_force(spark, shard_rows):
     rng = np.random.default_rng(1)

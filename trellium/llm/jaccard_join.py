@@ -28,6 +28,10 @@ connected by verified links, later rounds verify the likeliest pairs between eac
 components, more each round, until none is left out. All pairs that could still change a
 component are verified, but the pairs within a family of copies are never expanded.
 
+``join(..., count=True)`` counts every link as well. Linked sets are in one component, so the
+classes of each component are cut into blocks, and in each pair of blocks all pairs that the
+sketches leave are verified on the full sets. A pair of blocks returns degrees, not pairs.
+
 Scale. What is shuffled are 64-bit keys, about a third as many as shingles, once, then the
 entries of lists that are shared, and the (group, class) pairs with sketches of four bits a shingle, and the full
 sets of classes that have a pair left. A list holds at most one entry a class and a set
@@ -68,6 +72,9 @@ MAX_LIGHT = 24
 #: Wider bands have more segments, but fewer sets that also stand in the next one.
 BAND = 1.6
 MAX_BITS = 1 << 23
+#: Shingles that a product of memberships takes at a time, and its multiplications worth one pair's comparison.
+COLUMNS = 4096
+PAIR_COST = 100_000
 
 
 @dataclass(frozen=True)
@@ -398,6 +405,80 @@ def _verified(rule: Rule):
     return run
 
 
+def _common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many shingles the sets of each pair share."""
+    ids, inverse, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(often > 1) - 1
+    width = int((often > 1).sum())
+    if width * len(sets) ** 2 > PAIR_COST * len(i):
+        both = np.empty(len(i), np.int64)
+        for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+            small, large = (sets[a], sets[b]) if len(sets[a]) <= len(sets[b]) else (sets[b], sets[a])
+            at = np.searchsorted(large, small)
+            at[at == len(large)] = 0
+            both[k] = int((large[at] == small).sum())
+        return both
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    kept = often[inverse] > 1
+    owner, column = owner[kept], place[inverse[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    # counts stay below 2 ** 24, where single precision is exact
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, width, COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        dense = np.zeros((len(sets), min(COLUMNS, width - start)), np.float32)
+        dense[owner[a:b], column[a:b] - start] = 1
+        total += dense @ dense.T
+    return total[i, j].astype(np.int64)
+
+
+def _degrees(rule: Rule):
+    """Over rows sorted by component and pair of blocks (r, i, j): v and the rows of the classes linked with it."""
+
+    def of_group(v, side, m, held) -> Iterator[tuple[int, int]]:
+        if len(v) < 2:
+            return
+        sets = [np.frombuffer(x, U) for x in held]
+        sizes = np.array([len(x) for x in sets])
+        drawn = sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]))
+        i, j, _ = _apart(rule, drawn, sizes, side, np.arange(len(v)))
+        if not len(i):
+            return
+        both = _common(sets, i, j)
+        linked = rule.den * both >= rule.num * (sizes[i] + sizes[j] - both)
+        degree = np.zeros(len(v), np.int64)
+        np.add.at(degree, i[linked], m[j[linked]])
+        np.add.at(degree, j[linked], m[i[linked]])
+        at = np.flatnonzero(degree)
+        yield from zip(v[at].tolist(), degree[at].tolist(), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple] = []
+        group = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            v, side, m, held = zip(*waiting, strict=True)
+            found = list(of_group(np.array(v), np.array(side), np.array(m), list(held)))
+            if found:
+                u, d = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(d, pa.int64())], names=["v", "degree"])
+
+        for batch in batches:
+            r, i, j, side, v, m, held = (c.to_pylist() for c in batch.columns)
+            for k, key in enumerate(zip(r, i, j, strict=True)):
+                if key != group:
+                    if waiting:
+                        yield from done()
+                    waiting.clear()
+                    group = key
+                waiting.append((v[k], side[k], m[k], held[k]))
+        if waiting:
+            yield from done()
+
+    return run
+
+
 def row_key():
     return F.xxhash64("doc_id", "text")
 
@@ -496,11 +577,30 @@ def _union(tables: list[Stored]) -> DataFrame:
     return out
 
 
-def join(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, k, n_shingles, root, component_id: a row for each row of ``docs``.
+def _counted(docs: DataFrame, base: DataFrame, comp: DataFrame, rule: Rule) -> Stored:
+    """sig, n_links of every class: the rows linked with a row of it, other rows of the class among them."""
+    placed = comp.select(F.col("u").alias("v"), F.col("root").alias("r"))
+    nodes = store(placed.unionByName(comp.select(F.col("root").alias("v"), F.col("root").alias("r")).distinct()), "nodes")
+    sets = store(_class_sets(docs, base, nodes.df.select("v"), rule), "sets")
+    weights = base.where("sig is not null").groupBy(F.col("sig").alias("v")).agg(F.count("*").alias("m"))
+    carried = sets.df.dropDuplicates(["v"]).join(weights, "v")
+    dealt = _block_pairs(nodes.df).join(carried, "v").select("r", "i", "j", "b", "v", "m", "tokens")
+    sorted_ = dealt.repartition("r", "i", "j").sortWithinPartitions("r", "i", "j", "v")
+    parts = sorted_.mapInArrow(_degrees(rule), "v long, degree long").groupBy("v").agg(F.sum("degree").alias("degree"))
+    counted = store(
+        weights.join(parts, "v", "left").select(F.col("v").alias("class"), (F.coalesce("degree", F.lit(0)) + F.col("m") - 1).alias("n_links")), "counted"
+    )
+    nodes.drop()
+    sets.drop()
+    return counted
+
+
+def join(docs: DataFrame, rule: Rule, count: bool = False) -> DataFrame:
+    """doc_id, k, n_shingles, root, component_id: a row for each row of ``docs``; with ``count`` also n_links.
 
     ``k`` hashes doc_id and text; ``root`` names the component, null for an empty set;
-    ``component_id`` is its smallest doc_id, for an empty set the document's own.
+    ``component_id`` is its smallest doc_id, for an empty set the document's own;
+    ``n_links`` is the number of other rows linked with the row.
     """
     given = docs.select("doc_id", "text")
     digests = given.select("doc_id", row_key().alias("k"), "text").mapInArrow(_digest(rule), "doc_id long, k long, n long, sig long, sketch binary")
@@ -508,8 +608,13 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
     found = links(given, base, rule)
     comp = connected_components(found.df)
     found.drop()
-    rooted = base.join(comp.df, base["sig"] == comp.df["u"], "left").select(
-        "doc_id", "k", F.col("n").alias("n_shingles"), F.coalesce("root", "sig").alias("root")
+    rows, extra = base, []
+    if count:
+        counted = _counted(given, base, comp.df, rule)
+        rows = base.join(counted.df, base["sig"] == counted.df["class"], "left")
+        extra = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
+    rooted = rows.join(comp.df, base["sig"] == comp.df["u"], "left").select(
+        "doc_id", "k", F.col("n").alias("n_shingles"), F.coalesce("root", "sig").alias("root"), *extra
     )
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     full = rooted.where("root is not null").join(least, "root")
