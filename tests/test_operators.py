@@ -121,3 +121,13 @@ def test_single_value_guard(spark):
     with pytest.raises(Exception, match="more than one h"):
         sweep.assert_single(df, "h").collect()
     assert sweep.assert_single(df.where("h = 'a'"), "h").count() == 1
+
+
+def test_rotate_sampler_takes_the_whole_table(spark, sf):
+    from trellium.plans import queries
+
+    keys = [r["p_partkey"] for r in spark.read.parquet(f"{sf}/part.parquet").collect()]
+    n = len(keys)
+    places = [(k - 1, (k - 1 - 37) % n) for k in keys]
+    want = sorted((idx, place // 8, r, c) for idx, place in places if place < n // 8 * 8 for r in range(2) for c in range(3))
+    assert n > 100 and sorted(map(tuple, queries.rotate_sampler(spark, sf).collect())) == want

@@ -294,8 +294,8 @@ def pack_batches(spark, sf_dir):
 
 @query
 def rotate_sampler(spark, sf_dir):
-    parts = read(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("idx")).where("idx < 100")
-    return batching.rotated(parts, 100, 37, 8, 2, 3).select("idx", "chunk", "round", "copy")
+    parts = read(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("idx"))
+    return batching.rotated(parts, parts.count(), 37, 8, 2, 3).select("idx", "chunk", "round", "copy")
 
 
 @query
