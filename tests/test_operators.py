@@ -131,3 +131,14 @@ def test_rotate_sampler_takes_the_whole_table(spark, sf):
     places = [(k - 1, (k - 1 - 37) % n) for k in keys]
     want = sorted((idx, place // 8, r, c) for idx, place in places if place < n // 8 * 8 for r in range(2) for c in range(3))
     assert n > 100 and sorted(map(tuple, queries.rotate_sampler(spark, sf).collect())) == want
+
+
+def test_pack_batches_holds_every_document(spark):
+    from trellium.plans import queries
+
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").agg(F.count("*"), F.sum("n_chars"), F.count(F.when(F.col("n_chars") > 40000, 1))).first()
+    got = queries.pack_batches(spark, sf).collect()
+    over = [r for r in got if r["tokens"] > 40000]
+    assert (sum(r["rows"] for r in got), sum(r["tokens"] for r in got), len(over)) == tuple(docs)
+    assert docs[2] > 0 and all(r["rows"] == 1 for r in over)

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from trellium.operators import ordered
 
 
-def pack(rows: DataFrame, shard: Sequence[str], order: Sequence[str], length: str, budget: int, padded: bool = False) -> DataFrame:
+def pack(rows: DataFrame, shard: Sequence[str], order: Sequence[str], length: str, budget: int, padded: bool = False, alone: bool = False) -> DataFrame:
     """``rows`` with ``batch``, filled greedily in order within each shard; no row is split.
 
     The cost of a batch is the sum of its lengths, or rows times the longest if padded. A
-    row beyond the budget, or without length, is an error. Rows stream through a task
+    row beyond the budget, unless such rows are to stand ``alone`` in a batch, or without
+    length, is an error. Rows stream through a task
     sorted by shard; what is held is the state of one batch.
     """
     schema = rows.schema.add("batch", "long")
@@ -26,7 +27,7 @@ def pack(rows: DataFrame, shard: Sequence[str], order: Sequence[str], length: st
         for part in parts:
             out = []
             for key, n in zip(part[keys].itertuples(index=False, name=None), part[length].tolist(), strict=True):
-                if n is None or n <= 0 or n > budget:
+                if n is None or not n > 0 or n > budget and not alone:
                     raise ValueError(f"a row of length {n} cannot be in a batch of {budget}")
                 if key != now:
                     now, batch, count, total, longest = key, 0, 0, 0, 0

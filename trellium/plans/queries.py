@@ -287,8 +287,8 @@ def prefix_drift(spark, sf_dir):
 
 @query
 def pack_batches(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").where("n_chars <= 40000")
-    packed = batching.pack(docs, ["lang"], ["doc_id"], "n_chars", 40000)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    packed = batching.pack(docs, ["lang"], ["doc_id"], "n_chars", 40000, alone=True)
     return batching.padding_saved(packed, ["lang", "batch"], "n_chars")
 
 
