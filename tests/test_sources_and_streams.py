@@ -1,4 +1,5 @@
 import json
+import time
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -61,3 +62,15 @@ def test_session_windows_on_a_stream(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     assert metrics.replay(metrics.sessions(stream, "user_id", "ts", "1 minute", "10 seconds"), "sess", "complete").count() == 2
+
+
+def test_a_silent_episode_times_out(spark, tmp_path):
+    df = spark.createDataFrame([("a", 0.0, "open"), ("a", 1.0, "step")], "episode_id string, at double, event string")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    query = episodes.episodes(stream, 2.0).writeStream.format("memory").queryName("silent").trigger(processingTime="1 second").start()
+    until = time.time() + 40
+    while time.time() < until and spark.table("silent").isEmpty():
+        time.sleep(1)
+    query.stop()
+    assert list(map(tuple, spark.table("silent").collect())) == [("a", 0.0, 2.0, 1, 1, "timeout")]

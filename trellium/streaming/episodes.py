@@ -17,14 +17,20 @@ def episodes(events: DataFrame, budget_s: float, max_attempts: int = 3) -> DataF
 
     ``open`` starts an attempt, ``step`` counts, ``done`` ends it. ``crash`` replaces the
     attempt, as often as allowed, and is never scored; an event later than the budget ends
-    it as ``timeout``, which is. Events of an episode that is not open are ignored.
+    it as ``timeout``, which is. So does the clock, when an open episode stays silent for what
+    was left of its budget at its last event. Events of an episode that is not open are ignored.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         opened, steps, attempts = state.get if state.exists else (None, 0, 0)
         rows = []
+        if state.hasTimedOut:
+            rows.append((key[0], opened, opened + budget_s, steps, attempts, "timeout"))
+            opened = None
+            parts = iter(())
         for part in parts:
             for at, event in part.sort_values("at")[["at", "event"]].itertuples(index=False):
+                last = at
                 if event == "open":
                     opened, steps, attempts = at, 0, attempts + 1
                     continue
@@ -50,9 +56,10 @@ def episodes(events: DataFrame, budget_s: float, max_attempts: int = 3) -> DataF
                 state.remove()
         else:
             state.update((opened, steps, attempts))
+            state.setTimeoutDuration(max(1, int(1000 * (budget_s - (last - opened)))))
         yield pd.DataFrame(rows, columns=["episode_id", "opened", "ended", "steps", "attempts", "terminal_reason"])
 
-    return events.groupBy("episode_id").applyInPandasWithState(step, OUT, STATE, "append", "NoTimeout")
+    return events.groupBy("episode_id").applyInPandasWithState(step, OUT, STATE, "append", "ProcessingTimeTimeout")
 
 
 def scored(finished: DataFrame) -> DataFrame:

@@ -71,6 +71,14 @@ def sessions(events: DataFrame, key: str, at: str, gap: str, late: str) -> DataF
 
 def replay(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """What a bounded stream yields, run to its end into memory; for tests and small replays."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+    # a stream with processing-time timers asks for batches without data for ever
+    key, conf = "spark.sql.streaming.noDataMicroBatches.enabled", df.sparkSession.conf
+    before = conf.get(key)
+    if "ProcessingTimeTimeout" in df._jdf.queryExecution().logical().toString():
+        conf.set(key, "false")
+    try:
+        query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        conf.set(key, before)
     return df.sparkSession.table(name)
