@@ -37,8 +37,8 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame) -> Stored:
     """Roots of the nodes that have links.
 
-    ``edges`` has two long columns ``u`` and ``v``; loops, repeats and either
-    direction are allowed, rows with a null end are ignored. Returns a stored table
+    ``edges`` has two columns ``u`` and ``v`` of one orderable type, structs among them;
+    loops, repeats and either direction are allowed, rows with a null end are ignored. Returns a stored table
     ``u, root`` with one row per node that is not the smallest of its component;
     a node that is missing from it is its own root. An empty input gives an empty table.
     """
