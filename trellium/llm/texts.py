@@ -76,6 +76,12 @@ def _cuts(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> list[int]:
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of every text, and n + 1 offsets of the texts into them."""
+    hashes, _, bounds = located_words(data, offsets, word)
+    return hashes, bounds
+
+
+def located_words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, with the byte at which each word starts in between."""
     hashes, starts_at = [], []
     cuts = _cuts(data, offsets, word)
     for a, b in zip(cuts, cuts[1:], strict=False):
@@ -99,9 +105,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tupl
         hashes.append(mix(np.add.reduceat(value, starts)))
         starts_at.append(starts + a)
     if not hashes:
-        return np.empty(0, U), np.zeros(len(offsets), np.int64)
+        return np.empty(0, U), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
     where = np.concatenate(starts_at)
-    return np.concatenate(hashes), np.searchsorted(where, offsets).astype(np.int64)
+    return np.concatenate(hashes), where, np.searchsorted(where, offsets).astype(np.int64)
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
