@@ -19,14 +19,18 @@ many segments, and each set may leave the lists that are longest, one fewer than
 spare: in any fixed order of all lists, linked sets still share the first list they have
 in common. That clears the lists of segments that hold a shared passage alone.
 
-Every pair that shares a key is in the group of that list's smallest class. Groups are cut
-into blocks and compared by pairs of blocks, first on parity sketches: the bits in which
-the sketches of two sets differ are at most as many as their differences, so a pair with
-too many is no link, for certain. A first round verifies, on the full sets, a spanning
-forest of the pairs that remain. Where members of a group that might link are not
-connected by verified links, later rounds verify the likeliest pairs between each two
-components, more each round, until none is left out. All pairs that could still change a
-component are verified, but the pairs within a family of copies are never expanded.
+Every pair that shares a key is in the group of that list's smallest class. Members are
+compared on parity sketches first: the bits in which the sketches of two sets differ are
+at most as many as their differences, so a pair with too many is no link, for certain.
+In the first round a group is cut into blocks, each with the group's panel of some
+``PANEL`` members beside it, and a spanning forest of the pairs that remain in a block is
+verified on the full sets: the panel ties the blocks of a family together at a cost in
+proportion to its size. Where members of a group are still not connected by verified
+links, the later rounds take the members outside the group's largest component, against
+each other and against all the rest, by pairs of blocks, and verify the likeliest pairs
+between each two components, more each round, until none is left out. All pairs that
+could still change a component are verified, but the pairs within a family of copies are
+never expanded.
 
 ``join(..., count=True)`` counts every link as well. Linked sets are in one component, so the
 classes of each component are cut into blocks, and in each pair of blocks all pairs that the
@@ -37,12 +41,18 @@ entries of lists that are shared, and the (group, class) pairs with sketches of
 sets of classes that have a pair left. A list holds at most one entry a class and a set
 spreads over as many lists as it has segments, so a family that a third of the documents
 belong to is spread over many tasks. No list or group is gathered in one task beyond two
-blocks of ``BLOCK`` sketches. Whole texts are used.
+blocks of ``BLOCK`` sketches. What one component, group or class has is joined from
+written tables, so that adaptive execution splits a hot one. Whole texts are used.
+
+Classes are told apart by 128 bits: their numbers have 64, and the few sets whose numbers
+would agree (rows squared over 2^65 are expected) get other ones before anything is
+joined. Rows are told apart by the MD5 of doc_id and text.
 
 Defined results. A text that is null or has no words has an empty set and links with
-nothing. Rows of equal sets, repeated rows among them, are linked. A null doc_id takes
-part in links and is never the smallest of its component unless all are null. Empty
-tables give empty results. Extra columns are kept by ``keep_one``.
+nothing. Rows of equal sets, repeated rows among them, are linked. doc_id is of any
+orderable type; a null one takes part in links and is never the smallest of its component
+unless all are null. Empty tables give empty results. ``keep_one`` keeps extra columns,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -57,12 +67,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellium.llm import bloom, texts
+from trellium.llm import bloom, rows, scratch, texts
 from trellium.llm.components import connected_components
 from trellium.llm.scratch import Stored, store
 
 U = np.uint64
 BLOCK = 512
+#: Members of a group that stand beside each of its blocks in the first round.
+PANEL = 64
 #: Bits of a sketch per shingle, and pairs verified between two components by round.
 SKETCH = 4
 ROUNDS = (4, 64, 1024, 1 << 40)
@@ -148,10 +160,23 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.empty(0, U)), np.cumsum(sizes)
 
 
-def signatures(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A hash of each set; of an empty one too, which the caller leaves out."""
-    total = np.concatenate([np.zeros(1, U), np.cumsum(texts.mix(tokens ^ U(0x5851F42D4C957F2D)), dtype=U)])
-    return texts.mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(U))
+def signatures(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set; of an empty one too, which the caller leaves out."""
+
+    def one(salt: int) -> np.ndarray:
+        total = np.concatenate([np.zeros(1, U), np.cumsum(texts.mix(tokens ^ U(salt)), dtype=U)])
+        return texts.mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(U))
+
+    return one(0x5851F42D4C957F2D), one(0x9FB21C651E98DF25)
+
+
+def class_numbers(tokens: np.ndarray, bounds: np.ndarray, clashes: frozenset[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each set's class, and a second hash; numbers in ``clashes`` give way to other ones."""
+    first, second = signatures(tokens, bounds)
+    number = first.view(np.int64)
+    if clashes:
+        number = np.where(np.isin(number, list(clashes)), texts.mix(first ^ texts.mix(second)).view(np.int64), number)
+    return number, second.view(np.int64)
 
 
 def keys(tokens: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,52 +237,54 @@ def keys(tokens: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray
     return np.concatenate(out_key), np.concatenate(out_set), np.concatenate(out_code)
 
 
-def _digest(rule: Rule):
+def _digest(rule: Rule, clashes: frozenset[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in texts.slices(batch.column(2)):
                 part = batch.slice(a, b - a)
                 tokens, bounds = shingle_sets(part.column(2), rule.n)
                 sizes = np.diff(bounds)
-                sig = pa.array(signatures(tokens, bounds).view(np.int64), mask=sizes == 0)
+                number, second = class_numbers(tokens, bounds, clashes)
                 held = pa.array(sketches(tokens, bounds), pa.binary())
+                empty = sizes == 0
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(sizes), sig, held], names=["doc_id", "k", "n", "sig", "sketch"]
+                    [part.column(0), part.column(1), pa.array(sizes), pa.array(number, mask=empty), pa.array(second, mask=empty), held],
+                    names=["doc_id", "k", "n", "v", "w", "sketch"],
                 )
 
     return run
 
 
-def _entries(rule: Rule):
+def _entries(rule: Rule, clashes: frozenset[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for a, b in texts.slices(batch.column(0)):
                 tokens, bounds = shingle_sets(batch.column(0).slice(a, b - a), rule.n)
-                sig = signatures(tokens, bounds).view(np.int64)
+                number, _ = class_numbers(tokens, bounds, clashes)
                 if len(seen) > 100_000:
                     seen.clear()
-                new = [d for d, s in enumerate(sig.tolist()) if bounds[d] < bounds[d + 1] and not (s in seen or seen.add(s))]
+                new = [d for d, s in enumerate(number.tolist()) if bounds[d] < bounds[d + 1] and not (s in seen or seen.add(s))]
                 if not new:
                     continue
                 sizes = np.diff(bounds)[new]
                 picked = np.concatenate([tokens[bounds[d] : bounds[d + 1]] for d in new])
                 key, owner, code = keys(picked, np.concatenate([[0], np.cumsum(sizes)]), rule)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(sig[new][owner]), pa.array(code)], names=["key", "v", "code"]
+                    [pa.array(key.view(np.int64)), pa.array(number[new][owner]), pa.array(code)], names=["key", "v", "code"]
                 )
 
     return run
 
 
-def _sets(rule: Rule):
+def _sets(rule: Rule, clashes: frozenset[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in texts.slices(batch.column(0)):
                 tokens, bounds = shingle_sets(batch.column(0).slice(a, b - a), rule.n)
                 held = [tokens[bounds[d] : bounds[d + 1]].tobytes() for d in range(b - a)]
-                sig = pa.array(signatures(tokens, bounds).view(np.int64))
-                yield pa.RecordBatch.from_arrays([sig, pa.array(held, pa.binary())], names=["v", "tokens"])
+                number, _ = class_numbers(tokens, bounds, clashes)
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(held, pa.binary())], names=["v", "tokens"])
 
     return run
 
@@ -480,12 +507,33 @@ def _degrees(rule: Rule):
 
 
 def row_key():
-    return F.xxhash64("doc_id", "text")
+    """128 bits that tell rows of different doc_id or text apart."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("doc_id", "text")]
+    return F.md5(F.concat(parts[0], F.lit("\x01"), parts[1]).cast("binary"))
+
 
+def digests(docs: DataFrame, rule: Rule) -> tuple[Stored, frozenset[int]]:
+    """doc_id, k, n, v, w, sketch of every row, and the clashes that were resolved for classes to have numbers of their own.
 
-def _members(docs: DataFrame, rule: Rule) -> Stored:
+    What reaches the driver are the numbers that two different sets share, about the
+    square of the rows over 2^65.
+    """
+    given = docs.select("doc_id", row_key().alias("k"), "text")
+    schema = rows.schema(given.select("doc_id", "k"), ("n", "long"), ("v", "long"), ("w", "long"), ("sketch", "binary"))
+    clashes: frozenset[int] = frozenset()
+    while True:
+        base = store(given.mapInArrow(_digest(rule, clashes), schema), "digests")
+        per = base.df.where("v is not null").groupBy("v").agg(F.min("w").alias("low"), F.max("w").alias("high"))
+        found = {r["v"] for r in per.where("low <> high").select("v").collect()}
+        if found <= clashes:
+            return base, clashes
+        clashes |= found
+        base.drop()
+
+
+def _members(docs: DataFrame, rule: Rule, clashes: frozenset[int]) -> Stored:
     """r, v: the classes of each group of lists with the same smallest class."""
-    entries = docs.select("text").mapInArrow(_entries(rule), "key long, v long, code int")
+    entries = docs.select("text").mapInArrow(_entries(rule, clashes), "key long, v long, code int")
     # both readers need all columns and test for null, so one exchange serves them
     dealt = entries.where("key is not null and v is not null").repartition("key")
     found = dealt.groupBy("key").agg(F.min("v").alias("r"), F.max("v").alias("x"), F.count("code").alias("c"))
@@ -499,10 +547,9 @@ def _members(docs: DataFrame, rule: Rule) -> Stored:
     return members
 
 
-def _class_sets(docs: DataFrame, base: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
+def _class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, rule: Rule, clashes: frozenset[int]) -> DataFrame:
     """v, tokens of the classes in ``wanted``, and of few others; of repeated rows repeated."""
-    classes = base.where("sig is not null").groupBy(F.col("sig").alias("v")).agg(F.min("k").alias("k"))
-    need = store(classes.join(wanted, "v", "left_semi").select("k"), "classes")
+    need = store(classes.join(wanted, "v", "left_semi").select("first.k"), "classes")
     keyed = docs.select(row_key().alias("k"), "text")
     bits, hashes = bloom.plan(max(1, need.df.count()), 10.0)
     if bits <= MAX_BITS:
@@ -510,36 +557,68 @@ def _class_sets(docs: DataFrame, base: DataFrame, wanted: DataFrame, rule: Rule)
         keyed = keyed.where(bloom.probe(F.col("k"), words, bits, hashes, 7))
     else:
         keyed = keyed.join(need.df, "k", "left_semi")
-    return keyed.select("text").mapInArrow(_sets(rule), "v long, tokens binary")
+    return keyed.select("text").mapInArrow(_sets(rule, clashes), "v long, tokens binary")
+
 
+def _panelled(grouped: DataFrame) -> DataFrame:
+    """The rows (r, v) by blocks i of their group of c, the group's panel in each of its blocks."""
+    panel = min(PANEL, BLOCK // 4)
+    blocks = F.when(F.col("c") <= BLOCK, 1).otherwise(F.ceil(F.col("c") / (BLOCK - panel))).cast("int")
+    placed = grouped.withColumn("nb", blocks)
+    own = F.pmod(F.xxhash64("v"), F.col("nb")).cast("int")
+    chosen = (F.col("nb") > 1) & (F.pmod(F.xxhash64("v", F.lit(1)), F.col("c")) < panel)
+    spots = F.when(chosen, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array(own))
+    return placed.withColumn("i", F.explode(spots)).select("r", "v", "i", F.lit(0).alias("j"), F.lit(0).alias("b"))
 
-def _block_pairs(rows: DataFrame) -> DataFrame:
+
+def _block_pairs(every: DataFrame) -> DataFrame:
     """The rows (r, v, ...) of each pair i <= j of blocks of their group, with their block b."""
-    count = rows.groupBy("r").agg(F.count("*").alias("c"))
-    blocks = count.select("r", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
-    placed = rows.join(blocks, "r").withColumn("b", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int"))
+    count = every.groupBy("r").agg(F.count("*").alias("c"))
+    blocks = store(count.select("r", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb")), "counts").df
+    placed = every.join(blocks, "r").withColumn("b", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int"))
     other = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     return other.withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o")).drop("o", "nb")
 
 
-def links(docs: DataFrame, base: DataFrame, rule: Rule) -> Stored:
+def _apart_pairs(placed: DataFrame) -> DataFrame:
+    """The rows (r, v, comp) of groups in several components, by pairs i, j of blocks: those outside the largest one with each other and with it."""
+    sizes = placed.groupBy("r", "comp").agg(F.count("*").alias("c"))
+    most = sizes.groupBy("r").agg(F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("big"), F.count("*").alias("comps"))
+    split = store(most.where("comps > 1").select("r", "c", F.col("big.comp").alias("main"), F.col("big.c").alias("held")), "split").df
+    small = F.col("c") <= BLOCK
+    rest = F.when(small, 1).otherwise(F.ceil((F.col("c") - F.col("held")) / BLOCK)).cast("int")
+    main = F.when(small, 0).otherwise(F.ceil(F.col("held") / BLOCK)).cast("int")
+    known = placed.join(split, "r").withColumns({"nr": rest, "nm": main})
+    outside = small | (F.col("comp") != F.col("main"))
+    spot = F.xxhash64("v")
+    block = F.when(outside, F.pmod(spot, F.col("nr"))).otherwise(F.col("nr") + F.pmod(spot, F.greatest("nm", F.lit(1)))).cast("int")
+    others = F.when(outside, F.sequence(F.lit(0), F.col("nr") + F.col("nm") - 1)).otherwise(F.sequence(F.lit(0), F.col("nr") - 1))
+    dealt = known.withColumn("b", block).withColumn("o", F.explode(others))
+    return dealt.select("r", "v", "comp", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b")
+
+
+def links(docs: DataFrame, classes: DataFrame, rule: Rule, clashes: frozenset[int]) -> Stored:
     """u, v: verified links between classes that connect exactly what all links connect."""
-    members = _members(docs, rule)
+    members = _members(docs, rule, clashes)
     every = members.df.unionByName(members.df.select("r", F.col("r").alias("v")).distinct())
-    sketched = base.where("sig is not null").groupBy(F.col("sig").alias("v")).agg(
-        F.first("n").alias("n"), F.first("sketch").alias("sketch")
-    )
+    counts = store(every.groupBy("r").agg(F.count("*").alias("c")), "counts")
+    grouped = store(every.join(counts.df, "r"), "grouped")
+    sketched = classes.select("v", "n", "sketch")
 
-    def candidates(rows: DataFrame, most: int) -> DataFrame:
-        dealt = _block_pairs(rows).join(sketched, "v").select("r", "i", "j", "b", "v", "n", "comp", "sketch")
-        sorted_ = dealt.repartition("r", "i", "j").sortWithinPartitions("r", "i", "j", "v")
+    def candidates(dealt: DataFrame, most: int) -> DataFrame:
+        with_sketch = dealt.join(sketched, "v").select("r", "i", "j", "b", "v", "n", "comp", "sketch")
+        sorted_ = with_sketch.repartition("r", "i", "j").sortWithinPartitions("r", "i", "j", "v")
         return sorted_.mapInArrow(_candidates(rule, most), "u long, v long").select(
             F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
         ).distinct()
 
-    tested = [store(candidates(every.withColumn("comp", F.col("v")), 0), "pairs")]
+    tested = [store(candidates(_panelled(grouped.df).withColumn("comp", F.col("v")), 0), "pairs")]
+    # a group of one block has been compared as a whole: who has no pair there has no link there
     nodes = store(tested[0].df.select(F.explode(F.array("u", "v")).alias("v")).distinct(), "nodes")
-    sets = store(_class_sets(docs, base, nodes.df, rule), "sets")
+    whole = grouped.df.where(F.col("c") <= BLOCK).join(nodes.df, "v", "left_semi").select("r", "v")
+    might = store(whole.unionByName(grouped.df.where(F.col("c") > BLOCK).select("r", "v")), "might")
+    wanted = might.df.select("v").unionByName(nodes.df).distinct()
+    sets = store(_class_sets(docs, classes, wanted, rule, clashes), "sets")
 
     def verified(pairs: DataFrame) -> Stored:
         left = pairs.join(sets.df.select(F.col("v").alias("u"), F.col("tokens").alias("a")), "u")
@@ -547,25 +626,23 @@ def links(docs: DataFrame, base: DataFrame, rule: Rule) -> Stored:
         return store(both.mapInArrow(_verified(rule), "u long, v long").distinct(), "links")
 
     found = [verified(tested[0].df)]
-    might = store(every.join(nodes.df, "v", "left_semi"), "might")
     for most in ROUNDS:
         known = connected_components(_union(found))
         placed = might.df.join(known.df.select(F.col("u").alias("v"), "root"), "v", "left").select(
             "r", "v", F.coalesce("root", "v").alias("comp")
         )
-        apart = placed.groupBy("r").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("r")
-        more = store(candidates(placed.join(apart, "r", "left_semi"), most), "pairs")
+        more = store(candidates(_apart_pairs(placed), most), "pairs")
         known.drop()
         new = store(more.df.where("u <> v").join(_union(tested), ["u", "v"], "left_anti"), "pairs")
         left_out = not more.df.where("u = v").isEmpty()
         more.drop()
+        tested.append(new)
         if not new.df.isEmpty():
-            tested.append(new)
             found.append(verified(new.df))
         if not left_out:
             break
     every_link = store(_union(found), "links")
-    for held in (members, nodes, sets, might, *tested, *found):
+    for held in (members, counts, grouped, nodes, might, sets, *tested, *found):
         held.drop()
     return every_link
 
@@ -577,70 +654,85 @@ def _union(tables: list[Stored]) -> DataFrame:
     return out
 
 
-def _counted(docs: DataFrame, base: DataFrame, comp: DataFrame, rule: Rule) -> Stored:
-    """sig, n_links of every class: the rows linked with a row of it, other rows of the class among them."""
+def _counted(docs: DataFrame, classes: DataFrame, comp: DataFrame, rule: Rule, clashes: frozenset[int]) -> Stored:
+    """v, n_links of every class: the rows linked with a row of it, other rows of the class among them."""
     placed = comp.select(F.col("u").alias("v"), F.col("root").alias("r"))
     nodes = store(placed.unionByName(comp.select(F.col("root").alias("v"), F.col("root").alias("r")).distinct()), "nodes")
-    sets = store(_class_sets(docs, base, nodes.df.select("v"), rule), "sets")
-    weights = base.where("sig is not null").groupBy(F.col("sig").alias("v")).agg(F.count("*").alias("m"))
+    sets = store(_class_sets(docs, classes, nodes.df.select("v"), rule, clashes), "sets")
+    weights = classes.select("v", "m")
     carried = sets.df.dropDuplicates(["v"]).join(weights, "v")
     dealt = _block_pairs(nodes.df).join(carried, "v").select("r", "i", "j", "b", "v", "m", "tokens")
     sorted_ = dealt.repartition("r", "i", "j").sortWithinPartitions("r", "i", "j", "v")
     parts = sorted_.mapInArrow(_degrees(rule), "v long, degree long").groupBy("v").agg(F.sum("degree").alias("degree"))
     counted = store(
-        weights.join(parts, "v", "left").select(F.col("v").alias("class"), (F.coalesce("degree", F.lit(0)) + F.col("m") - 1).alias("n_links")), "counted"
+        weights.join(parts, "v", "left").select("v", (F.coalesce("degree", F.lit(0)) + F.col("m") - 1).alias("n_links")), "counted"
     )
     nodes.drop()
     sets.drop()
     return counted
 
 
-def join(docs: DataFrame, rule: Rule, count: bool = False) -> DataFrame:
-    """doc_id, k, n_shingles, root, component_id: a row for each row of ``docs``; with ``count`` also n_links.
-
-    ``k`` hashes doc_id and text; ``root`` names the component, null for an empty set;
-    ``component_id`` is its smallest doc_id, for an empty set the document's own;
-    ``n_links`` is the number of other rows linked with the row.
-    """
+def _joined(docs: DataFrame, rule: Rule, count: bool) -> tuple[Stored, Stored, Stored | None]:
+    """The digests, for each class of several rows or with links the first row of its component, and links by class."""
     given = docs.select("doc_id", "text")
-    digests = given.select("doc_id", row_key().alias("k"), "text").mapInArrow(_digest(rule), "doc_id long, k long, n long, sig long, sketch binary")
-    base = store(digests, "digests").df
-    found = links(given, base, rule)
+    base, clashes = digests(given, rule)
+    # a null doc_id comes after all others
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
+    classes = store(
+        base.df.where("v is not null").groupBy("v").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("m"), F.min(row).alias("first")), "classes"
+    )
+    found = links(given, classes.df, rule, clashes)
     comp = connected_components(found.df)
     found.drop()
-    rows, extra = base, []
-    if count:
-        counted = _counted(given, base, comp.df, rule)
-        rows = base.join(counted.df, base["sig"] == counted.df["class"], "left")
+    counted = _counted(given, classes.df, comp.df, rule, clashes) if count else None
+    placed = comp.df.select(F.col("u").alias("v"), "root").unionByName(comp.df.select(F.col("root").alias("v"), "root").distinct())
+    tied = store(placed.join(classes.df.select("v", "first"), "v"), "tied")
+    lows = store(tied.df.groupBy("root").agg(F.min("first").alias("low")), "lows")
+    linked = tied.df.join(lows.df, "root").select("v", "low")
+    alone = classes.df.where("m > 1").join(tied.df.select("v"), "v", "left_anti").select("v", F.col("first").alias("low"))
+    known = store(linked.unionByName(alone), "known")
+    for old in (classes, comp, tied, lows):
+        old.drop()
+    return base, known, counted
+
+
+@scratch.tidy
+def join(docs: DataFrame, rule: Rule, count: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id: a row for each row of ``docs``; with ``count`` also n_links.
+
+    ``component_id`` is the smallest doc_id of the component, for an empty set the
+    document's own; ``n_links`` is the number of other rows linked with the row.
+    """
+    base, known, counted = _joined(docs, rule, count)
+    out = base.df.select("doc_id", "n", "v").join(known.df, "v", "left")
+    extra = []
+    if counted is not None:
+        out = out.join(counted.df, "v", "left")
         extra = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
-    rooted = rows.join(comp.df, base["sig"] == comp.df["u"], "left").select(
-        "doc_id", "k", F.col("n").alias("n_shingles"), F.coalesce("root", "sig").alias("root"), *extra
-    )
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    full = rooted.where("root is not null").join(least, "root")
-    empty = rooted.where("root is null").withColumn("component_id", F.col("doc_id"))
-    return full.unionByName(empty)
+    own = F.when(F.col("low").isNull(), F.col("doc_id")).otherwise(F.col("low.doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), *extra, own.alias("component_id"))
 
 
+@scratch.tidy
 def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
-    """The columns of ``docs``, without all but the smallest row (doc_id, then k) of each component.
+    """The columns of ``docs``, without all but the smallest row (doc_id, then text's hash) of each component.
 
     Documents with an empty set stay, one row of each repeated row.
     """
-    rows = store(join(docs, rule).select("doc_id", "k", "root"), "joined")
-    group = F.coalesce("root", "k")
-    first = rows.df.groupBy(group.alias("g")).agg(F.min(F.struct("doc_id", "k")).alias("m"), F.count("*").alias("c"))
-    many = first.where("c > 1").select("g", F.col("m.k").alias("keep"))
-    touched = rows.df.join(many, group == F.col("g")).groupBy("k").agg(F.max(F.col("k") == F.col("keep")).alias("keep"))
-    held = store(touched, "touched")
-    bits, hashes = bloom.plan(max(1, held.df.count()), 10.0)
-    keyed = docs.withColumn("_k", row_key())
+    base, known, _ = _joined(docs, rule, False)
+    linked = base.df.join(known.df, "v").select("k", (F.col("k") == F.col("low.k")).alias("keep"))
+    empty = base.df.where("v is null").groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k", F.lit(True).alias("keep"))
+    touched = store(linked.unionByName(empty).distinct(), "touched")
+    base.drop()
+    known.drop()
+    bits, hashes = bloom.plan(max(1, touched.df.count()), 10.0)
+    keyed = rows.carry(docs, key=row_key())
     inside = F.lit(True)
     if bits <= MAX_BITS:  # else every row takes the join
-        words = bloom.literal(bloom.build(held.df, "k", bits, hashes, 8))
-        inside = bloom.probe(F.col("_k"), words, bits, hashes, 8)
-    free = keyed.where(~inside)
-    decided = keyed.where(inside).join(held.df.select(F.col("k").alias("_t"), F.col("keep").alias("_keep")), F.col("_k") == F.col("_t"), "left")
-    single = decided.where(F.col("_keep").isNull()).drop("_t", "_keep")
-    kept = decided.where("_keep").drop("_t", "_keep").dropDuplicates(["_k"])
-    return free.unionByName(single).unionByName(kept).select(*docs.columns)
+        words = bloom.literal(bloom.build(touched.df, "k", bits, hashes, 8))
+        inside = bloom.probe(F.col("key"), words, bits, hashes, 8)
+    free = keyed.where(~inside).select("row")
+    decided = keyed.where(inside).join(touched.df.withColumnRenamed("k", "key"), "key", "left")
+    single = decided.where("keep is null").select("row")
+    kept = decided.where("keep").dropDuplicates(["key"]).select("row")
+    return free.unionByName(single).unionByName(kept).select(*rows.restore(docs.columns))
