@@ -8,12 +8,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from trellium.llm import (
-    components, decontamination, embedding_dedup, jaccard_join, line_dedup, mixing, pii, secret_scan, sharding, spans, toxicity, url_filter,
+    components, decontamination, embedding_dedup, jaccard_join, line_dedup, mixing, pii, scratch, secret_scan, sharding, spans, toxicity, url_filter,
 )
 
 LONG = "wort " * 60_000
 TEXTS = [None, "", " \n\t", "a", "a", "one two three four five six seven eight nine ten eleven", LONG, "x\ny\nz\nx\ny\nz", "mail me@a.b.org or +1 234 567 8901", "token = abcdef123456"]
-CLASHES = ("size", "target", "taken", "position", "shard", "slot", "key", "k", "n", "v", "keep", "root", "spans", "score", "starts", "items", "_row", "hash", "listed", "label")
+ADDED = ("size", "target", "taken", "position", "shard", "slot", "spans", "score", "items", "listed", "n_hit", "clean")
+#: Names that operators use inside, or used, and one that needs quotes.
+INSIDE = (
+    "_rank", "_k", "_keep", "_cell", "_copies", "_key", "_found", "_scored", "_row", "_s", "_n", "_digest", "_group", "_weight", "_t", "my col", "a.b", "row", "said", "found",
+    "key", "k", "n", "v", "w", "keep", "root", "starts", "hash", "label", "before", "rank", "at", "copy", "copies", "lines", "doc", "id", "r", "o", "low", "part", "best", "none",
+)
+CLASHES = (*ADDED, *INSIDE)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -45,10 +51,54 @@ def test_odd_and_empty_tables(odd, none, name):
     assert OPERATORS[name](none).collect() == []
 
 
+@pytest.mark.parametrize("name", sorted(set(OPERATORS) - {"join"}))
+def test_extra_columns_are_kept(odd, name):
+    got = OPERATORS[name](odd)
+    own = [f"`{c}`" for c in INSIDE if c in got.columns]
+    assert len(own) == len(INSIDE) and got.where(" or ".join(f"not ({c} <=> 'clash')" for c in own)).isEmpty()
+
+
+def test_pages_and_vectors_with_any_columns(spark):
+    pages = spark.createDataFrame([(1, "x://a.com/fr/")], "page_id long, url string").withColumns({c: F.lit("clash") for c in INSIDE})
+    got = url_filter.judge(pages).first().asDict()
+    assert all(got[c] == "clash" for c in INSIDE) and got["rule"] == "com/fr/"
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in (*INSIDE, "label", "c", "e", "m", "least")})
+    assert [r["n_links"] for r in embedding_dedup.dedup(vectors).collect()] == [1, 1]
+
+
+def test_scratch_tables_go(spark, monkeypatch):
+    before = set(scratch.LIVE)
+    with scratch.scope():
+        held = scratch.store(spark.range(3), "x")
+        assert held.df.count() == 3
+    assert set(scratch.LIVE) == before
+
+    @scratch.tidy
+    def fails():
+        scratch.store(spark.range(3), "x")
+        raise ValueError
+
+    with pytest.raises(ValueError):
+        fails()
+    assert set(scratch.LIVE) == before
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(RuntimeError):
+        scratch.root(Cluster)
+
+
 def test_filters_keep_the_columns(odd, none):
     rule, bench = jaccard_join.Rule(), odd.sparkSession.createDataFrame([(1, "eight nine ten")], "item_id long, text string")
-    for kept in (jaccard_join.keep_one(odd, rule), decontamination.remove(odd, bench), decontamination.remove(odd, bench, spans=True), mixing.emit(odd)):
-        assert kept.columns == odd.columns and kept.where("size <> 'clash'").isEmpty()
+    whole = " or ".join(f"not (`{c}` <=> 'clash')" for c in CLASHES)
+    filters = (jaccard_join.keep_one(odd, rule), decontamination.remove(odd, bench), decontamination.remove(odd, bench, spans=True), mixing.emit(odd), toxicity.remove(odd, toxicity.Model()))
+    for kept in filters:
+        assert kept.columns == odd.columns and kept.where(whole).isEmpty()
     assert jaccard_join.keep_one(none, rule).isEmpty() and mixing.emit(none).isEmpty()
 
 
@@ -61,11 +111,20 @@ def test_no_labels_give_no_scores(odd, none):
 def test_cascade_is_exact(spark):
     universe = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = spark.range(0, 3000, 7).select(F.concat(F.lit("k"), "id").alias("key")).union(spark.createDataFrame([("other",), (None,)], "key string"))
-    cascade = url_filter.build_cascade(universe, listed)
+    cascade = url_filter.build_cascade(url_filter.key_table(universe, listed).df)
     wrong = universe.withColumn("x", cascade.contains(F.col("key"))).where("x <> (cast(substring(key, 2) as int) % 7 = 0)")
     assert len(cascade.levels) > 1 and wrong.isEmpty()
 
 
+def test_cascades_in_segments_are_exact(spark):
+    urls = spark.range(4000).select(F.concat(F.lit("http://sub.k"), "id", F.lit(".net/x")).alias("url"), "id")
+    listed = spark.range(0, 4000, 9).select(F.concat(F.lit("k"), "id", F.lit(".net")).alias("key"))
+    keys = url_filter.key_table(spark.range(4000).select(F.concat(F.lit("k"), "id", F.lit(".net")).alias("key")), listed)
+    assert len(url_filter.cascades(keys.df, 2000)) > 1
+    got = url_filter.judge(urls, listed, (), max_bits=2000)
+    assert got.where("listed <> (id % 9 = 0)").isEmpty() and got.count() == 4000
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "HTTP://A.Example.ORG/es/x?q#f", "x://org", "x://example.org/en/12", "x://example.com/de/", "x://badexample.org/es/", "a://spam-farm.example.net/q", "a://b://c/d"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
@@ -129,7 +188,7 @@ def test_benchmark_parts_agree(spark):
     items = [(i, " ".join(random.choices(words, k=random.choice([3, 9, 10, 14])))) for i in range(30)]
     docs = [(i, " ".join([*random.choices(words, k=20), items[i % 30][1].upper(), *random.choices(words, k=9)])) for i in range(50)]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    whole, parts = (sorted(map(str, decontamination.scan(d, b, n).select("doc_id", "n_words", "n_hit", "items").collect())) for n in (1 << 20, 200))
+    whole, parts = (sorted(map(str, decontamination.scan(d, b, n).select("doc_id", "n_words", "n_hit", "items").collect())) for n in (1 << 20, 3000))
     assert whole == parts and all("n_hit=0" not in x for x in whole)
 
 
@@ -172,6 +231,43 @@ def test_join_equals_brute_force(spark, monkeypatch, rule, block):
     assert got == {i: (len(s), low[c]) for i, (s, c) in enumerate(zip(sets, comp, strict=True))}
 
 
+def test_join_of_sets_whose_numbers_clash(spark, monkeypatch):
+    plain = jaccard_join.signatures
+
+    def few(tokens, bounds):
+        first, second = plain(tokens, bounds)
+        return first & np.uint64(7), second
+
+    texts = [f"{a} {b} {c} {d}" for a in "ab" for b in "cde" for c in "fg" for d in "hij"] + ["a c f h"] * 3 + ["a  c f h x"]
+    docs = spark.createDataFrame([(f"d{i:02}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    monkeypatch.setattr(jaccard_join, "signatures", few)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(docs, jaccard_join.Rule(4, 85, 100)).collect()}
+    want = {f"d{i:02}": f"d{texts.index(t):02}" for i, t in enumerate(texts)}
+    assert got == want and jaccard_join.keep_one(docs, jaccard_join.Rule(4, 85, 100)).count() == len(set(texts))
+
+
+def test_a_family_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 12)
+    random.seed(13)
+    words = [f"w{i}" for i in range(400)]
+    base = random.choices(words, k=90)
+    texts = []
+    for _ in range(150):
+        w = base[:]
+        for _ in range(random.randint(0, 4)):
+            w[random.randrange(len(w))] = random.choice(words)
+        texts.append(" ".join(w))
+    rule = jaccard_join.Rule(4, 85, 100)
+    _, comp = brute_components(texts, rule)
+    low = {}
+    for i, c in enumerate(comp):
+        low.setdefault(c, i)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(docs, rule).collect()}
+    assert got == {i: low[c] for i, c in enumerate(comp)}
+    assert sorted(r["doc_id"] for r in jaccard_join.keep_one(docs, rule).collect()) == sorted(set(low.values()))
+
+
 @pytest.mark.parametrize("block", [512, 8])
 def test_join_counts_every_link(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
@@ -238,6 +334,29 @@ def test_embeddings_against_brute_force(spark, shard_rows):
     assert embedding_dedup.dedup(df.where("false")).isEmpty()
 
 
+def test_repeated_vectors(spark):
+    rows = [(1, [1.0, 2.0], 0), (1, [1.0, 2.0], 0), (1, [-2.0, 1.0], 0), (None, [1.0, 2.0], 0), (5, [2.0, 4.0], 0), (7, [1.0, 2.0], None), (None, [5.0, 5.1], 1), (None, [5.1, 5.0], 1)]
+    got = embedding_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    want = [(1, 0, 1), (1, 3, 1), (1, 3, 1), (5, 3, 1), (7, 0, 7), (None, 1, None), (None, 1, None), (None, 3, 1)]
+    assert sorted([(r["vec_id"], r["n_links"], r["component_id"]) for r in got], key=str) == want
+
+
+@pytest.mark.parametrize("n", [300, 1500])
+def test_all_points_linked(n):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=16) * 30 + rng.normal(size=(n, 16))
+    ids = np.arange(n) * 7919 + 1
+    a = embedding_dedup.Shard(ids, ids, np.ones(n, np.int64), x)
+    a.ef = embedding_dedup._beam(a, a, embedding_dedup.BEAM, 0.98)
+    got = embedding_dedup._links(a, a, 0.98)
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    link = unit @ unit.T >= 0.98
+    np.fill_diagonal(link, False)
+    degree = got[got["n"] > 0].set_index("c")["n"].to_dict()
+    assert link.sum() > n * n / 2 and sum(degree.values()) >= 0.99 * link.sum()
+    assert all(degree.get(c, 0) <= k for c, k in zip(ids.tolist(), link.sum(1).tolist(), strict=True))
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["u"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).df.collect()}
@@ -262,6 +381,52 @@ def test_toxicity_finds_the_sentence():
     assert toxicity.score_text("w1 w2. w3 w4", model.bias, cache)[0] < 0.5 and toxicity.score_text("", model.bias, cache) == (0.0, [])
 
 
+def test_sentences_are_places_in_the_text_as_given():
+    model = toxicity.Model(-3.0, {toxicity.features("vile")[0]: 9.0})
+    text = "\u0130\u0130\u0130\u0130 ok. Vile x."
+    _, offending = toxicity.score_text(text, model.bias, toxicity.weight_cache(model))
+    assert [text[a:b] for a, b, _ in offending] == [" Vile x"]
+
+
+def test_long_items_and_shared_windows(monkeypatch, spark):
+    monkeypatch.setattr(decontamination, "PIECE", 7)
+    words = [f"w{i}" for i in range(300)]
+    random.seed(8)
+    long_item = random.choices(words, k=120)
+    items = [("long", " ".join(long_item)), ("same", " ".join(long_item[20:45])), ("b", "W1, w2"), ("b2", "w1 w2")]
+    texts = [" ".join(long_item[k : k + 14]) for k in range(0, 106, 5)] + ["x w1 w2 y", "w1 x w2", " ".join(long_item[:9])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+
+    def split(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+
+    want = []
+    for i, t in enumerate(texts):
+        w, hit, names = split(t), set(), set()
+        for name, item in items:
+            x = split(item)
+            size = min(10, len(x))
+            runs = {tuple(x[k : k + size]) for k in range(len(x) - size + 1)}
+            for k in range(len(w) - size + 1):
+                if tuple(w[k : k + size]) in runs:
+                    hit |= set(range(k, k + size))
+                    names.add(name)
+        want.append((i, len(w), len(hit), sorted(names)))
+    for limit in (1 << 20, 1500):
+        got = decontamination.scan(docs, bench, max_bytes=limit).collect()
+        assert sorted((r["doc_id"], r["n_words"], r["n_hit"], list(r["items"])) for r in got) == want
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(decontamination.texts, "gram_hashes", lambda words, n: np.zeros(max(0, len(words) - n + 1), np.uint64))
+    import pyarrow as pa
+
+    known = decontamination.gram_set(["a", "b", "a"], np.array([2, 2, 2]), pa.array(["x y z", "y z q", "y z"], pa.large_string()))
+    counts, hits, names, spots = decontamination._scan_slice(pa.array(["o y z p", "z q", "q z", "X,Y"]), known)
+    assert (counts, hits) == ([4, 2, 2, 2], [2, 2, 0, 2]) and names == [["a", "b"], ["b"], [], ["a"]] and spots[0] == [1, 2]
+
+
 def test_decontamination_in_parts_equals_one_scan(spark):
     words = [f"w{i}" for i in range(60)]
     items = [(k, " ".join(words[k * 5 : k * 5 + 12])) for k in range(6)] + [(9, "only three words"), (None, "w1"), (10, None)]
@@ -274,5 +439,6 @@ def test_decontamination_in_parts_equals_one_scan(spark):
         got = decontamination.scan(docs, bench, max_bytes=limit).collect()
         return sorted(((-1 if r.doc_id is None else r.doc_id), r.n_words, r.n_hit, list(r["items"]), sorted(r._spots)) for r in got)
 
-    assert found(60) == found(1 << 20)
-    assert sum(x[2] > 0 for x in found(60)) == 5
+    parts = found(400)
+    assert parts == found(1 << 20)
+    assert sum(x[2] > 0 for x in parts) == 5

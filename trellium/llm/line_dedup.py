@@ -13,8 +13,9 @@ a window is hot. Texts are shuffled once, to meet the lines to remove.
 Defined results. Documents of fewer than three lines, null texts among them, have no
 window. Windows of three blank lines are not repeats. Rows of equal doc_id and equal text
 are one document: they get the same result and are no repeat of one another. A null
-doc_id comes first. Lines end at line feeds. Extra columns are kept; those named like the
-added ones are replaced.
+doc_id comes first. Lines end at line feeds. Windows that overlap are places like others:
+of a run of four or more equal lines only the first stays. Extra columns are kept, whatever their
+names; only those named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trellium.llm import rows
+
 WINDOW = 3
+ADDED = ("n_lines", "removed", "clean")
 
 
 def _lines(text: Column) -> Column:
@@ -62,21 +66,21 @@ def later_places(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with ``n_lines``, ``removed`` (sorted line numbers) and ``clean``, the text that stays."""
-    gone = later_places(docs).select(F.col("doc_id").alias("_doc"), F.col("k").alias("_k"), F.col("starts").alias("_starts"))
-    joined = docs.drop("n_lines", "removed", "clean").withColumn("_key", row_key()).join(
-        gone, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left"
-    )
+    gone = later_places(docs).select(F.col("doc_id").alias("doc"), "k", "starts")
+    given = rows.carry(docs, ADDED, doc_id=F.col("doc_id"), key=row_key())
+    joined = given.join(gone, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("doc")), "left")
+    text = F.col("row.text")
     covered = F.array_sort(
-        F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.array(*[s + j for j in range(WINDOW)]))))
+        F.array_distinct(F.flatten(F.transform("starts", lambda s: F.array(*[s + j for j in range(WINDOW)]))))
     )
     none = F.array().cast("array<int>")
-    marked = joined.withColumn("removed", F.when(F.col("_starts").isNull(), none).otherwise(covered)).withColumn(
-        "n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text"))))
+    marked = joined.withColumn("removed", F.when(F.col("starts").isNull(), none).otherwise(covered)).withColumn(
+        "n_lines", F.when(text.isNull(), 0).otherwise(F.size(_lines(text)))
     )
     stay = F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), F.col("removed"))
-    kept = F.array_join(F.transform(stay, lambda j: F.get(F.col("_lines"), j)), "\n")
+    kept = F.array_join(F.transform(stay, lambda j: F.get(F.col("lines"), j)), "\n")
     return (
-        marked.withColumn("_lines", F.when(F.size("removed") > 0, _lines(F.col("text"))))
-        .withColumn("clean", F.when(F.size("removed") > 0, kept).otherwise(F.col("text")))
-        .drop("_doc", "_k", "_key", "_lines", "_starts")
+        marked.withColumn("lines", F.when(F.size("removed") > 0, _lines(text)))
+        .withColumn("clean", F.when(F.size("removed") > 0, kept).otherwise(text))
+        .select(*rows.restore(rows.kept(docs, ADDED)), *ADDED)
     )

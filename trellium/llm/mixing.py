@@ -9,15 +9,18 @@ often as its target asks; the first word of a copy lies at a cumulative demand,
 inverse under the integrated schedule is the copy's training position in 0 to 1. The
 result is range-sorted by position.
 
-Scale. Offsets inside a source come from sums of 4096 cells (three hexadecimal digits of
-the MD5) and a running sum inside a cell, so a source with a third of all rows is 4096
+Scale. Offsets inside a source come from sums of cells (the first hexadecimal digits of
+the MD5, three or as many more as keep a cell of the whole table at ``CELL_ROWS`` rows)
+and a running sum inside a cell, so a source with a third of all rows is thousands of
 window groups and not one. Sums are combined before the shuffle; the per-source plan is
-one row a source. Nothing is collected.
+one row a source. Only the number of rows reaches the driver.
 
 Defined results. Size is the number of words; a text that is null or has none has size 0
 and is taken 0 times. A null source is a source of its own and comes last. Repeated rows
-are documents of their own; rows of equal doc_id and size are interchangeable. Empty
-tables give empty results. Input columns named like the added ones are replaced.
+are documents of their own; rows of equal doc_id and size are interchangeable. Rows
+without doc_id are placed by a hash of their columns. Empty tables give empty results.
+Extra columns are kept, whatever their names; only those named like the added ones are
+replaced, and ``emit`` keeps these too.
 """
 
 from __future__ import annotations
@@ -26,8 +29,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
+
+from trellium.llm import rows
 
 MAX_EPOCHS = 3
+#: Rows of a cell, beyond which cells are made finer.
+CELL_ROWS = 1 << 17
 #: Weights by rank of the source, repeating, and each one's schedule as (time, factor).
 WEIGHTS = (1, 2, 3)
 SCHEDULES = (
@@ -90,25 +98,35 @@ def source_plan(sizes: DataFrame, max_epochs: int, weights: Sequence[int]) -> Da
     )
 
 
+def _key(docs: DataFrame) -> Column:
+    """What orders a source: the MD5 of doc_id, or of the other columns' hash where that is null."""
+    plain = [rows.named(f.name) for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("\x01"), F.xxhash64(*plain).cast("string"))).cast("binary"))
+
+
 def place(
     docs: DataFrame,
     size: Column | None = None,
     max_epochs: int = MAX_EPOCHS,
     weights: Sequence[int] = WEIGHTS,
     schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
+    replaced: Sequence[str] = ADDED,
 ) -> DataFrame:
-    """``docs`` (doc_id, source, text or a given size) with ADDED, unsorted.
+    """``row``, the columns of ``docs`` but those replaced, and beside it doc_id, ADDED, ``before`` and ``rank``, unsorted.
 
-    ``taken`` counts the words that the mix takes from the document, whole passes over
-    the source first and then its order up to the target, the last document in part.
-    ``position`` is that of the first copy, null where nothing is taken.
+    ``docs`` has doc_id, source, and text or a given size. ``taken`` counts the words that
+    the mix takes from the document, whole passes over the source first and then its order
+    up to the target, the last document in part. ``position`` is that of the first copy,
+    null where nothing is taken.
     """
     size = word_count(F.col("text")) if size is None else size
-    sized = docs.withColumn("_size", size).drop(*ADDED).withColumnRenamed("_size", "size")
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    keyed = sized.withColumns(
-        {"_key": key, "_s": F.coalesce("source", F.lit("")), "_n": F.col("source").isNull(), "_cell": F.substring(key, 1, 3)}
-    )
+    digits = 3
+    count = docs.count()
+    while count > CELL_ROWS * 16**digits:
+        digits += 1
+    source = {"_s": F.coalesce("source", F.lit("")), "_n": F.col("source").isNull()}
+    keyed = rows.carry(docs, replaced, doc_id=F.col("doc_id"), size=size, _key=_key(docs), **source)
+    keyed = keyed.withColumn("_cell", F.substring("_key", 1, digits))
     cells = keyed.groupBy("_s", "_n", "_cell").agg(F.sum("size").alias("_sum"))
     plan = source_plan(cells.groupBy("_s", "_n").agg(F.sum("_sum").alias("source_size")), max_epochs, weights)
     inside = Window.partitionBy("_s", "_n").orderBy("_cell")
@@ -120,22 +138,28 @@ def place(
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     part = F.floor(F.col("target") - (F.col("_passes") * F.col("source_size")).cast("double") + F.lit(0.5)).cast("long")
     taken = F.col("_passes") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_part") - F.col("_before")))
-    share = F.col("_before").cast("double") / F.col("target")
-    at = invert(share, schedules[0])
-    for k in range(1, len(schedules)):
-        at = F.when(F.col("_rank") % len(schedules) == k, invert(share, schedules[k])).otherwise(at)
+    at = _time(F.col("_before").cast("double") / F.col("target"), F.col("_rank"), schedules)
     return (
         offset.withColumn("_passes", passes)
         .withColumn("_part", part)
         .withColumn("taken", taken)
         .withColumn("position", F.when(F.col("taken") > 0, F.round(at, 9)))
-        .drop("_s", "_n", "_cell", "_key", "_start", "_passes", "_part")
+        .select("row", "doc_id", *ADDED, F.col("_before").alias("before"), F.col("_rank").alias("rank"))
     )
 
 
+def _time(share: Column, rank: Column, schedules: Sequence[Sequence[tuple[float, float]]]) -> Column:
+    """The training time of a share of its source's demand, by the source's own schedule."""
+    at = invert(share, schedules[0])
+    for k in range(1, len(schedules)):
+        at = F.when(rank % len(schedules) == k, invert(share, schedules[k])).otherwise(at)
+    return at
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """One row per document with ADDED, range-sorted by training position, untaken ones last."""
-    return place(docs, **options).drop("_before", "_rank").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    ordered = place(docs, **options).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return ordered.select(*rows.restore(rows.kept(docs, ADDED)), *ADDED)
 
 
 def emit(docs: DataFrame, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, **options) -> DataFrame:
@@ -143,17 +167,11 @@ def emit(docs: DataFrame, schedules: Sequence[Sequence[tuple[float, float]]] = S
 
     A copy that the target cuts is emitted whole if half of its words or more are taken.
     """
-    own = {c: f"_own_{c}" for c in docs.columns if c in ADDED}
-    placed = place(docs.withColumnsRenamed(own), schedules=schedules, **options)
+    placed = place(docs, schedules=schedules, replaced=(), **options)
     copies = F.expr("cast(taken div size + if(2 * (taken % size) >= size, 1, 0) as int)")
-    repeated = placed.where("taken > 0").withColumn("_copies", copies).where("_copies > 0").withColumn(
-        "_copy", F.explode(F.expr("sequence(0, _copies - 1)"))
+    repeated = placed.where("taken > 0").withColumn("copies", copies).where("copies > 0").withColumn(
+        "copy", F.explode(F.expr("sequence(0, copies - 1)"))
     )
-    share = F.least(
-        (F.col("_copy") * F.col("source_size") + F.col("_before")).cast("double") / F.col("target"), F.lit(1.0)
-    )
-    at = invert(share, schedules[0])
-    for k in range(1, len(schedules)):
-        at = F.when(F.col("_rank") % len(schedules) == k, invert(share, schedules[k])).otherwise(at)
-    ordered = repeated.withColumn("_at", at).orderBy("_at", "doc_id", "_copy")
-    return ordered.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+    share = F.least((F.col("copy") * F.col("source_size") + F.col("before")).cast("double") / F.col("target"), F.lit(1.0))
+    ordered = repeated.withColumn("at", _time(share, F.col("rank"), schedules)).orderBy("at", "doc_id", "copy")
+    return ordered.select(*rows.restore(docs.columns))

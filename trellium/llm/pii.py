@@ -15,7 +15,8 @@ candidate is counted in it. The scores are column expressions.
 
 Defined results. A null text is empty. Texts without candidates have no spans; a corpus
 without any gives an untrained classifier that nothing is scored with. Repeated rows are
-separate rows. Extra columns are kept; those named like the added ones are replaced.
+separate rows. Extra columns are kept, whatever their names; only ``text`` and one named
+``spans`` are not.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellium.llm import spans
+from trellium.llm import rows, scratch, spans
 from trellium.llm.scratch import store
 
 KINDS = ("email", "ip", "card", "phone", "local_phone", "national_id", "iban")
@@ -112,26 +113,27 @@ def _as(kind: str, found: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` without text, with ``_found``: candidate spans with votes and shape."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    """``row``, the columns of ``docs`` but text, with ``found``: candidate spans with votes and shape."""
+    given = rows.carry(docs, ("text", "spans"), text=F.coalesce(F.col("text"), F.lit("")))
+    text = F.col("text")
     keep = {
         "email": None,
         "ip": lambda v: v.rlike(rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"),
         "card": lambda v: _digit_count(v).between(12, 19) & spans.luhn(v),
         "phone": lambda v: _digit_count(v).between(9, 15),
     }
-    found = docs.withColumns({f"_{k}": spans.find(text, PATTERNS[k], keep.get(k)) for k in KINDS})
+    each = given.withColumns({f"_{k}": spans.find(text, PATTERNS[k], keep.get(k)) for k in KINDS})
     base = [F.col(f"_{k}") for k in BASE]
     parts = [_as(k, F.col(f"_{k}")) for k in BASE]
     for k in KINDS[len(BASE) :]:
         raw = F.col(f"_{k}")
         parts.append(_as(k, F.when(F.size(raw) > 0, spans.outside(raw, base)).otherwise(raw)))
-    return found.withColumn("_found", F.concat(*parts)).drop("text", *[f"_{k}" for k in KINDS])
+    return each.select("row", F.concat(*parts).alias("found"))
 
 
 def histogram(found: DataFrame) -> list[tuple]:
     """(kind, votes, shape, count) of all candidates; its size is bounded by the code."""
-    each = found.select(F.explode("_found").alias("x")).select("x.kind", *[f"x.{v}" for v in VOTES], "x.shape")
+    each = found.select(F.explode("found").alias("x")).select("x.kind", *[f"x.{v}" for v in VOTES], "x.shape")
     rows = each.groupBy(*each.columns).agg(F.count("*").alias("n")).collect()
     return sorted((r["kind"], tuple(r[v] for v in VOTES), r["shape"], r["n"]) for r in rows)
 
@@ -211,13 +213,15 @@ def score(x: Column, weights: dict[str, float]) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
+@scratch.tidy
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` without text, with ``spans``: array<struct<kind, ord, start, end, score>>."""
-    held = store(candidates(docs).drop("spans"), "pii")
+    held = store(candidates(docs), "pii")
     weights = train(histogram(held.df))
     scored = F.transform(
-        "_found",
+        "found",
         lambda x: F.struct(x["kind"], x["ord"], x["start"], x["end"], F.round(score(x, weights), 6).alias("score")),
     )
-    kept = F.filter(F.col("_scored"), lambda x: x["kind"].isin(*BASE) | (x["score"] >= ADD))
-    return held.df.withColumn("_scored", scored).withColumn("spans", kept).drop("_found", "_scored")
+    kept = F.filter(F.col("scored"), lambda x: x["kind"].isin(*BASE) | (x["score"] >= ADD))
+    done = held.df.withColumn("scored", scored).withColumn("spans", kept)
+    return done.select(*rows.restore(rows.kept(docs, ("text", "spans"))), "spans")

@@ -15,7 +15,7 @@ by row. The candidate table, without texts, is written once in the shared folder
 
 Defined results. A null text is empty; an empty or clean text has no span. A null
 repository or owner counts as one of its own. Repeated rows are separate rows. Extra
-columns are kept; those named like the added ones are replaced.
+columns are kept, whatever their names; only ``text`` and one named ``spans`` are not.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellium.llm import spans
+from trellium.llm import rows, scratch, spans
 from trellium.llm.scratch import store
 
 KINDS = ("assign", "access", "hex", "owned")
@@ -67,10 +67,11 @@ def _as(kind: str, found: Column, secret) -> Column:
     )
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` without text, with ``_found``: the candidate spans of each row."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.withColumns(
+def candidates(docs: DataFrame, **own: Column) -> DataFrame:
+    """``row``, the columns of ``docs`` but text, with ``found``, its candidate spans, and the columns given."""
+    given = rows.carry(docs, ("text", "spans"), text=F.coalesce(F.col("text"), F.lit("")), **own)
+    text = F.col("text")
+    each = given.withColumns(
         {
             "_assign": spans.find(text, ASSIGN, lambda v: F.length(assigned(v)) >= LEAST_VALUE),
             "_access": spans.find(text, ACCESS),
@@ -84,14 +85,12 @@ def candidates(docs: DataFrame) -> DataFrame:
     every = F.concat(
         _as("assign", base[0], assigned), _as("access", base[1], same), _as("hex", base[2], same), _as("owned", extra, same)
     )
-    return found.withColumn("_found", every).drop("_assign", "_access", "_hex", "_token", "text")
+    return each.select("row", every.alias("found"), *own)
 
 
-def ownership(found: DataFrame, repository: Column, owner: Column) -> DataFrame:
-    """hash, repositories, owners: in how many distinct ones each candidate value occurs."""
-    each = found.select(
-        F.explode("_found.hash").alias("hash"), F.xxhash64(repository).alias("r"), F.xxhash64(owner).alias("o")
-    )
+def ownership(found: DataFrame) -> DataFrame:
+    """hash, repositories, owners: in how many distinct ones (columns ``r`` and ``o``) each candidate value occurs."""
+    each = found.select(F.explode("found.hash").alias("hash"), "r", "o")
     return (
         each.groupBy("hash", "o", "r").agg(F.count("*").alias("n"))
         .groupBy("hash", "o").agg(F.count("*").alias("rs"))
@@ -106,14 +105,16 @@ def label(random: Column, owners: Column) -> Column:
     )
 
 
+@scratch.tidy
 def scan(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
     """``docs`` without text, with ``spans``: array<struct<kind, ord, start, end, owners, repositories, label>>."""
-    held = store(candidates(docs).drop("spans").withColumn("_row", F.monotonically_increasing_id()), "secrets")
-    stats = ownership(held.df, repository, owner)
-    each = held.df.where(F.size("_found") > 0).select("_row", F.explode("_found").alias("x")).select("_row", "x.*")
-    known = each.join(stats, "hash").withColumn("label", label(F.col("random"), F.col("owners")))
+    each_row = candidates(docs, r=F.xxhash64(repository), o=F.xxhash64(owner))
+    held = store(each_row.withColumn("id", F.monotonically_increasing_id()), "secrets")
+    each = held.df.where(F.size("found") > 0).select("id", F.explode("found").alias("x")).select("id", "x.*")
+    known = each.join(ownership(held.df), "hash").withColumn("label", label(F.col("random"), F.col("owners")))
     kept = known.where((F.col("kind") != "owned") | (F.col("label") == "live"))
     span = F.struct("kind", "ord", "start", "end", "owners", "repositories", "label")
-    per_row = kept.groupBy("_row").agg(F.collect_list(span).alias("spans"))
+    per_row = kept.groupBy("id").agg(F.collect_list(span).alias("spans"))
     nothing = F.expr("filter(array(named_struct('kind','','ord',0,'start',0L,'end',0L,'owners',0L,'repositories',0L,'label','')), x -> false)")
-    return held.df.drop("_found").join(per_row, "_row", "left").withColumn("spans", F.coalesce("spans", nothing)).drop("_row")
+    filled = held.df.join(per_row, "id", "left").withColumn("spans", F.coalesce("spans", nothing))
+    return filled.select(*rows.restore(rows.kept(docs, ("text", "spans"))), "spans")

@@ -7,8 +7,9 @@ tries several capacities at a time: a greedy jump is the largest running sum not
 the last cut plus the capacity, one aggregate per capacity in one job per jump. The
 shards are cut where the greedy pass with that capacity ends.
 
-Scale. The running sum is made of the sums of 4096 cells of digests and a window inside
-a cell, so no task sees all groups. The table of running sums is written once, in the
+Scale. The running sum is made of the sums of cells of digests (three hexadecimal digits,
+or as many more as keep a cell at ``CELL_ROWS`` rows) and a window inside a cell, so no
+task sees all groups. The table of running sums is written once, in the
 shared folder; jumps read only the row groups near their target, by pushed-down bounds.
 A document finds its shard by comparing its digest with at most ``shards - 1`` cut
 digests: no join, no shuffle of texts. Slots come from the counts of (shard, cell of
@@ -16,8 +17,8 @@ doc_id) and a row number inside one.
 
 Defined results. A null text weighs 1 and belongs to the group of the empty text. Fewer
 groups than shards leave the last shards empty. Repeated rows are rows of their own.
-A group larger than its share makes its shard larger, as it must not be split. Input
-columns named like the added ones are replaced.
+A group larger than its share makes its shard larger, as it must not be split. Extra
+columns are kept, whatever their names; only those named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -25,10 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellium.llm import rows, scratch
 from trellium.llm.scratch import store
 
 SHARDS = 8
 PROBES = 24
+#: Rows of a cell, beyond which cells are made finer.
+CELL_ROWS = 1 << 17
+ADDED = ("size", "shard", "slot")
 
 
 def _text(column: Column) -> Column:
@@ -44,9 +49,9 @@ def weight(text: Column) -> Column:
     return F.octet_length(_text(text)).cast("long") + 1
 
 
-def running_sums(groups: DataFrame) -> DataFrame:
+def running_sums(groups: DataFrame, digits: int = 3) -> DataFrame:
     """_group, p: the sum of weights up to and with the group, in order of _group."""
-    celled = groups.withColumn("_cell", F.substring("_group", 1, 3))
+    celled = groups.withColumn("_cell", F.substring("_group", 1, digits))
     cells = celled.groupBy("_cell").agg(F.sum("_weight").alias("_sum"))
     before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select("_cell", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
@@ -100,11 +105,17 @@ def minimax_cuts(sums: DataFrame, shards: int = SHARDS, probes: int = PROBES) ->
     return best
 
 
+@scratch.tidy
 def place(docs: DataFrame, group: Column, size: Column, shards: int = SHARDS) -> DataFrame:
     """``docs`` with ``size``, ``shard`` and ``slot``; rows of equal ``group`` digest share a shard."""
-    marked = docs.withColumn("_group", group).withColumn("_weight", size)
-    groups = marked.groupBy("_group").agg(F.sum("_weight").alias("_weight"))
-    sums = store(running_sums(groups), "shard-sums")
+    marked = rows.carry(docs, ADDED, doc_id=F.col("doc_id"), _group=group, _weight=size)
+    groups = store(marked.groupBy("_group").agg(F.sum("_weight").alias("_weight"), F.count("*").alias("_rows")), "groups")
+    count = groups.df.agg(F.sum("_rows")).first()[0] or 0
+    digits = 3
+    while count > CELL_ROWS * 16**digits:
+        digits += 1
+    sums = store(running_sums(groups.df.drop("_rows"), digits), "shard-sums")
+    groups.drop()
     _, ends = minimax_cuts(sums.df, shards)
     cut = {r["p"]: r["g"] for r in sums.df.where(F.col("p").isin(ends)).groupBy("p").agg(F.max("_group").alias("g")).collect()}
     sums.drop()
@@ -113,14 +124,13 @@ def place(docs: DataFrame, group: Column, size: Column, shards: int = SHARDS) ->
         # a shard that ends at 0 is empty: every group lies behind it
         shard = shard + (F.when(F.col("_group") > cut[end], 1).otherwise(0) if end in cut else F.lit(1))
     key = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("_group")).cast("binary"))
-    placed = marked.withColumn("_shard", shard).withColumn("_key", key).withColumn("_cell", F.substring("_key", 1, 3))
-    counts = placed.groupBy("_shard", "_cell").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_shard", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    order = Window.partitionBy("_shard", "_cell").orderBy("_key")
-    slotted = placed.join(starts, ["_shard", "_cell"]).withColumn("_slot", F.col("_start") + F.row_number().over(order) - 1)
-    kept = [F.col(c) for c in docs.columns if c not in ("size", "shard", "slot")]
-    return slotted.select(*kept, F.col("_weight").alias("size"), F.col("_shard").cast("int").alias("shard"), F.col("_slot").cast("long").alias("slot"))
+    placed = marked.withColumn("shard", shard.cast("int")).withColumn("_key", key).withColumn("_cell", F.substring("_key", 1, digits))
+    counts = placed.groupBy("shard", "_cell").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    order = Window.partitionBy("shard", "_cell").orderBy("_key")
+    slotted = placed.join(starts, ["shard", "_cell"]).withColumn("slot", (F.col("_start") + F.row_number().over(order) - 1).cast("long"))
+    return slotted.select(*rows.restore(rows.kept(docs, ADDED)), F.col("_weight").alias("size"), "shard", "slot")
 
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -14,8 +14,9 @@ whole texts are scored.
 
 Defined results. A null or empty text has no sentence and scores 0. Without labels of
 both classes every score is 0. Several labels of a document count as their maximum; null
-labels or ids are ignored. Repeated rows are rows of their own. Extra columns are kept;
-those named like the added ones are replaced.
+labels or ids are ignored. Repeated rows are rows of their own. Spans are places in the
+text as given. Extra columns are kept, whatever their names; only those named like the
+added ones are replaced.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellium.llm import rows
+
 TRAIN_ROWS = 6000
 TRAIN_CHARS = 50_000
 FEATURES = 4000
@@ -73,9 +76,9 @@ def bag(text: str, known: _Cache) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of all sentences one after the other, and how many each sentence has."""
     buckets: list[int] = []
     counts = []
-    for m in _SENTENCE.finditer(text.lower()):
+    for m in _SENTENCE.finditer(text):
         before = len(buckets)
-        for word in dict.fromkeys(_WORD.findall(m[0])):
+        for word in dict.fromkeys(_WORD.findall(m[0].lower())):
             buckets.extend(known[word])
         if len(buckets) > before:
             counts.append(len(buckets) - before)
@@ -153,8 +156,8 @@ def score_text(text: str, bias: float, cache: _Cache) -> tuple[float, list[tuple
     """The noisy-or score, and (start, end, probability) of sentences of 0.5 and more."""
     blank = math.log1p(math.exp(bias))
     kept, offending = 0.0, []
-    for m in _SENTENCE.finditer(text.lower()):
-        words = set(_WORD.findall(m[0]))
+    for m in _SENTENCE.finditer(text):
+        words = set(_WORD.findall(m[0].lower()))
         if not words:
             continue
         z = math.fsum(map(cache.__getitem__, words))
@@ -173,21 +176,22 @@ def weight_cache(model: Model) -> _Cache:
     return _Cache(lambda word: sum(weights.get(f, 0.0) for f in features(word)))
 
 
-def _scorer(model: Model, text: str, keep_text: bool):
+def _scorer(model: Model, inside: int):
+    """Over batches of a column and a text, which may be field ``inside`` of that column: the column, with ADDED."""
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = weight_cache(model)
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            scored = [score_text(t.as_py() or "", model.bias, cache) for t in batch.column(at)]
-            kept = [i for i in range(batch.num_columns) if keep_text or i != at]
-            columns = [batch.column(i) for i in kept] + [
+            said = batch.column(1) if inside < 0 else batch.column(0).field(inside)
+            scored = [score_text(t.as_py() or "", model.bias, cache) for t in said]
+            columns = [
+                batch.column(0),
                 pa.array([s for s, _ in scored], pa.float64()),
                 pa.array([int(s >= 0.5) for s, _ in scored], pa.int32()),
                 pa.array([[{"start": a, "end": b, "p": p} for a, b, p in o] for _, o in scored], pa.list_(span)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[i] for i in kept] + list(ADDED))
+            yield pa.RecordBatch.from_arrays(columns, names=["row", *ADDED])
 
     return run
 
@@ -216,9 +220,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
     return Model(weights.pop(-1), weights) if weights else Model()
 
 
+def _scored(docs: DataFrame, model: Model, replaced: tuple[str, ...]) -> DataFrame:
+    """``row``, the columns of ``docs`` but those replaced, with ADDED."""
+    given = rows.carry(docs, replaced, said=F.col("text"))
+    kept = [c.lower() for c in rows.kept(docs, replaced)]
+    inside = kept.index("text") if "text" in kept else -1
+    given = given if inside < 0 else given.select("row")
+    found = (("score", "double"), ("predicted", "int"), ("offending", "array<struct<start:int,end:int,p:double>>"))
+    return given.mapInArrow(_scorer(model, inside), rows.schema(given.select("row"), *found))
+
+
 def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
     """``docs``, without text unless it is kept, with ``score``, ``predicted`` (score >= 0.5) and ``offending`` sentences."""
-    given = docs.drop(*ADDED)
-    rest = (given if keep_text else given.drop("text")).schema.simpleString()[len("struct<") : -1]
-    schema = ", ".join(x for x in (rest, "score double, predicted int, offending array<struct<start:int,end:int,p:double>>") if x)
-    return given.mapInArrow(_scorer(model, "text", keep_text), schema)
+    replaced = ADDED if keep_text else (*ADDED, "text")
+    return _scored(docs, model, replaced).select(*rows.restore(rows.kept(docs, replaced)), *ADDED)
+
+
+def remove(docs: DataFrame, model: Model) -> DataFrame:
+    """The columns of ``docs``, without the documents that the model rejects."""
+    return _scored(docs, model, ()).where("predicted = 0").select(*rows.restore(docs.columns))
