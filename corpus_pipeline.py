@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(fold != 0)
     model = toxicity.train(docs, labels)
-    return toxicity.score(docs, model, keep_text=True).where("predicted = 0").select(*docs.columns)
+    return toxicity.remove(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +65,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = None
     for name, stage in STAGES:
         path = f"{scratch.root(spark)}/stage-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch.scope():
+            stage(spark, docs, sf_dir).write.parquet(path)
         if before is not None:
             before.drop()
         docs = spark.read.parquet(path)
