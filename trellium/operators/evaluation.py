@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellium.operators import ordered
+
 
 def category_metrics(tasks: DataFrame, by: Sequence[str] = ("category",)) -> DataFrame:
     """Means, and the invalid-call rate as a ratio of sums; exact success over what reports it."""
@@ -20,8 +22,9 @@ def category_metrics(tasks: DataFrame, by: Sequence[str] = ("category",)) -> Dat
 
 
 def overall(tasks: DataFrame, name: str = "overall") -> DataFrame:
-    """Category metrics with a row over all tasks, re-aggregated from the tasks."""
-    return category_metrics(tasks).unionByName(category_metrics(tasks.withColumn("category", F.lit(name))))
+    """Category metrics with a row over all tasks, in one pass over the tasks."""
+    each = F.array(F.struct(F.col("category").alias("c")), F.struct(F.lit(name).alias("c")))
+    return category_metrics(tasks.withColumn("_c", F.explode(each)).drop("category").withColumn("category", F.col("_c.c")))
 
 
 def terminal_rates(tasks: DataFrame) -> DataFrame:
@@ -68,9 +71,11 @@ def bag_contained(expected: DataFrame, actual: DataFrame, key: Sequence[str], va
     return e.join(a, [*key, value], "left").groupBy(*key).agg(F.bool_and(F.coalesce("have", F.lit(0)) >= F.col("want")).alias("contained"))
 
 
-def running_mean(df: DataFrame, order: Sequence[Column], value: str, by: Sequence[str] = ()) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running_mean", F.round(F.avg(value).over(w), 9))
+def running_mean(df: DataFrame, order: Sequence[str], value: str, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the mean of the values up to each row, by key."""
+    summed = ordered.running(df, order, F.col(value), "_sum", by)
+    counted = ordered.running(summed, order, F.when(F.col(value).isNotNull(), 1).otherwise(0).cast("long"), "_count", by)
+    return counted.withColumn("running_mean", F.round(F.try_divide("_sum", "_count"), 9)).drop("_sum", "_count")
 
 
 def comparable(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -87,16 +92,32 @@ def expect_set(found: DataFrame, expected: DataFrame, key: Sequence[str]) -> Dat
     return missing.unionByName(found.select(*key).exceptAll(expected.select(*key)).withColumn("problem", F.lit("unexpected")))
 
 
-def equivalence(a: DataFrame, b: DataFrame, key: str, reward: str, tolerance: float = 1e-9) -> DataFrame:
-    """Rows of two runs that do not agree: absent on a side, or with another reward."""
-    x, y = a.select(key, F.col(reward).alias("left")), b.select(key, F.col(reward).alias("right"))
-    joined = x.withColumn("_l", F.lit(1)).join(y.withColumn("_r", F.lit(1)), key, "full_outer")
-    problem = F.when(F.col("_l").isNull(), "only_right").when(F.col("_r").isNull(), "only_left").when(F.abs(F.col("left") - F.col("right")) > tolerance, "reward")
-    return joined.withColumn("problem", problem).where("problem is not null").drop("_l", "_r")
-
+def equivalence(a: DataFrame, b: DataFrame, key: str, reward: str, tolerance: float = 1e-9, lists: Sequence[str] = ()) -> DataFrame:
+    """Rows of two runs that do not agree: absent on a side, with another reward (null on one side only among them), or another list.
 
-def comparison_table(metrics: DataFrame, tags: Sequence[str], metric: str) -> DataFrame:
-    """category x tag."""
+    A row that differs in several ways is there several times.
+    """
+    x = a.select(key, F.col(reward).alias("left"), F.struct(F.lit(1).alias("one"), *lists).alias("_l"))
+    y = b.select(key, F.col(reward).alias("right"), F.struct(F.lit(1).alias("one"), *lists).alias("_r"))
+    joined = x.join(y, key, "full_outer")
+    both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
+    far = (F.col("left").isNull() != F.col("right").isNull()) | (F.abs(F.col("left") - F.col("right")) > tolerance)
+    problems = [
+        F.when(F.col("_l").isNull(), "only_right").when(F.col("_r").isNull(), "only_left"),
+        F.when(both & far, "reward"),
+        *[F.when(both & ~F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")), F.lit(c)) for c in lists],
+    ]
+    return joined.withColumn("problem", F.explode(F.array_compact(F.array(*problems)))).drop("_l", "_r")
+
+
+def comparison_table(metrics: DataFrame, tags: Sequence[str], metric: str, manifests: Sequence[DataFrame] = ()) -> DataFrame:
+    """category x tag, for two or more different tags; manifests (key, value) that differ from the first are an error first."""
+    if len(set(tags)) < 2 or len(set(tags)) != len(tags):
+        raise ValueError(f"a comparison takes two or more different tags, not {list(tags)}")
+    for other in manifests[1:]:
+        bad = comparable(manifests[0], other).select("key").orderBy("key").limit(20).collect()
+        if bad:
+            raise ValueError(f"runs differ in {', '.join(r[0] for r in bad)}")
     return metrics.groupBy("category").pivot("tag", list(tags)).agg(F.first(metric))
 
 

@@ -1,4 +1,4 @@
-"""Running totals along one order of all rows, without a task that holds them all."""
+"""Running values along an order, of all rows or by key, without a task that holds a whole group."""
 
 from __future__ import annotations
 
@@ -27,20 +27,90 @@ def _range(rows: DataFrame, order: Sequence[str]) -> Column:
     return F.size(F.filter(F.array(*bounds), lambda b: b <= mine))
 
 
-def running(rows: DataFrame, order: Sequence[str], value: Column, out: str) -> DataFrame:
-    """``rows`` with ``out``, the sum of ``value`` up to and including the row.
+def dealt(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``rows`` with ``_range``; the work on each range of a key is a task of its own."""
+    return rows.withColumn("_range", _range(rows, order))
 
-    Ranges of the order are summed, the sums of at most 2 * RANGES ranges are broadcast, and
-    each range counts on from what lies before it. Rows with equal keys come in any order.
+
+def _carried(ranged: DataFrame, by: Sequence[str], inside: Column, ahead: Column) -> DataFrame:
+    """by, _range, _before: what the ranges ahead of each range of a key amount to; one row a range and key."""
+    return ranged.groupBy(*by, "_range").agg(inside.alias("_part")).select(*by, "_range", ahead.alias("_before"))
+
+
+def _met(ranged: DataFrame, carried: DataFrame, by: Sequence[str]) -> DataFrame:
+    if not by:  # at most 2 * RANGES rows
+        return ranged.join(F.broadcast(carried), "_range")
+    keys = [f"_by{i}" for i in range(len(by))]
+    sides = carried.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col("_range").alias("_at"), "_before")
+    same = F.col("_range") == F.col("_at")
+    for c, k in zip(by, keys, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    return ranged.join(sides, same).drop(*keys, "_at")
+
+
+def running(rows: DataFrame, order: Sequence[str], value: Column, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with ``out``, the sum of ``value`` up to and including the row, by key.
+
+    Ranges of the order are summed, and each range counts on from what lies before it. Rows
+    with equal keys come in any order.
     """
-    dealt = rows.withColumn("_range", _range(rows, order)).withColumn("_value", value)
-    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = dealt.groupBy("_range").agg(F.sum("_value").alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ranged = dealt(rows, order).withColumn("_value", value)
+    ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = _carried(ranged, by, F.sum("_value"), F.coalesce(F.sum("_part").over(ahead), F.lit(0)))
+    inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     total = F.col("_before") + F.coalesce(F.sum("_value").over(inside), F.lit(0))
-    return dealt.join(F.broadcast(before), "_range").withColumn(out, total).drop("_range", "_value", "_before")
+    return _met(ranged, before, by).withColumn(out, total).drop("_range", "_value", "_before")
+
+
+def largest_before(rows: DataFrame, order: Sequence[str], value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with ``out``, the largest ``value`` of the rows before the row, by key; null for none."""
+    ranged = dealt(rows, order)
+    ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = _carried(ranged, by, F.max(value), F.max("_part").over(ahead))
+    inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return _met(ranged, before, by).withColumn(out, F.greatest("_before", F.max(value).over(inside))).drop("_range", "_before")
 
 
-def numbered(rows: DataFrame, order: Sequence[str], out: str = "position") -> DataFrame:
-    """``rows`` with their place in the order, from 0."""
-    return running(rows, order, F.lit(1).cast("long"), out).withColumn(out, F.col(out) - 1)
+def previous(rows: DataFrame, order: Sequence[str], value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with ``out``, the ``value`` of the row before, by key; null for the first."""
+    ranged = dealt(rows, order)
+    ahead = Window.partitionBy(*by).orderBy("_range")
+    last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order))
+    before = _carried(ranged, by, last, F.lag("_part").over(ahead))
+    inside = Window.partitionBy(*by, "_range").orderBy(*order)
+    here = F.lag(F.struct(F.col(value).alias("v"))).over(inside)
+    return _met(ranged, before, by).withColumn(out, F.coalesce(here, "_before")["v"]).drop("_range", "_before")
+
+
+def numbered(rows: DataFrame, order: Sequence[str], out: str = "position", by: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with their place in the order, from 0, by key."""
+    return running(rows, order, F.lit(1).cast("long"), out, by).withColumn(out, F.col(out) - 1)
+
+
+#: Beyond so many values a quantile is looked for in a bracket only, this wide in share of the rows on each side.
+WHOLE, BRACKET, ACCURACY = 10_000, 0.001, 10_000
+
+
+def ranked_value(df: DataFrame, by: Sequence[str], value: str, q: float, rank: Column) -> DataFrame:
+    """by, p: the ``rank``-th smallest value of each group, exact; ``rank`` is made of the count ``n`` and lies near q * n.
+
+    An approximate quantile, whose error is bounded, brackets the value; what lies below the
+    bracket is only counted, and the distinct values inside it are counted and ranked. So a
+    group of any size is combined where it lies, and its window sees a few thousandths of it.
+    """
+    some = df.where(F.col(value).isNotNull())
+    spots = F.array(F.lit(max(0.0, q - BRACKET)), F.lit(min(1.0, q + BRACKET)))
+    stats = some.groupBy(*by).agg(
+        F.count("*").alias("n"), F.min(value).alias("_least"), F.max(value).alias("_most"), F.percentile_approx(value, spots, ACCURACY).alias("_b")
+    )
+    small = F.col("n") < WHOLE
+    bracket = stats.select(*by, "n", F.when(small, F.col("_least")).otherwise(F.col("_b")[0]).alias("_low"), F.when(small, F.col("_most")).otherwise(F.col("_b")[1]).alias("_high"))
+    here = F.lit(True)
+    placed = some.select(*by, F.col(value).alias("_v")).alias("s")
+    for c in by:
+        here = here & F.col(f"s.{c}").eqNullSafe(F.col(f"b.{c}"))
+    met = placed.join(bracket.alias("b"), here & (F.col("s._v") <= F.col("b._high"))).select(*[F.col(f"s.{c}") for c in by], "s._v", "b.n", "b._low")
+    counted = met.groupBy(*by, "n", F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    summed = counted.withColumn("_to", F.sum("_c").over(upto)).withColumn("_rank", rank)
+    return summed.where((F.col("_to") >= F.col("_rank")) & (F.col("_to") - F.col("_c") < F.col("_rank"))).select(*by, F.col("_v").alias("p"))

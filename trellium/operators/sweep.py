@@ -81,9 +81,11 @@ def profiles(df: DataFrame, throughput: str = "throughput", requests: str = "req
     last = [F.col(t) for t in ties]
     t, lo, hi = F.col(throughput), F.col(ttft), F.col(tpot)
 
+    # three pairs of numbers, looked up once
+    ends = df.agg(*[f(c).alias(f"{name}_{c}") for c in {throughput, ttft, tpot} for name, f in (("low", F.min), ("high", F.max))])
+
     def scaled(c: str) -> Column:
-        whole = Window.partitionBy()
-        low, high = F.min(c).over(whole), F.max(c).over(whole)
+        low, high = ends.select(f"low_{c}").scalar(), ends.select(f"high_{c}").scalar()
         return F.when(high == low, F.lit(0.0)).otherwise((F.col(c) - low) / (high - low))
 
     far = df.withColumn("_d", F.sqrt((1 - scaled(throughput)) * (1 - scaled(throughput)) + scaled(ttft) * scaled(ttft) + scaled(tpot) * scaled(tpot)))

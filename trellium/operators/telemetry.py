@@ -26,8 +26,7 @@ def episode_walls(events: DataFrame, key: str, at: str, event: str, opened: str
 def union_duration(intervals: DataFrame, by: Sequence[str], start: str, end: str) -> DataFrame:
     """Per group the time that any interval covers, their sum, number, mean and longest."""
     fixed = intervals.withColumn("_e", F.greatest(start, end))
-    before = Window.partitionBy(*by).orderBy(start, "_e").rowsBetween(Window.unboundedPreceding, -1)
-    covered = fixed.withColumn("_c", F.max("_e").over(before)).withColumn(
+    covered = ordered.largest_before(fixed, [start, "_e"], "_e", "_c", by).withColumn(
         "_new", F.greatest(F.col("_e") - F.greatest(F.col(start), F.coalesce("_c", F.col(start))), F.lit(0.0))
     )
     length = F.col("_e") - F.col(start)
@@ -36,6 +35,33 @@ def union_duration(intervals: DataFrame, by: Sequence[str], start: str, end: str
     )
 
 
+#: The stages of a rollout in the order of its table.
+STAGES = ("generation", "tokenization", "env.create", "env.step", "env.destroy", "parse", "verifier", "scheduling")
+
+
+def stage_table(samples: DataFrame, intervals: DataFrame, wall_s: float, cycles: int = 0) -> DataFrame:
+    """Per stage: time (the union of its intervals, else the sum of its samples), calls, mean and longest, in fixed order.
+
+    ``samples``: stage, seconds; ``intervals``: stage, start, end. Calls and means are of the
+    samples where a stage has any. The last row is the time that no stage was busy.
+    """
+    spans = union_duration(intervals, ["stage"], "start", "end").select("stage", "busy", F.col("calls").alias("i_calls"), F.col("mean").alias("i_mean"), F.col("longest").alias("i_max"))
+    sums = samples.groupBy("stage").agg(F.sum("seconds").alias("total"), F.count("*").alias("calls"), F.avg("seconds").alias("mean"), F.max("seconds").alias("longest"))
+    rows = sums.join(spans, "stage", "full_outer").where(F.col("stage").isin(*STAGES[:-1])).select(
+        "stage", F.coalesce("busy", "total").alias("total_s"), F.coalesce("calls", "i_calls").alias("calls"),
+        F.coalesce("mean", "i_mean").alias("mean_s"), F.coalesce("longest", "i_max").alias("max_s"),
+    )
+    whole = union_duration(intervals.select(F.lit(1).alias("one"), "start", "end"), ["one"], "start", "end").agg(F.max("busy").alias("busy"))
+    idle = whole.join(F.broadcast(rows.agg(F.sum("total_s").alias("sum"))), F.lit(True)).select(
+        F.lit("scheduling").alias("stage"), scheduling(F.lit(float(wall_s)), F.coalesce("busy", F.least("sum", F.lit(float(wall_s))), F.lit(0.0))).alias("total_s"),
+        F.lit(cycles).cast("long").alias("calls"), F.lit(0.0).alias("mean_s"), F.lit(0.0).alias("max_s"),
+    )
+    place = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage"))
+    return rows.unionByName(idle).select(
+        place.cast("int").alias("place"), "stage", F.round("total_s", 4).alias("total_s"), "calls", F.round("mean_s", 6).alias("mean_s"), F.round("max_s", 4).alias("max_s")
+    )
+
+
 def scheduling(wall: Column, busy: Column) -> Column:
     return F.greatest(wall - busy, F.lit(0.0))
 
@@ -45,24 +71,26 @@ def queue_depth(intervals: DataFrame, by: Sequence[str], start: str, end: str) -
     ups = intervals.select(*by, F.col(start).alias("at"), F.lit(1).alias("delta"))
     sweep = ups.unionByName(intervals.select(*by, F.col(end).alias("at"), F.lit(-1).alias("delta")))
     steps = sweep.groupBy(*by, "at", "delta").agg(F.sum("delta").alias("change"))
-    w = Window.partitionBy(*by).orderBy("at", "delta").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("depth", F.sum("change").over(w))
+    return ordered.running(steps, ["at", "delta"], F.col("change"), "depth", by)
+
+
+def depth_summary(depth: DataFrame, by: Sequence[str], last: int = 16) -> DataFrame:
+    """Mean, peak and the last depths, oldest first, of each group's series (at, delta, depth)."""
+    newest = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("at"), F.desc("delta")))
+    tail = depth.withColumn("_n", newest).where(F.col("_n") <= last).groupBy(*by).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "delta", "depth"))), lambda x: x["depth"]).alias("last")
+    )
+    return depth.groupBy(*by).agg(F.round(F.avg("depth"), 6).alias("mean"), F.max("depth").alias("peak")).join(tail, list(by))
 
 
 def nearest_rank(df: DataFrame, by: Sequence[str], value: str, q: float = 0.95) -> DataFrame:
-    """The ceil(q * n)-th smallest value; exact, by rank, without gathering a group in memory."""
-    n = F.count(value).over(Window.partitionBy(*by))
-    at = F.row_number().over(Window.partitionBy(*by).orderBy(value))
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_n", n).withColumn("_at", at)
-    return ranked.where(F.col("_at") == F.ceil(F.lit(q) * F.col("_n"))).select(*by, F.col(value).alias("p"))
+    """The ceil(q * n)-th smallest value, exact."""
+    return ordered.ranked_value(df, by, value, q, F.greatest(F.ceil(F.lit(q) * F.col("n")), F.lit(1)))
 
 
 def rounded_index(df: DataFrame, by: Sequence[str], value: str, p: float) -> DataFrame:
-    """The value at index round(p / 100 * (n - 1)), rounded half to even."""
-    n = F.count(value).over(Window.partitionBy(*by))
-    at = F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_n", n).withColumn("_at", at)
-    return ranked.where(F.col("_at") == F.bround(F.lit(p / 100) * (F.col("_n") - 1))).select(*by, F.col(value).alias("p"))
+    """The value at index round(p / 100 * (n - 1)), rounded half to even, exact."""
+    return ordered.ranked_value(df, by, value, p / 100, F.bround(F.lit(p / 100) * (F.col("n") - 1)) + 1)
 
 
 def episode_summary(episodes: DataFrame, wall_s: float) -> DataFrame:

@@ -8,27 +8,30 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellium.operators import ordered
 
-def counter_increases(samples: DataFrame, series: Sequence[str], at: str, value: str) -> DataFrame:
+
+def counter_increases(samples: DataFrame, series: Sequence[str], at: str | Sequence[str], value: str) -> DataFrame:
     """What each sample adds to its series; after a reset the whole value (batch form)."""
-    before = F.lag(value).over(Window.partitionBy(*series).orderBy(at))
-    return samples.withColumn("increase", F.when(before.isNull(), 0.0).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before))
+    found = ordered.previous(samples, [at] if isinstance(at, str) else at, value, "_last", series)
+    before = F.col("_last")
+    added = F.when(before.isNull(), 0.0).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
+    return found.withColumn("increase", added).drop("_last")
 
 
 def stream_increases(samples: DataFrame, series: str, at: str, value: str) -> DataFrame:
-    """The streaming form: the last value of each series is state. Rows arrive in time order per series."""
+    """The streaming form: the last value of each series is state. A micro-batch is put in time order per series."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        for part in parts:
-            part = part.sort_values(at)
-            added = []
-            for x in part[value].tolist():
-                added.append(0.0 if last is None else (x if x < last else x - last))
-                last = x
-            yield pd.DataFrame({series: [key[0]] * len(part), at: part[at], "increase": added})
+        added = []
+        part = pd.concat(list(parts), ignore_index=True).sort_values(at, kind="stable")
+        for x in part[value].tolist():
+            added.append(0.0 if last is None else (x if x < last else x - last))
+            last = x
         if last is not None:
             state.update((last,))
+        yield pd.DataFrame({series: [key[0]] * len(part), at: part[at], "increase": added})
 
     return samples.groupBy(series).applyInPandasWithState(
         step, f"{series} {dict(samples.dtypes)[series]}, {at} timestamp, increase double", "last double", "append", "NoTimeout"
@@ -62,6 +65,12 @@ def histogram_quantile(buckets: DataFrame, by: Sequence[str], le: str, count: st
     return first.select(*by, F.round(F.when(F.col(le) == float("inf"), F.col("_bound")).otherwise(inside), 6).alias("quantile"))
 
 
+def rate_ratio(hits: DataFrame, queries: DataFrame, keys: Sequence[str] = ("start",)) -> DataFrame:
+    """The share of one rate in another (columns ``rate``), window by window; null where the other is 0 or absent."""
+    a, b = hits.withColumnRenamed("rate", "_hits"), queries.withColumnRenamed("rate", "_queries")
+    return b.join(a, list(keys), "left").select(*keys, F.round(F.try_divide(F.coalesce("_hits", F.lit(0.0)), "_queries"), 6).alias("ratio"))
+
+
 def sessions(events: DataFrame, key: str, at: str, gap: str, late: str) -> DataFrame:
     """Session windows per key, for streams with a watermark."""
     return events.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), key).agg(F.count("*").alias("n")).select(
