@@ -72,6 +72,37 @@ def classify_drift(held: Column, matched: Column, response_start: Column, most:
     return F.when(drift == 0, "clean").when((matched >= response_start) & (drift < most), "realign").otherwise("fork")
 
 
+def cut(ids: Column, budget: Column) -> Column:
+    """The first ``budget`` ids of a row that was generated at a larger budget."""
+    return F.slice(ids, F.lit(1), F.greatest(budget, F.lit(0)).cast("int"))
+
+
+def truncated_spans(spans: Column, matched: Column) -> Column:
+    """The spans (start, end, supervised) of what a drift leaves: those up to ``matched``, the last cut there."""
+    kept = F.filter(spans, lambda s: s["start"] < matched)
+    return F.transform(
+        kept, lambda s: F.struct(s["start"].alias("start"), F.least(s["end"], matched.cast("int")).alias("end"), s["supervised"].alias("supervised"))
+    )
+
+
+def reopened(held: Column, spans: Column, boundary: Column, fresh: Column, response_start: Column, most: int = 1024) -> Column:
+    """struct<kind, drift, tokens, spans, boundary> after a turn's prefix was rendered anew.
+
+    The held tokens beyond the common prefix go, with their spans; the rest of the fresh
+    render follows as context. A fork into the prompt moves the boundary to where it began.
+    """
+    n = common_prefix(held, fresh)
+    drift = F.size(held) - n
+    kind = classify_drift(F.size(held), n, response_start, most)
+    kept = F.when(drift > 0, truncated_spans(spans, n)).otherwise(spans)
+    context = F.struct(n.cast("int").alias("start"), F.size(fresh).cast("int").alias("end"), F.lit(False).alias("supervised"))
+    after = F.when(F.size(fresh) > n, F.concat(kept, F.array(context))).otherwise(kept)
+    return F.struct(
+        kind.alias("kind"), drift.alias("drift"), F.concat(F.slice(held, F.lit(1), n), F.slice(fresh, n + 1, F.size(fresh))).alias("tokens"),
+        after.alias("spans"), F.when((drift > 0) & (n < boundary), n).otherwise(boundary).alias("boundary"),
+    )
+
+
 def record_fault(r: dict[str, Column], version: int, semantics: str) -> Column:
     """The first fault of a training record (ids, labels, seq_length, supervised), null if none."""
     ids, labels = r["input_ids"], r["labels"]

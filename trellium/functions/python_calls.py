@@ -31,6 +31,26 @@ def parse_python_calls(text: Column) -> Column:
     return F.pandas_udf(run, "name string, args array<string>, kwargs map<string,string>")(text)
 
 
+def call_text(name: Column, arguments: Column) -> Column:
+    """``name(k=repr, ...)`` of a call whose ``arguments`` are a JSON object as text, in its order; null for anything else."""
+    import pandas as pd
+
+    def run(names: pd.Series, texts: pd.Series) -> pd.Series:
+        import json
+
+        def one(n: str | None, t: str | None) -> str | None:
+            try:
+                given = json.loads(t) if n is not None and t is not None else None
+            except ValueError:
+                return None
+            return f"{n}({', '.join(f'{k}={v!r}' for k, v in given.items())})" if isinstance(given, dict) else None
+
+        return pd.Series([one(n, t) for n, t in zip(names, texts, strict=True)], dtype=object)
+
+    run.__annotations__ = {"names": pd.Series, "texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(name, arguments)
+
+
 def coerce_argument(value: Column, declared: Column) -> Column:
     """struct<value, reason>: a JSON value as text where it fits the declared type without loss, else why not."""
     whole, number = r"^-?[0-9]+(\.0+)?$", r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
@@ -39,8 +59,8 @@ def coerce_argument(value: Column, declared: Column) -> Column:
         F.when(declared == "boolean", bare.isin("true", "false"))
         .when(declared == "integer", bare.rlike(whole))
         .when(declared == "number", bare.rlike(number))
-        .when(declared == "array", value.rlike(r"(?s)^\s*\[.*\]\s*$"))
-        .when(declared == "object", value.rlike(r"(?s)^\s*\{.*\}\s*$"))
+        .when(declared == "array", F.coalesce(F.schema_of_variant(F.try_parse_json(value)).startswith("ARRAY"), F.lit(False)))
+        .when(declared == "object", F.coalesce(F.schema_of_variant(F.try_parse_json(value)).startswith("OBJECT"), F.lit(False)))
         .otherwise(F.lit(True))
     )
     out = F.when(declared == "integer", F.regexp_replace(bare, r"\.0+$", "")).when(declared.isin("boolean", "number", "string"), bare).otherwise(value)

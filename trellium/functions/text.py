@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LOCAL = r"^(localhost|127\.\d+\.\d+\.\d+|10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+|172\.(1[6-9]|2\d|3[01])\.\d+\.\d+|169\.254\.\d+\.\d+|\[::1\])$"
+#: Loopback, private and link-local hosts; of IPv6 ::1, fc00::/7 and fe80::/10.
+LOCAL = (
+    r"(?i)^(localhost|127\.\d+\.\d+\.\d+|10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+|172\.(1[6-9]|2\d|3[01])\.\d+\.\d+|169\.254\.\d+\.\d+"
+    r"|\[::1\]|\[f[cd][0-9a-f]{2}:[0-9a-f:.]*\]|\[fe[89ab][0-9a-f]:[0-9a-f:.]*(%[^\]]*)?\])$"
+)
 
 
 def redact_endpoint(url: Column) -> Column:
@@ -27,6 +31,12 @@ def sha256(value: Column) -> Column:
     return F.sha2(value.cast("binary"), 256)
 
 
+def checked_sha256(value: Column, digest: Column) -> Column:
+    """The hexadecimal digest of the value, failing where it is not the one expected."""
+    found = sha256(value)
+    return F.when(found == F.lower(digest), found).otherwise(F.raise_error(F.concat(F.lit("digest is "), F.coalesce(found, F.lit("null")))))
+
+
 def is_user_turn(role: Column, content: Column) -> Column:
     """A turn of the user that is no wrapped tool result."""
     return (role == "user") & ~F.coalesce(F.regexp_replace(content, r"^\s+", "").startswith("<tool_response>"), F.lit(False))

@@ -50,12 +50,25 @@ def serialize_call(name: Column, arguments: Column) -> Column:
 
 
 def coerce(value: Column, declared: Column) -> Column:
-    """A variant of the parameter text: verbatim for strings, else JSON, boolean, number, or the text."""
-    low = F.lower(strip(value))
+    """A variant of the parameter text: verbatim for strings, else JSON, boolean, number, or the text.
+
+    Numbers are what Python's int and float read: signs, leading zeros and points, single
+    underscores between digits, inf and nan. A number that is not finite is a double.
+    """
+    bare = strip(value)
+    low = F.lower(bare)
     as_text = value.cast("variant")
-    number = strip(value).rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$")
-    structured = strip(value).rlike(r"^[{\[]")
-    guess = F.coalesce(F.try_parse_json(F.when(low.isin("true", "false"), low).when(structured | number, strip(value))), as_text)
+    digits = r"[0-9](_?[0-9])*"
+    plain = F.replace(low, F.lit("_"), F.lit(""))
+    whole = F.when(low.rlike(rf"^[+-]?{digits}$"), plain.try_cast("decimal(38,0)").cast("variant"))
+    exponent = rf"(e[+-]?{digits})?"
+    real = F.when(low.rlike(rf"^[+-]?({digits}\.?({digits})?|\.{digits}){exponent}$"), plain.try_cast("double"))
+    special = F.when(low.rlike("^[+]?inf(inity)?$"), F.lit(float("inf"))).when(low.rlike("^-inf(inity)?$"), F.lit(float("-inf"))).when(low.rlike("^[+-]?nan$"), F.lit(float("nan")))
+    guess = (
+        F.when(bare.rlike(r"^[{\[]"), F.coalesce(F.try_parse_json(bare), as_text))
+        .when(low.isin("true", "false"), (low == "true").cast("variant"))
+        .otherwise(F.coalesce(whole, real.cast("variant"), special.cast("variant"), as_text))
+    )
     return F.when(declared == "string", as_text).otherwise(guess)
 
 

@@ -116,9 +116,32 @@ def profile_yaml(values: Mapping[str, Any], notes: Sequence[str] = ()) -> str:
     return "".join(f"# {n}\n" for n in notes) + "".join(f"{k}: {scalar(v)}\n" for k, v in values.items())
 
 
-def sweep_report(title: str, sections: Mapping[str, list[dict]]) -> str:
-    """A Markdown report with a table per section; an empty one says so."""
+def sweep_report(title: str, sections: Mapping[str, list[dict]], findings: Sequence[str] = ()) -> str:
+    """A Markdown report with a table per section, an empty one saying so, and the findings as a list."""
     parts = [f"# {title}\n"]
     for name, rows in sections.items():
         parts.append(f"## {name}\n\n" + (markdown_table(rows, list(rows[0])) if rows else "None.\n"))
+    if findings:
+        parts.append("## Findings\n\n" + "".join(f"- {f}\n" for f in findings))
     return "\n".join(parts)
+
+
+def findings(pairs: Sequence[Mapping[str, Any]], base: str, new: str, metric: str) -> list[str]:
+    """What the matched pairs (uplift in percent) say, computed from them."""
+    from statistics import median
+
+    gains = [p["uplift"] for p in pairs if p["uplift"] is not None]
+    if not gains:
+        return [f"No point was measured with both {base} and {new}."]
+    better = sum(g > 0 for g in gains)
+    return [
+        f"{new} has more {metric} than {base} at {better} of {len(gains)} matched points.",
+        f"The median change is {median(gains):+.2f}%, from {min(gains):+.2f}% to {max(gains):+.2f}%.",
+    ]
+
+
+def report(categories: list[dict], exact: bool = True) -> tuple[str, str]:
+    """The JSON and the Markdown of an evaluation: metrics by category, exact success only where it is reported."""
+    kept = [c for c in categories[0] if exact or c != "exact_success_rate"] if categories else []
+    rows = [{k: r.get(k) for k in kept} for r in categories]
+    return json.dumps({"categories": rows}, sort_keys=True, indent=2), markdown_table(rows, kept) if rows else "None.\n"

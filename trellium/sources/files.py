@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
 import json
+import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +36,7 @@ def json_any(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 def catalog(spark: SparkSession, path: str, value: str, key: str = "id") -> DataFrame:
     """A JSON object of objects as rows, the object's key in ``key``."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias(key, "v")).select(key, "v.*")
 
 
@@ -53,14 +56,27 @@ def bundle(runs: DataFrame, points: DataFrame, metrics: DataFrame) -> DataFrame:
     return keyed.join(sides, "folder", "left").join(snaps, ["folder", "run_number"], "left")
 
 
-def metric_samples(lines: DataFrame, column: str = "value") -> DataFrame:
-    """name, labels and number of each exposition line; comments, blanks and non-numbers are skipped."""
-    line = F.trim(F.col(column))
-    head, number = F.regexp_extract(line, r"^(.*)\s+(\S+)$", 1), F.regexp_extract(line, r"^(.*)\s+(\S+)$", 2)
+#: A label of an exposition line; a quote or a backslash in its value is escaped by a backslash.
+LABEL = r'([A-Za-z_][A-Za-z0-9_]*)\s*=\s*"((?:[^"\\]|\\.)*)"'
+
+
+def metric_samples(lines: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """name, labels and number of each exposition line, and columns to keep; comments, blanks and non-numbers are skipped.
+
+    The number follows the last blank. Of a label that is repeated the last value holds.
+    """
+    line = F.regexp_replace(F.col(column), r"^\s+|\s+$", "")
+    head, number = F.regexp_extract(line, r"^(.*) ([^ ]*)$", 1), F.lower(F.regexp_extract(line, r"^(.*) ([^ ]*)$", 2))
+    inside = F.regexp_extract(head, r"^[^{]*\{(.*)\}", 1)
+    names, values = F.regexp_extract_all(inside, F.lit(LABEL), F.lit(1)), F.regexp_extract_all(inside, F.lit(LABEL), F.lit(2))
+    pairs = F.zip_with(names, values, lambda k, v: F.struct(k.alias("key"), F.regexp_replace(v, r'\\(["\\])', "$1").alias("value")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    plain = number.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$")
+    special = F.when(number.rlike(r"^[+]?inf(inity)?$"), F.lit(float("inf"))).when(number.rlike(r"^-inf(inity)?$"), F.lit(float("-inf"))).when(number.rlike("^[+-]?nan$"), F.lit(float("nan")))
     parsed = lines.where((line != "") & ~line.startswith("#")).select(
-        F.regexp_extract(F.trim(head), r"^([^{\s]+)", 1).alias("name"),
-        F.str_to_map(F.regexp_replace(F.regexp_extract(head, r"\{(.*)\}", 1), r"\"", ""), F.lit(","), F.lit("=")).alias("labels"),
-        F.when(number.rlike(r"^[+-]?([0-9.]+([eE][+-]?[0-9]+)?|Inf|NaN)$"), F.expr("try_cast(replace(regexp_extract(trim(%s), '(\\\\S+)$', 1), 'Inf', 'Infinity') as double)" % column)).alias("number"),
+        *keep,
+        F.regexp_replace(F.substring_index(head, "{", 1), r"^\s+|\s+$", "").alias("name"), F.map_from_entries(last).alias("labels"),
+        F.coalesce(special, F.when(plain, number.try_cast("double"))).alias("number"),
     )
     return parsed.where("name <> '' and number is not null")
 
@@ -107,7 +123,62 @@ def markdown_table(rows: list[dict], columns: list[str]) -> str:
 
 
 def lineage_hash(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """One row: the hash of (path, content hash) of all matching files in path order."""
+    """One row: SHA-256 over all matching files in order of their path below the root, folder by folder: the path, a zero byte, the content's digest.
+
+    The folder may be moved without changing it.
+    """
+    below = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    each = files.select(F.struct(F.col("path"), F.sha2("content", 256).alias("h")).alias("x"))
-    return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.concat_ws(":", x["path"], x["h"])), "\n"), 256).alias("lineage"))
+    hashed = files.select("path", F.sha2("content", 256).alias("h"))
+    if empty := empty_files(spark, root, glob):  # which the reader leaves out
+        nothing = spark.range(1).select(F.explode(F.array(*map(F.lit, empty))).alias("path"), F.sha2(F.lit(b""), 256).alias("h"))
+        hashed = hashed.unionByName(nothing)
+    path = F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*", "/")
+    start = F.lit(len(re.sub("^[a-z0-9]+:/*", "/", below)) + 2)
+    below_root = path.substr(start, F.length(path))
+    each = hashed.select(F.struct(F.split(below_root, "/").alias("parts"), below_root.alias("p"), "h").alias("x"))
+    fed = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.concat(F.hex(x["p"].cast("binary")), F.lit("00"), x["h"])), "")
+    return each.agg(F.sha2(F.unhex(fed), 256).alias("lineage"))
+
+
+def empty_files(spark: SparkSession, root: str, glob: str) -> list[str]:
+    """The matching files below a directory that have no bytes."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found, listed = [], where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+    while listed.hasNext():
+        status = listed.next()
+        if status.getLen() == 0 and fnmatch.fnmatchcase(status.getPath().getName(), glob):
+            found.append(status.getPath().toString())
+    return sorted(found)
+
+
+def verified(spark: SparkSession, path: str, digest: str) -> str:
+    """``path``, if the file's SHA-256 is ``digest``; an error otherwise."""
+    found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()
+    if found is None or found[0] != digest.lower():
+        raise ValueError(f"{path} is not the file of SHA-256 {digest}")
+    return path
+
+
+def pinned(spark: SparkSession, paths: Sequence[str], digest: str) -> str:
+    """The first of the paths that exists, verified; nothing is fetched."""
+    jvm = spark._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            return verified(spark, path, digest)
+    raise FileNotFoundError(f"none of {list(paths)} is there")
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1) and text of each line that is no JSON, blank ones left out. A file is read by one task."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "text"))
+    return text.where(r"text rlike '\\S'").where(F.try_parse_json("text").isNull()).select("file", (F.col("i") + 1).alias("line"), "text")
+
+
+def point_faults(found: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The points that are missing from a study, not expected in it, or there more than once."""
+    counted = found.groupBy(*keys).agg(F.count("*").alias("n"))
+    met = counted.join(expected.select(*keys).distinct().withColumn("_e", F.lit(1)), list(keys), "full_outer")
+    problem = F.when(F.col("n").isNull(), "missing").when(F.col("_e").isNull(), "unexpected").when(F.col("n") > 1, "repeated")
+    return met.withColumn("problem", problem).where("problem is not null").select(*keys, "problem")
