@@ -42,13 +42,20 @@ def pack(rows: DataFrame, shard: Sequence[str], order: Sequence[str], length: st
     return dealt.mapInPandas(run, schema)
 
 
+def epoch_key(rows: DataFrame, key: str, seed: int, epoch: int, out: str = "epoch_key") -> DataFrame:
+    """``rows`` with what orders them in an epoch: a hash of the key that changes with seed plus epoch."""
+    return rows.withColumn(out, F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed + epoch}")).cast("binary")))
+
+
 def epoch_order(rows: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
     """Rows in a fixed pseudo-random order of the epoch."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed + epoch)), key)
+    return epoch_key(rows, key, seed, epoch, "_key").orderBy("_key", key).drop("_key")
 
 
-def resume(batches: DataFrame, cursor: int, column: str = "batch") -> DataFrame:
-    return batches.where(F.col(column) >= cursor)
+def resume(batches: DataFrame, cursor: int, column: str = "batch", epoch: int | None = None, at: str = "epoch") -> DataFrame:
+    """The batches from the cursor on; with ``epoch`` the cursor counts in that one only and earlier epochs are done."""
+    here = F.col(column) >= cursor
+    return batches.where(here if epoch is None else (F.col(at) > epoch) | ((F.col(at) == epoch) & here))
 
 
 def rotated(rows: DataFrame, n: int, cursor: int, chunk: int, repeats: int, mini: int, index: str = "idx") -> DataFrame:

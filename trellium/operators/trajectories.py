@@ -2,50 +2,91 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellium.functions.text import is_user_turn, malformed_key
 from trellium.functions.toolcalls import strip
 
-MESSAGE = "struct<role:string,content:string,reasoning_content:string,name:string,tool_calls:array<struct<function:struct<name:string,arguments:string>,name:string,arguments:string>>>"
+CALL = "struct<function:struct<name:string,arguments:string>,name:string,arguments:string>"
+MESSAGE = f"struct<role:string,content:string,reasoning_content:string,name:string,tool_calls:array<{CALL}>>"
 
 
 def parse_release(rows: DataFrame) -> DataFrame:
-    """Release rows (task_info, traj_type, messages, tools, steps) with decoded fields and the first fault.
+    """Release rows (task_info, traj_type, messages, tools, steps, user_messages if there) with decoded fields and the first fault.
 
-    ``malformed_reason`` is null for good rows; no row is dropped.
+    ``malformed_reason`` is null for good rows; no row is dropped. Tools that are no objects
+    are left out, and user messages that are no strings become their JSON.
     """
     messages = F.from_json("messages", f"array<{MESSAGE}>")
+    said = F.col("user_messages") if "user_messages" in rows.columns else F.lit(None).cast("string")
+
+    def listed(column: Column) -> Column:
+        return F.coalesce(F.schema_of_variant(F.try_parse_json(column)).startswith("ARRAY"), F.lit(False))
+
+    def fault(column: Column, name: str) -> Column:
+        return F.when(F.try_parse_json(column).isNull() & column.isNotNull(), f"{name}: not JSON").when(
+            column.isNotNull() & ~listed(column) & ~strip(column).isin("null", "{}", '""', "0", "false"), f"{name}: not a list"
+        )
+
     reason = (
         F.when(F.col("task_info").isNull(), "task_info: not an object")
         .when(F.coalesce(F.col("task_info.task_id"), F.lit("")) == "", "task_info.task_id: empty")
         .when(F.try_parse_json("messages").isNull(), "messages: not JSON")
-        .when(messages.isNull() | ~strip(F.col("messages")).startswith("["), "messages: not a list")
+        .when(messages.isNull() | ~listed(F.col("messages")), "messages: not a list")
         .when(F.size(messages) == 0, "messages: empty")
         .when(F.exists(messages, lambda m: F.coalesce(m["role"], F.lit("")) == ""), "messages.role: empty")
     )
+    faults = F.coalesce(reason, fault(F.col("tools"), "tools"), fault(said, "user_messages"))
+    variants = lambda c: F.try_variant_get(F.try_parse_json(c), "$", "array<variant>")
+    objects = F.filter(variants(F.col("tools")), lambda t: F.schema_of_variant(t).startswith("OBJECT"))
+    spoken = F.transform(variants(said), lambda u: F.when(F.schema_of_variant(u) == "STRING", F.try_variant_get(u, "$", "string")).otherwise(F.to_json(u)))
     return rows.withColumns({
-        "malformed_reason": reason,
+        "malformed_reason": faults,
         "uid": F.concat_ws(":", "task_info.task_id", "traj_type"),
         "decoded": F.transform(messages, normalize_message),
-        "tool_list": F.try_parse_json("tools"),
+        "tool_list": F.transform(F.coalesce(objects, F.array().cast("array<variant>")), lambda t: F.to_json(t)),
+        "said": F.coalesce(spoken, F.array().cast("array<string>")),
         "n_steps": F.coalesce(F.col("steps"), F.lit(0)).cast("int"),
     })
 
 
+def call_arguments(text: Column) -> Column:
+    """The arguments of a call as a JSON object: text that is no JSON under ``__raw__``, a value that is no object under ``__value__``."""
+    parsed = F.try_parse_json(text)
+    kind = F.schema_of_variant(parsed)
+    return (
+        F.when(text.isNull(), "{}")
+        .when(parsed.isNull(), F.to_json(F.struct(text.alias("__raw__"))))
+        .when(kind.startswith("OBJECT"), F.to_json(parsed))
+        .otherwise(F.concat(F.lit('{"__value__":'), F.coalesce(F.to_json(parsed), F.lit("null")), F.lit("}")))
+    )
+
+
 def normalize_message(m: Column) -> Column:
     """Empty reasoning as null, and tool calls as named (name, arguments)."""
     calls = F.filter(
         F.transform(
             m["tool_calls"],
-            lambda c: F.struct(F.coalesce(c["function"]["name"], c["name"]).alias("name"), F.coalesce(c["function"]["arguments"], c["arguments"]).alias("arguments")),
+            lambda c: F.struct(
+                F.nullif(F.coalesce(c["function"]["name"], c["name"]), F.lit("")).alias("name"),
+                call_arguments(F.coalesce(c["function"]["arguments"], c["arguments"])).alias("arguments"),
+            ),
         ),
         lambda c: c["name"].isNotNull(),
     )
     return F.struct(m["role"].alias("role"), m["content"].alias("content"), F.nullif(m["reasoning_content"], F.lit("")).alias("reasoning_content"), m["name"].alias("name"), calls.alias("tool_calls"))
 
 
+def message_json(m: Column) -> Column:
+    """A normalised message as the JSON that a template takes: null fields left out, calls wrapped as functions."""
+    wrapped = F.transform(m["tool_calls"], lambda c: F.struct(F.lit("function").alias("type"), F.struct(c["name"].alias("name"), F.parse_json(c["arguments"]).alias("arguments")).alias("function")))
+    some = F.when(F.size(m["tool_calls"]) > 0, wrapped)
+    return F.to_json(F.struct(m["role"].alias("role"), m["content"].alias("content"), m["reasoning_content"].alias("reasoning_content"), m["name"].alias("name"), some.alias("tool_calls")))
+
+
 def template_messages(messages: Column, reasoning: bool = True) -> Column:
     """Messages as a chat template takes them: tool results wrapped as user turns."""
 
@@ -66,12 +107,56 @@ def render(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>\n"))), "")
 
 
-def trim_after_last_assistant(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """Rows up to the last assistant turn of each trajectory, and how many were cut."""
-    last = F.max(F.when(F.col("role") == "assistant", F.col(order))).over(Window.partitionBy(key))
-    marked = turns.withColumn("_last", last)
-    cut = F.count_if(F.col(order) > F.col("_last")).over(Window.partitionBy(key))
-    return marked.withColumn("removed", cut).where(F.col(order) <= F.col("_last")).drop("_last")
+#: How the tools of a conversation are announced to the model.
+TOOLS_HEAD = "# Tools\n\nYou have access to the following functions:\n\n<tools>"
+TOOLS_TAIL = "\n</tools>"
+
+
+def with_history(messages: Column, keep_reasoning: bool = False) -> Column:
+    """Assistant turns with their reasoning in a think block, where it is kept: always, or only after the last turn of the user.
+
+    ``messages`` have role, content and reasoning_content; a user turn that wraps a tool's
+    result does not count as one of the user.
+    """
+    def spoken(m: Column) -> Column:
+        content = strip(F.coalesce(m["content"], F.lit("")))
+        return (m["role"] == "user") & ~(content.startswith("<tool_response>") & content.endswith("</tool_response>"))
+
+    asked = F.array_max(F.transform(messages, lambda m, i: F.when(spoken(m), i).otherwise(-1)))
+
+    def one(m: Column, i: Column) -> Column:
+        content = strip(F.coalesce(m["content"], F.lit("")))
+        thought = F.coalesce(m["reasoning_content"], F.when(F.instr(content, "</think>") > 0, F.substring_index(F.substring_index(content, "</think>", 1), "<think>", -1)), F.lit(""))
+        answer = F.when(m["reasoning_content"].isNull(), F.regexp_replace(F.substring_index(content, "</think>", -1), r"^\n+", "")).otherwise(content)
+        shown = F.lit(True) if keep_reasoning else i > asked
+        block = F.concat(F.lit("<think>\n"), strip(thought), F.lit("\n</think>\n\n"), answer)
+        return F.struct(m["role"].alias("role"), F.when(m["role"] == "assistant", F.when(shown, block).otherwise(answer)).otherwise(content).alias("content"))
+
+    return F.transform(messages, one)
+
+
+def tools_prompt(tools: Column, system: Column) -> Column:
+    """The system message that announces tools (JSON texts) before what the system says; the latter alone without tools."""
+    listed = F.array_join(F.transform(tools, lambda t: F.concat(F.lit("\n"), t)), "")
+    rest = F.when(F.coalesce(strip(system), F.lit("")) != "", F.concat(F.lit("\n\n"), strip(system))).otherwise("")
+    return F.when(F.size(tools) > 0, F.concat(F.lit(TOOLS_HEAD), listed, F.lit(TOOLS_TAIL), rest)).otherwise(strip(system))
+
+
+def trim_after_last_assistant(turns: DataFrame, key: str = "conv_id", order: str = "turn", strict: bool = False) -> DataFrame:
+    """Rows up to the last assistant turn of each trajectory, and how many were cut.
+
+    A trajectory without a turn of the user, or without an assistant turn after one, has
+    nothing to train on: it is left out, or an error if ``strict``.
+    """
+    by = Window.partitionBy(key)
+    user = is_user_turn(F.col("role"), F.col("text"))
+    marked = turns.withColumn("_last", F.max(F.when(F.col("role") == "assistant", F.col(order))).over(by)).withColumn("_asked", F.min(F.when(user, F.col(order))).over(by))
+    fault = F.when(F.col("_asked").isNull(), "no turn of the user").when(F.coalesce(F.col("_last") < F.col("_asked"), F.lit(True)), "no assistant turn after one of the user")
+    if strict:
+        message = F.concat(F.col(key).cast("string"), F.lit(": "), fault)
+        marked = marked.where(F.when(fault.isNull(), True).otherwise(F.raise_error(message).cast("boolean")))
+    cut = F.count_if(F.col(order) > F.col("_last")).over(by)
+    return marked.withColumn("removed", cut).where(F.col(order) <= F.col("_last")).drop("_last", "_asked")
 
 
 def mask_counts(turns: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -95,11 +180,22 @@ def accounting(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status", key.alias("reason")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("status") == "converted", F.col("supervised")).otherwise(0)).alias("supervised"))
 
 
-def training_record(rows: DataFrame, version: int, semantics: str) -> DataFrame:
-    """The versioned record: ids, labels and what can be checked about them."""
+def training_record(rows: DataFrame, version: int, semantics: str, fingerprint: str | None = None) -> DataFrame:
+    """The versioned record: ids, labels, what can be checked about them, and the template they were rendered with."""
     from trellium.functions.arrays import labels_of, supervised
 
     labelled = rows.withColumn("labels", labels_of(F.col("input_ids"), F.col("mask")))
+    more = {"template_fingerprint": F.lit(fingerprint)} if fingerprint is not None else {}
     return labelled.withColumns({
-        "schema_version": F.lit(version), "semantics": F.lit(semantics), "seq_length": F.size("input_ids"), "supervised_tokens": supervised(F.col("labels")),
+        "schema_version": F.lit(version), "semantics": F.lit(semantics), "seq_length": F.size("input_ids"), "supervised_tokens": supervised(F.col("labels")), **more,
     }).drop("mask")
+
+
+def tokenized(rows: DataFrame, tokenizer: Callable[[Column], Column], text: str = "text", out: str = "input_ids") -> DataFrame:
+    """``rows`` with the ids that a plugged-in tokenizer, a column function or an Arrow UDF, makes of the text."""
+    return rows.withColumn(out, tokenizer(F.col(text)))
+
+
+def hashed_words(buckets: int = 1 << 15) -> Callable[[Column], Column]:
+    """A tokenizer without a vocabulary: whitespace words by hash."""
+    return lambda text: F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(buckets)).cast("int"))

@@ -91,3 +91,50 @@ def study_points(values: Sequence[str], points: Sequence[tuple], names: Sequence
     """An array of structs: every value with every point, in order; explode it for rows."""
     each = [F.struct(F.lit(v).alias(names[0]), *[F.lit(x).alias(n) for x, n in zip(p, names[1:], strict=True)]) for v in values for p in points]
     return F.array(*each)
+
+
+def advance(decisions: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Each decision of a driver with the state of its episode after it; what follows a terminal one is dropped.
+
+    A decision has env_steps, invalid_call, tools, pending (whether a result is awaited) and
+    terminal (a reason, or null). Steps and invalid calls add up, the last tools that were
+    set hold, and the state is ``tool`` while a result is awaited, ``done`` after the end,
+    else ``ready``.
+    """
+    upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    live = decisions.withColumn("_ended", F.coalesce(F.count("terminal").over(ahead), F.lit(0))).where("_ended = 0").drop("_ended")
+    state = F.when(F.col("terminal").isNotNull(), "done").when(F.col("pending"), "tool").otherwise("ready")
+    return live.withColumns({
+        "step_count": F.sum("env_steps").over(upto), "invalid_call_count": F.sum(F.col("invalid_call").cast("int")).over(upto),
+        "tools_in_force": F.last("tools", ignorenulls=True).over(upto), "state": state,
+    })
+
+
+def scheduler_log(advanced: DataFrame, key: str, at: str, first: Column) -> DataFrame:
+    """at, episode, event: one row for each transition of an episode, in the words of the engine's log."""
+    observed = F.when(F.col("observation").isNotNull(), F.concat(F.lit("observation:"), F.coalesce("label", F.lit("tool"))))
+    events = F.array(
+        F.when(first, F.lit("ready")), observed, F.when(F.col("state") == "tool", F.lit("step")),
+        F.when(F.col("terminal").isNotNull(), F.concat(F.lit("terminal:"), F.col("terminal"))), F.when(F.col("state") == "done", F.lit("done")),
+    )
+    return advanced.select(F.col(at).alias("at"), F.col(key).alias("episode"), F.explode(F.array_compact(events)).alias("event"))
+
+
+def replaced(crashes: DataFrame, episodes: DataFrame, most: int = 3) -> DataFrame:
+    """Every attempt at a position when workers crash: a crash retires all episodes that its worker holds then.
+
+    ``episodes``: position, worker, attempt, opened, ended; ``crashes``: worker, at. An
+    attempt that a crash of its worker falls into is retired, and the result it may still
+    bring later is stale. The next attempt is named ``~n``. More than ``most`` replacements
+    of a position are an error.
+    """
+    hit = (F.col("e.worker") == F.col("c.worker")) & (F.col("c.at") >= F.col("e.opened")) & (F.col("c.at") < F.col("e.ended"))
+    met = episodes.alias("e").join(crashes.alias("c"), hit, "left").groupBy("e.position", "e.worker", "e.attempt", "e.opened", "e.ended").agg(F.min("c.at").alias("crashed_at"))
+    message = F.format_string(f"position %s has more than {most} replacements", F.col("position").cast("string"))
+    named = F.when(F.col("attempt") == 0, F.col("position").cast("string")).otherwise(F.concat(F.col("position").cast("string"), F.lit("~"), F.col("attempt")))
+    before = F.when(F.col("attempt") == 1, F.col("position").cast("string")).when(F.col("attempt") > 1, F.concat(F.col("position").cast("string"), F.lit("~"), F.col("attempt") - 1))
+    return met.where(F.when(F.col("attempt") <= most, True).otherwise(F.raise_error(message).cast("boolean"))).select(
+        "position", "worker", "attempt", named.alias("episode_id"), before.alias("replaced_episode_id"), "crashed_at",
+        F.when(F.col("crashed_at").isNotNull(), "worker_crash").otherwise("finished").alias("outcome"),
+    )

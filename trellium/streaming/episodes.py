@@ -28,8 +28,10 @@ def episodes(events: DataFrame, budget_s: float, max_attempts: int = 3) -> DataF
             rows.append((key[0], opened, opened + budget_s, steps, attempts, "timeout"))
             opened = None
             parts = iter(())
-        for part in parts:
-            for at, event in part.sort_values("at")[["at", "event"]].itertuples(index=False):
+        # all that a micro-batch has of the episode, in order of time
+        held = list(parts)
+        for part in [pd.concat(held, ignore_index=True)] if held else []:
+            for at, event in part.sort_values("at", kind="stable")[["at", "event"]].itertuples(index=False):
                 last = at
                 if event == "open":
                     opened, steps, attempts = at, 0, attempts + 1
