@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from trellium.plans import recorded, shaped
+
 _POINTS = """
 points AS (SELECT l_linestatus AS precision, l_returnflag AS flag, l_linenumber AS config, count(*) AS n_runs,
   count(DISTINCT l_orderkey) AS n_reps, max(CASE WHEN l_discount > 0.09 THEN 1 ELSE 0 END) AS failed,
@@ -22,14 +24,8 @@ counts AS (SELECT conv_id, sum(n)::BIGINT AS tokens, sum(CASE WHEN role = 'assis
   count(*) FILTER (role = 'user' AND NOT starts_with(regexp_replace(text, '^\s+', ''), '<tool_response>')) AS user_turns FROM tok GROUP BY conv_id)"""
 
 
-def _dealt(k: int, **columns: str) -> str:
-    """Rows counted by the values that lists give for event_id modulo k."""
-    chosen = ", ".join(f"{values}[event_id % {k} + 1] AS {name}" for name, values in columns.items())
-    return f"SELECT {chosen}, count(*) AS n FROM events GROUP BY ALL"
-
-
 def oracle_sql() -> dict[str, str]:
-    found = _all()
+    found = _all() | shaped.SQL | recorded.SQL
     return found | {"resume_cursor": f"SELECT lang, batch, tokens FROM ({found['pack_batches']}) WHERE batch >= 2"}
 
 
@@ -70,15 +66,8 @@ def _all() -> dict[str, str]:
             a AS (SELECT l_orderkey, l_returnflag, count(*) AS have FROM lineitem WHERE l_linenumber >= 2 GROUP BY ALL)
             SELECT l_orderkey, bool_and(coalesce(have, 0) >= want) AS contained FROM e LEFT JOIN a USING (l_orderkey, l_returnflag) GROUP BY l_orderkey""",
         "running_mean": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 9) AS running_mean FROM events",
-        "comparable_keys": """WITH a AS (SELECT s_suppkey::VARCHAR AS key, s_nationkey AS l FROM supplier WHERE s_suppkey % 10 <> 0),
-            b AS (SELECT s_suppkey::VARCHAR AS key, CASE WHEN s_suppkey % 7 = 0 THEN s_nationkey + 1 ELSE s_nationkey END AS r FROM supplier WHERE s_suppkey % 9 <> 0)
-            SELECT key, l AS left, r AS right FROM a FULL JOIN b USING (key) WHERE l IS DISTINCT FROM r""",
         "expected_set": """WITH f AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_nationkey > 3), x AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 20)
             SELECT k, 'missing' AS problem FROM (SELECT k FROM x EXCEPT ALL SELECT k FROM f) UNION ALL SELECT k, 'unexpected' FROM (SELECT k FROM f EXCEPT ALL SELECT k FROM x)""",
-        "equivalence_diff": """WITH a AS (SELECT o_orderkey, o_totalprice AS l FROM orders WHERE o_orderkey % 17 <> 0),
-            b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS r FROM orders WHERE o_orderkey % 11 <> 0),
-            j AS (SELECT o_orderkey, CASE WHEN l IS NULL THEN 'only_right' WHEN r IS NULL THEN 'only_left' WHEN abs(l - r) > 1e-9 THEN 'reward' END AS problem FROM a FULL JOIN b USING (o_orderkey))
-            SELECT * FROM j WHERE problem IS NOT NULL""",
         "comparison_table": f"""WITH {_TASKS} SELECT category, round(avg(score) FILTER (doc_id % 2 = 0), 6) AS even, round(avg(score) FILTER (doc_id % 2 = 1), 6) AS odd
             FROM tasks GROUP BY category""",
         "budget_share": f"WITH {_TASKS}, c AS (SELECT unnest([1, 2, 4, 6])::INT AS cap) SELECT cap, round(avg((steps <= cap)::INT), 4) AS share FROM tasks, c GROUP BY cap",
@@ -125,13 +114,13 @@ def _all() -> dict[str, str]:
         "prefix_drift": """WITH p AS (SELECT conv_id, turn, text AS a, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS b FROM conversations),
             c AS (SELECT conv_id, turn, b, (SELECT coalesce(min(i) - 1, least(length(a), length(b))) FROM range(1, least(length(a), length(b)) + 1) t(i) WHERE a[i] <> b[i])::INT AS common FROM p WHERE b IS NOT NULL)
             SELECT conv_id, turn, common, CASE WHEN length(b) = common THEN 'clean' WHEN common >= 1 AND length(b) - common < 1024 THEN 'realign' ELSE 'fork' END AS drift FROM c""",
-        "pack_batches": """WITH RECURSIVE d AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents WHERE n_chars <= 40000),
+        "pack_batches": """WITH RECURSIVE d AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents),
             p AS (SELECT lang, i, n_chars, 0::BIGINT AS batch, n_chars AS total FROM d WHERE i = 1 UNION ALL
               SELECT d.lang, d.i, d.n_chars, CASE WHEN p.total + d.n_chars > 40000 THEN batch + 1 ELSE batch END, CASE WHEN p.total + d.n_chars > 40000 THEN d.n_chars ELSE p.total + d.n_chars END
               FROM p JOIN d ON d.lang = p.lang AND d.i = p.i + 1)
             SELECT lang, batch, count(*) AS rows, max(n_chars) AS longest, sum(n_chars)::BIGINT AS tokens, (count(*) * max(n_chars) - sum(n_chars))::BIGINT AS padding FROM p GROUP BY lang, batch""",
-        "rotate_sampler": """WITH p AS (SELECT p_partkey - 1 AS idx, (p_partkey - 1 - 37 + 100) % 100 AS place FROM part WHERE p_partkey - 1 < 100)
-            SELECT idx, (place // 8)::INT AS chunk, r::INT AS round, c::INT AS copy FROM p, range(2) a(r), range(3) b(c) WHERE place < 96""",
+        "rotate_sampler": """WITH t AS (SELECT count(*) AS n FROM part), p AS (SELECT p_partkey - 1 AS idx, (p_partkey - 1 - 37 + n) % n AS place, n FROM part, t)
+            SELECT idx, (place // 8)::INT AS chunk, r::INT AS round, c::INT AS copy FROM p, range(2) a(r), range(3) b(c) WHERE place < n // 8 * 8""",
         "whole_groups": """WITH n AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS position, count(*) OVER () AS t FROM supplier)
             SELECT s_suppkey, position, (position // 7)::BIGINT AS group_index FROM n WHERE position < t // 7 * 7""",
         "flatten_offsets": "SELECT conv_id, sum(length(text))::BIGINT AS cu_seqlen, max(length(text))::INT AS max_len FROM conversations GROUP BY conv_id",
@@ -192,22 +181,8 @@ def _all() -> dict[str, str]:
         "strict_rows": "SELECT event_id FROM events WHERE event_id % 9 <> 0",
         "scenario_checks": "SELECT l_orderkey::VARCHAR AS task_id, count(*)::INT AS checks FROM lineitem GROUP BY l_orderkey",
         "logp_stops": "SELECT event_id FROM events WHERE event_id % 10 <> 0 AND value > 20",
-        "resume_guard": "SELECT p_partkey FROM part WHERE p_partkey % 10 <> 0",
         "running_totals": "SELECT doc_id, (sum(n_chars) OVER (ORDER BY doc_id))::BIGINT AS ends, (sum(n_chars) OVER (ORDER BY doc_id) - n_chars)::BIGINT AS starts FROM documents",
-        "split_reasonings": _dealt(4, reasoning="['a', 'open', '', 'y']", content="['b', '', 'plain', 'x  z']"),
-        "split_continuations": _dealt(3, reasoning="['a', '', 'c']", content="['b', 'no end', 'd']"),
-        "call_cascade": _dealt(5, names="['f', 'g', 'h,i', '', '']"),
-        "content_outside_calls": _dealt(3, content="['a  b', 'plain', '']"),
-        "closing_marks": _dealt(4, done="[true, false, false, true]", failed="[false, true, false, false]"),
-        "error_results": _dealt(4, error="[true, true, false, false]"),
-        "tool_methods": "SELECT event_id FROM events WHERE event_id % 4 = 2",
-        "annotation_types": _dealt(6, kind="['integer', 'number', 'boolean', 'array', 'object', 'string']"),
-        "parameter_values": _dealt(6, value="""['12', '1.5', 'true', '[1,2]', '"{oops"', '"plain words"']""", as_string="""['"12"', '"1.5"', '"True"', '"[1,2]"', '"{oops"', '"plain words"']"""),
-        "argument_coercion": _dealt(4, value="['3', NULL, NULL, NULL]", reason="[NULL, 'not integer', 'not integer', 'not integer']"),
         "argument_names": """SELECT CASE WHEN event_type IN ('click', 'view') THEN '' ELSE event_type END AS unknown, CASE WHEN event_type = 'click' THEN '' ELSE 'click' END AS missing, count(*) AS n FROM events GROUP BY ALL""",
-        "python_call_text": _dealt(4, name="['f', 'g', NULL, NULL]", args="['1', '', NULL, NULL]", key="['a', NULL, NULL, NULL]"),
-        "typed_fields": _dealt(6, value="['3', '3', NULL, NULL, NULL, NULL]", fault="[NULL, NULL, 'a.n: no integer', 'a.n: no integer', 'a.n: no integer', 'a.n: no integer']"),
-        "commit_ids": "SELECT event_id FROM events WHERE event_id % 3 = 0",
         "loss_labels": """WITH d AS (SELECT doc_id, list_transform(range(1, doc_id % 9 + 2), lambda x: CASE WHEN x % 3 = 0 THEN x ELSE -100 END) AS l FROM documents)
             SELECT doc_id, array_to_string(l, ',') AS labels, len(list_filter(l, lambda x: x <> -100))::INT AS supervised,
             array_to_string(list_filter(range(0, len(l) - 1), lambda i: l[i + 2] <> -100), ',') AS shifted FROM d""",
@@ -215,16 +190,10 @@ def _all() -> dict[str, str]:
             SELECT doc_id, array_to_string(list_transform(range(1, w + 1), lambda x: CASE WHEN x <= n THEN x ELSE 0 END), ',') AS padded FROM d""",
         "training_records": """SELECT doc_id, (doc_id % 9 + 1)::INT AS seq_length, ((doc_id % 9 + 1) // 3)::INT AS supervised_tokens, CASE WHEN doc_id % 9 + 1 < 3 THEN 'unsupervised' END AS fault FROM documents""",
         "span_masks": """SELECT doc_id, doc_id % 4 <> 3 AS gapless, repeat('0', (doc_id % 4 + 1)::INT) || repeat('1', (6 - doc_id % 4 - CASE WHEN doc_id % 4 = 3 THEN 2 ELSE 1 END)::INT) AS mask FROM documents""",
-        "sampled_logprobs": "SELECT doc_id, [-0.5, -1.5, -2.5, NULL][doc_id % 4 + 1]::DOUBLE AS logprob FROM documents",
-        "completion_differences": "SELECT doc_id, doc_id % 4 IN (0, 1) AS differs FROM documents",
         "eta_slope": """WITH w AS (SELECT event_id, value, first_value(value) OVER f AS v, first_value(event_id) OVER f AS e FROM events WINDOW f AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
             SELECT event_id, CASE WHEN event_id > e THEN round((value - v) / (event_id - e), 6) END AS s_per_step FROM w""",
         "episode_summary": """SELECT count(*) AS episodes, round(count(*) * 3600 / 1000.0::DOUBLE, 4) AS episodes_per_hour, round(sum(l_suppkey) / 1000.0::DOUBLE, 4) AS tokens_per_s,
             round(avg(CASE WHEN l_linestatus = 'O' THEN l_discount END), 6) AS mean_reward, round(avg(l_linenumber), 6) AS mean_steps, count(*) AS invalid_calls,
             (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT CASE WHEN l_returnflag <> 'R' THEN l_returnflag ELSE 'none' END AS k, count(*) AS n FROM lineitem GROUP BY 1)) AS terminals FROM lineitem""",
-        "snapshot_delta": "SELECT event_type AS name, count(*) FILTER (event_id % 2 <> 0)::DOUBLE AS delta FROM events GROUP BY 1",
         "rewards_checked": "SELECT l_orderkey, l_linenumber, l_discount AS reward FROM lineitem",
-        "single_manifest": "SELECT p_partkey, 'm' AS manifest_hash FROM part",
-        "epoch_order": "SELECT count(*) AS n, count(DISTINCT p_partkey) AS different FROM part",
-        "release_rows": _dealt(5, reason="['', 'messages: empty', 'messages: not JSON', 'messages: not a list', 'messages.role: empty']"),
     }

@@ -138,15 +138,7 @@ def bag_containment(spark, sf_dir):
 
 @query
 def running_mean(spark, sf_dir):
-    return evaluation.running_mean(read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value"), [F.col("ts"), F.col("event_id")], "value", ["user_id"]).select("event_id", "running_mean")
-
-
-@query
-def comparable_keys(spark, sf_dir):
-    suppliers = read(spark, sf_dir, "supplier")
-    a = suppliers.select(F.col("s_suppkey").cast("string").alias("key"), F.col("s_nationkey").alias("value")).where("cast(key as long) % 10 <> 0")
-    b = suppliers.select(F.col("s_suppkey").cast("string").alias("key"), F.expr("if(s_suppkey % 7 = 0, s_nationkey + 1, s_nationkey)").alias("value")).where("cast(key as long) % 9 <> 0")
-    return evaluation.comparable(a, b)
+    return evaluation.running_mean(read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value"), ["ts", "event_id"], "value", ["user_id"]).select("event_id", "running_mean")
 
 
 @query
@@ -155,13 +147,6 @@ def expected_set(spark, sf_dir):
     return evaluation.expect_set(suppliers.select(F.col("s_nationkey").alias("k")).where("k > 3").distinct(), nations.select(F.col("n_nationkey").alias("k")).where("k < 20"), ["k"])
 
 
-@query
-def equivalence_diff(spark, sf_dir):
-    orders = read(spark, sf_dir, "orders")
-    right = orders.where("o_orderkey % 11 <> 0").withColumn("o_totalprice", F.expr("if(o_orderkey % 13 = 0, o_totalprice + 1, o_totalprice)"))
-    return evaluation.equivalence(orders.where("o_orderkey % 17 <> 0"), right, "o_orderkey", "o_totalprice").select("o_orderkey", "problem")
-
-
 @query
 def comparison_table(spark, sf_dir):
     tasks = _tasks(spark, sf_dir).withColumn("tag", F.expr("if(doc_id % 2 = 0, 'even', 'odd')"))
@@ -356,7 +341,7 @@ def dedup_exact(spark, sf_dir):
 @query
 def metric_rate(spark, sf_dir):
     samples = read(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
-    raised = metrics.counter_increases(samples.withColumn("at", F.struct("ts", "event_id")), ["event_type"], "at", "value")
+    raised = metrics.counter_increases(samples, ["event_type"], ["ts", "event_id"], "value")
     rate = metrics.windowed_rate(raised.withColumn("increase", F.round(F.col("increase") * 100).cast("long")), "ts", "1 day", 86400.0, ["event_type"])
     return rate.select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "rate")
 
@@ -535,12 +520,6 @@ def logp_stops(spark, sf_dir):
     return read(spark, sf_dir, "events").where(guards.exceeds(logged, 20.0)).select("event_id")
 
 
-@query
-def resume_guard(spark, sf_dir):
-    rows = read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 10 == 0, "run").otherwise("phase").alias("name"), F.lit("gpu").alias("profile"), F.lit(None).cast("string").alias("dtype"))
-    return guards.resumable(rows, {"profile": "gpu", "dtype": None}).select("p_partkey")
-
-
 @query
 def running_totals(spark, sf_dir):
     return batching.flatten(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), [], "doc_id", "n_chars").select("doc_id", "ends", "starts")
@@ -563,68 +542,6 @@ def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", ids.alias("input_ids"), F.transform(ids, lambda x: F.when(x % 3 == 0, 1).otherwise(0)).alias("mask"))
 
 
-@query
-def split_reasonings(spark, sf_dir):
-    shown = _shapes(spark, sf_dir, ["<think> a </think> b", "<think> open", "plain", "x <think>y</think> z"])
-    return _tally(shown.select(toolcalls.split_reasoning(F.col("text")).alias("s")), F.col("s.reasoning").alias("reasoning"), F.col("s.content").alias("content"))
-
-
-@query
-def split_continuations(spark, sf_dir):
-    shown = _shapes(spark, sf_dir, ["a </think> b", "no end", "<think>c</think>d"])
-    return _tally(shown.select(toolcalls.split_continuation(F.col("text"), False).alias("s")), F.col("s.reasoning").alias("reasoning"), F.col("s.content").alias("content"))
-
-
-@query
-def call_cascade(spark, sf_dir):
-    shown = _shapes(spark, sf_dir, [
-        "<tool_call><function=f><parameter=a>1</parameter></function></tool_call>", '<tool_call>{"name": "g", "arguments": {"a": 1}}</tool_call>',
-        'text\n[{"name": "h", "arguments": {}}, {"name": "i", "arguments": {}}]', '[{"name": "h", "arguments": {}}, {"no": 1}]', "none",
-    ])
-    calls = toolcalls.any_calls(F.col("text"))
-    return _tally(shown, F.array_join(F.transform(calls, lambda c: c["name"]), ",").alias("names"))
-
-
-@query
-def content_outside_calls(spark, sf_dir):
-    shown = _shapes(spark, sf_dir, ["a <tool_call>x</tool_call> b", " plain ", "<tool_call>x</tool_call>"])
-    return _tally(shown, toolcalls.outside_calls(F.col("text")).alias("content"))
-
-
-@query
-def closing_marks(spark, sf_dir):
-    shown = _shapes(spark, sf_dir, ["<think>x</think> Task_Finished.", "task_error!", "go on", "FINISH"])
-    return _tally(shown, toolcalls.is_done(F.col("text")).alias("done"), toolcalls.is_task_error(F.col("text")).alias("failed"))
-
-
-@query
-def error_results(spark, sf_dir):
-    return _tally(_shapes(spark, sf_dir, ["Error during execution: x", '{"error": 1}', '{"ok": "error"}', "error"]), toolcalls.is_error(F.col("text")).alias("error"))
-
-
-@query
-def tool_methods(spark, sf_dir):
-    return _shapes(spark, sf_dir, ["_hidden", "reset", "book_flight", "final_state"]).where(toolcalls.is_tool_method(F.col("text"))).select("event_id")
-
-
-@query
-def annotation_types(spark, sf_dir):
-    return _tally(_shapes(spark, sf_dir, ["int", "Optional[float]", "bool | None", "list[int]", "dict[str, int]", "Thing"]), toolcalls.json_type(F.col("text")).alias("kind"))
-
-
-@query
-def parameter_values(spark, sf_dir):
-    shown = _shapes(spark, sf_dir, ["12", "1.5", "True", "[1,2]", "{oops", "plain words"])
-    return _tally(shown, F.to_json(toolcalls.coerce(F.col("text"), F.lit("any"))).alias("value"), F.to_json(toolcalls.coerce(F.col("text"), F.lit("string"))).alias("as_string"))
-
-
-@query
-def argument_coercion(spark, sf_dir):
-    shown = _shapes(spark, sf_dir, ["3.0", "3.5", "true", "x"])
-    made = python_calls.coerce_argument(F.col("text"), F.lit("integer"))
-    return _tally(shown.select(made.alias("c")), F.col("c.value").alias("value"), F.col("c.reason").alias("reason"))
-
-
 @query
 def argument_names(spark, sf_dir):
     given = F.create_map(F.col("event_type"), F.lit("1"))
@@ -633,24 +550,6 @@ def argument_names(spark, sf_dir):
     return _tally(shown, F.array_join("f.unknown", ",").alias("unknown"), F.array_join("f.missing", ",").alias("missing"))
 
 
-@query
-def python_call_text(spark, sf_dir):
-    shown = _shapes(spark, sf_dir, ["f(1, a='x')", "g()", "h(*z)", "not a call"])
-    call = python_calls.parse_python_calls(F.col("text"))
-    return _tally(shown.select(call.alias("c")), F.col("c.name").alias("name"), F.array_join("c.args", ",").alias("args"), F.get(F.map_keys("c.kwargs"), 0).alias("key"))
-
-
-@query
-def typed_fields(spark, sf_dir):
-    shown = _shapes(spark, sf_dir, ['{"a": {"n": 3}}', '{"a": {"n": 3.0}}', '{"a": {"n": true}}', '{"a": {"n": 2.5}}', '{"a": {}}', "nothing"])
-    return _tally(shown.select(text.json_field(F.col("text"), "a.n", "integer").alias("f")), F.col("f.value").alias("value"), F.col("f.fault").alias("fault"))
-
-
-@query
-def commit_ids(spark, sf_dir):
-    return _shapes(spark, sf_dir, ["0123456789abcdef0123456789ABCDEF01234567", "main", "0123456789abcdef0123456789ABCDEF01234567\n"]).where(text.is_commit(F.col("text"))).select("event_id")
-
-
 @query
 def loss_labels(spark, sf_dir):
     labels = arrays.labels_of(F.col("input_ids"), F.col("mask"))
@@ -684,22 +583,6 @@ def span_masks(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", arrays.spans_are_gapless(spans).alias("gapless"), F.array_join(arrays.spans_to_mask(spans), "").alias("mask"))
 
 
-@query
-def sampled_logprobs(spark, sf_dir):
-    candidates, values = F.array(F.lit(0), F.lit(1), F.lit(2)), F.array(F.lit(-0.5), F.lit(-1.5), F.lit(-2.5))
-    taken = arrays.gather(candidates, values, (F.col("doc_id") % 4).cast("int"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.when(F.isnan(taken), F.lit(None)).otherwise(taken).alias("logprob"))
-
-
-@query
-def completion_differences(spark, sf_dir):
-    a, n = F.array(F.lit(1), F.lit(2)), F.col("doc_id") % 4
-    b = F.when(n == 0, F.array(F.lit(1), F.lit(3))).otherwise(a)
-    pa = F.array(F.lit(-1.0), F.lit(float("nan")))
-    pb = F.array(F.when(n == 1, F.lit(-1.1)).otherwise(F.lit(-1.0000001)), F.lit(-9.0))
-    return read(spark, sf_dir, "documents").select("doc_id", arrays.completions_differ(a, b, pa, pb).alias("differs"))
-
-
 @query
 def eta_slope(spark, sf_dir):
     samples = read(spark, sf_dir, "events").select("user_id", "event_id", "value")
@@ -717,38 +600,11 @@ def episode_summary(spark, sf_dir):
     return row.withColumn("terminals", ends)
 
 
-@query
-def snapshot_delta(spark, sf_dir):
-    events = read(spark, sf_dir, "events").withColumn("name", F.col("event_type"))
-    total = F.count("*").cast("double").alias("total")
-    return files.snapshot_delta(events.where("event_id % 2 = 0").groupBy("name").agg(total), events.groupBy("name").agg(total))
-
-
 @query
 def rewards_checked(spark, sf_dir):
     return evaluation.reward_contract(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("reward")))
 
 
-@query
-def single_manifest(spark, sf_dir):
-    return sweep.assert_single(read(spark, sf_dir, "part").select("p_partkey", F.lit("m").alias("manifest_hash")), "manifest_hash")
-
-
-@query
-def epoch_order(spark, sf_dir):
-    shuffled = batching.epoch_order(read(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 5, 2)
-    return shuffled.agg(F.count("*").alias("n"), F.count_distinct("p_partkey").alias("different"))
-
-
 @query
 def resume_cursor(spark, sf_dir):
     return batching.resume(pack_batches(spark, sf_dir), 2).select("lang", "batch", "tokens")
-
-
-@query
-def release_rows(spark, sf_dir):
-    shown = _shapes(spark, sf_dir, ['[{"role": "user", "content": "q"}]', "[]", "{", '{"role": "user"}', '[{"content": "q"}]'])
-    rows = shown.select(
-        F.struct(F.concat(F.lit("t"), F.col("event_id")).alias("task_id")).alias("task_info"), F.lit("conversation").alias("traj_type"), F.col("text").alias("messages"), F.lit("[]").alias("tools"), F.lit(None).cast("int").alias("steps")
-    )
-    return _tally(trajectories.parse_release(rows), F.coalesce("malformed_reason", F.lit("")).alias("reason"))
