@@ -169,7 +169,7 @@ def scheduler_events(spark, sf_dir):
     return turns.scheduler_log(advanced.join(starts, "user_id"), "user_id", "event_id", F.col("event_id") == F.col("start"))
 
 
-SQL["worker_crashes"] = """WITH e AS (SELECT l_orderkey AS position, l_suppkey % 10 AS worker, l_quantity AS opened FROM lineitem WHERE l_linenumber = 1), c AS (SELECT DISTINCT s_suppkey % 10 AS worker, round(s_acctbal / 250) AS t FROM supplier WHERE s_acctbal > 0)
+SQL["worker_crashes"] = """WITH e AS (SELECT DISTINCT l_orderkey AS position, l_suppkey % 10 AS worker, l_quantity AS opened FROM lineitem WHERE l_linenumber = 1), c AS (SELECT DISTINCT s_suppkey % 10 AS worker, round(s_acctbal / 250) AS t FROM supplier WHERE s_acctbal > 0)
     SELECT position, worker, (SELECT min(t) FROM c WHERE c.worker = e.worker AND t >= opened AND t < opened + 5)::DOUBLE AS crashed_at,
     CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.worker = e.worker AND t >= opened AND t < opened + 5) THEN 'worker_crash' ELSE 'finished' END AS outcome FROM e"""
 
