@@ -74,3 +74,13 @@ def test_a_silent_episode_times_out(spark, tmp_path):
         time.sleep(1)
     query.stop()
     assert list(map(tuple, spark.table("silent").collect())) == [("a", 0.0, 2.0, 1, 1, "timeout")]
+
+
+def test_quantiles_on_a_stream(spark, tmp_path):
+    rows = [("a", 1.0, 2.0), ("a", 5.0, 8.0), ("a", float("inf"), 10.0), ("b", 1.0, 0.0), ("b", 5.0, 4.0), ("b", float("inf"), 4.0)]
+    df = spark.createDataFrame(rows, "m string, le double, n double")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    got = metrics.replay(metrics.histogram_quantile(stream, ["m"], "le", "n", 0.5), "quantiles", "complete")
+    assert {r["m"]: r["quantile"] for r in got.collect()} == {"a": 3.0, "b": 3.0}
+    assert metrics.histogram_quantile(df, ["m"], "le", "n", 0.95).where("m = 'a'").first()["quantile"] == 5.0

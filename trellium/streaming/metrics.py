@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellium.operators import ordered
@@ -53,16 +53,17 @@ def windowed_gauge(samples: DataFrame, at: str, width: str, value: str, by: Sequ
 def histogram_quantile(buckets: DataFrame, by: Sequence[str], le: str, count: str, q: float) -> DataFrame:
     """Linear interpolation inside the first cumulative bucket that reaches q of the total.
 
-    ``count`` is cumulative by ``le``; a quantile in the infinite bucket is the last finite bound.
+    ``count`` is cumulative by ``le``; a quantile in the infinite bucket is the last finite
+    bound. The buckets of a group, a handful, are one array, so this runs on streams too.
     """
-    w = Window.partitionBy(*by).orderBy(le)
-    total = F.max(count).over(Window.partitionBy(*by))
-    prior = F.coalesce(F.lag(count).over(w), F.lit(0))
-    bound = F.coalesce(F.lag(le).over(w), F.lit(0.0))
-    marked = buckets.withColumns({"_total": total, "_prior": prior, "_bound": bound, "_want": total * F.lit(q)})
-    first = marked.where((F.col(count) >= F.col("_want")) & (F.col("_prior") < F.col("_want")))
-    inside = F.col("_bound") + (F.col(le) - F.col("_bound")) * (F.col("_want") - F.col("_prior")) / (F.col(count) - F.col("_prior"))
-    return first.select(*by, F.round(F.when(F.col(le) == float("inf"), F.col("_bound")).otherwise(inside), 6).alias("quantile"))
+    listed = buckets.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(le).alias("le"), F.col(count).alias("c")))).alias("_b"), (F.max(count) * F.lit(q)).alias("_want"))
+    before = lambda i: F.get("_b", i - 1)
+    marked = F.transform(
+        "_b", lambda x, i: F.struct(x["le"].alias("le"), x["c"].alias("c"), F.coalesce(before(i)["c"], F.lit(0)).alias("prior"), F.coalesce(before(i)["le"], F.lit(0.0)).alias("bound"))
+    )
+    first = listed.withColumn("_x", F.get(F.filter(marked, lambda x: (x["c"] >= F.col("_want")) & (x["prior"] < F.col("_want"))), 0)).where("_x is not null")
+    inside = F.col("_x.bound") + (F.col("_x.le") - F.col("_x.bound")) * (F.col("_want") - F.col("_x.prior")) / (F.col("_x.c") - F.col("_x.prior"))
+    return first.select(*by, F.round(F.when(F.col("_x.le") == float("inf"), F.col("_x.bound")).otherwise(inside), 6).alias("quantile"))
 
 
 def rate_ratio(hits: DataFrame, queries: DataFrame, keys: Sequence[str] = ("start",)) -> DataFrame:
