@@ -68,7 +68,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellium.llm import bloom, rows, scratch, texts
-from trellium.llm.components import connected_components
+from trellium.llm.components import connected_components, extended
 from trellium.llm.scratch import Stored, store
 
 U = np.uint64
@@ -509,7 +509,7 @@ def _degrees(rule: Rule):
 def row_key():
     """128 bits that tell rows of different doc_id or text apart."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("doc_id", "text")]
-    return F.md5(F.concat(parts[0], F.lit("\x01"), parts[1]).cast("binary"))
+    return F.unhex(F.md5(F.concat(parts[0], F.lit("\x01"), parts[1]).cast("binary")))
 
 
 def digests(docs: DataFrame, rule: Rule) -> tuple[Stored, frozenset[int]]:
@@ -597,16 +597,28 @@ def _apart_pairs(placed: DataFrame) -> DataFrame:
     return dealt.select("r", "v", "comp", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b")
 
 
-def links(docs: DataFrame, classes: DataFrame, rule: Rule, clashes: frozenset[int]) -> Stored:
-    """u, v: verified links between classes that connect exactly what all links connect."""
+def _sketched(base: DataFrame, wanted: DataFrame) -> Stored:
+    """v, n, sketch of the classes in ``wanted``, and of few others."""
+    some, rows_ = wanted.distinct(), base.where("v is not null").select("v", "n", "sketch")
+    bits, hashes = bloom.plan(max(1, some.count()), 10.0)
+    if bits <= MAX_BITS:
+        words = bloom.literal(bloom.build(some, "v", bits, hashes, 9))
+        rows_ = rows_.where(bloom.probe(F.col("v"), words, bits, hashes, 9))
+    else:
+        rows_ = rows_.join(some, "v", "left_semi")
+    return store(rows_.groupBy("v").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+
+
+def linked_classes(docs: DataFrame, base: DataFrame, classes: DataFrame, rule: Rule, clashes: frozenset[int]) -> Stored:
+    """u, root: the components of the classes, by verified links that connect exactly what all links connect."""
     members = _members(docs, rule, clashes)
     every = members.df.unionByName(members.df.select("r", F.col("r").alias("v")).distinct())
     counts = store(every.groupBy("r").agg(F.count("*").alias("c")), "counts")
     grouped = store(every.join(counts.df, "r"), "grouped")
-    sketched = classes.select("v", "n", "sketch")
+    sketched = _sketched(base, grouped.df.select("v"))
 
     def candidates(dealt: DataFrame, most: int) -> DataFrame:
-        with_sketch = dealt.join(sketched, "v").select("r", "i", "j", "b", "v", "n", "comp", "sketch")
+        with_sketch = dealt.join(sketched.df, "v").select("r", "i", "j", "b", "v", "n", "comp", "sketch")
         sorted_ = with_sketch.repartition("r", "i", "j").sortWithinPartitions("r", "i", "j", "v")
         return sorted_.mapInArrow(_candidates(rule, most), "u long, v long").select(
             F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
@@ -625,26 +637,27 @@ def links(docs: DataFrame, classes: DataFrame, rule: Rule, clashes: frozenset[in
         both = left.join(sets.df.withColumnRenamed("tokens", "b"), "v").select("u", "v", "a", "b")
         return store(both.mapInArrow(_verified(rule), "u long, v long").distinct(), "links")
 
-    found = [verified(tested[0].df)]
+    found = verified(tested[0].df)
+    known = connected_components(found.df)
+    found.drop()
     for most in ROUNDS:
-        known = connected_components(_union(found))
         placed = might.df.join(known.df.select(F.col("u").alias("v"), "root"), "v", "left").select(
             "r", "v", F.coalesce("root", "v").alias("comp")
         )
         more = store(candidates(_apart_pairs(placed), most), "pairs")
-        known.drop()
         new = store(more.df.where("u <> v").join(_union(tested), ["u", "v"], "left_anti"), "pairs")
         left_out = not more.df.where("u = v").isEmpty()
         more.drop()
         tested.append(new)
         if not new.df.isEmpty():
-            found.append(verified(new.df))
+            found = verified(new.df)
+            known = extended(known, found.df)
+            found.drop()
         if not left_out:
             break
-    every_link = store(_union(found), "links")
-    for held in (members, counts, grouped, nodes, might, sets, *tested, *found):
+    for held in (members, counts, grouped, sketched, nodes, might, sets, *tested):
         held.drop()
-    return every_link
+    return known
 
 
 def _union(tables: list[Stored]) -> DataFrame:
@@ -679,11 +692,9 @@ def _joined(docs: DataFrame, rule: Rule, count: bool) -> tuple[Stored, Stored, S
     # a null doc_id comes after all others
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
     classes = store(
-        base.df.where("v is not null").groupBy("v").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("m"), F.min(row).alias("first")), "classes"
+        base.df.where("v is not null").groupBy("v").agg(F.count("*").alias("m"), F.min(row).alias("first")), "classes"
     )
-    found = links(given, classes.df, rule, clashes)
-    comp = connected_components(found.df)
-    found.drop()
+    comp = linked_classes(given, base.df, classes.df, rule, clashes)
     counted = _counted(given, classes.df, comp.df, rule, clashes) if count else None
     placed = comp.df.select(F.col("u").alias("v"), "root").unionByName(comp.df.select(F.col("root").alias("v"), "root").distinct())
     tied = store(placed.join(classes.df.select("v", "first"), "v"), "tied")
