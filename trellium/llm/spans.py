@@ -40,11 +40,12 @@ def running(numbers: Column) -> Column:
     return let(numbers, lambda d: let(blocks(d), lambda p: F.flatten(F.zip_with(p, offsets(p), inner))))
 
 
-def find(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
+def find(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None, hint: Column | None = None) -> Column:
     """array<struct<start, end, value, left>> of the leftmost non-overlapping matches.
 
     ``keep`` tests the value of a match; those that fail it are dropped without a retry.
-    ``left`` is the end of the text between the previous match and this one.
+    ``left`` is the end of the text between the previous match and this one. ``hint`` is a
+    cheap condition that every text with a match meets; the others are not searched.
     """
 
     def place(s: Column) -> Column:
@@ -67,7 +68,8 @@ def find(text: Column, pattern: str, keep: Callable[[Column], Column] | None = N
     if keep is not None:
         found = F.filter(found, lambda x: keep(x["value"]))
     nothing = F.array().cast("array<struct<start:bigint,end:bigint,value:string,left:string>>")
-    return F.when(text.rlike(pattern), found).otherwise(nothing)
+    search = text.rlike(pattern) if hint is None else hint & text.rlike(pattern)
+    return F.when(search, found).otherwise(nothing)
 
 
 def outside(candidates: Column, base: list[Column]) -> Column:
