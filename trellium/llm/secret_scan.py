@@ -34,6 +34,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}"
+#: A run that holds any hex run or token.
+RUN = r"[A-Za-z0-9+/_=-]{24}"
 PLACEHOLDER = r"(?i)example|sample|dummy|change.?me|your|placeholder|xxxx|0000000|1234567|abcdefg"
 LEAST_VALUE = 6
 LEAST_DISTINCT = 10
@@ -71,12 +73,14 @@ def candidates(docs: DataFrame, **own: Column) -> DataFrame:
     """``row``, the columns of ``docs`` but text, with ``found``, its candidate spans, and the columns given."""
     given = rows.carry(docs, ("text", "spans"), text=F.coalesce(F.col("text"), F.lit("")), **own)
     text = F.col("text")
-    each = given.withColumns(
+    # what every match has, tested before its pattern is; most texts lack most of it
+    hinted = given.withColumn("run", text.rlike(RUN))
+    each = hinted.withColumns(
         {
-            "_assign": spans.find(text, ASSIGN, lambda v: F.length(assigned(v)) >= LEAST_VALUE),
-            "_access": spans.find(text, ACCESS),
-            "_hex": spans.find(text, HEX),
-            "_token": spans.find(text, TOKEN, _mixed),
+            "_assign": spans.find(text, ASSIGN, lambda v: F.length(assigned(v)) >= LEAST_VALUE, text.contains(":") | text.contains("=")),
+            "_access": spans.find(text, ACCESS, hint=text.contains("AKIA")),
+            "_hex": spans.find(text, HEX, hint=F.col("run")),
+            "_token": spans.find(text, TOKEN, _mixed, F.col("run")),
         }
     )
     base = [F.col("_assign"), F.col("_access"), F.col("_hex")]
