@@ -13,12 +13,15 @@ from trellium.llm import (
     jaccard_join,
     line_dedup,
     mixing,
+    packing,
     pii,
     secret_scan,
     sharding,
     spans,
+    spelling,
     toxicity,
     url_filter,
+    whitening,
 )
 
 
@@ -129,6 +132,40 @@ def op10_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "n_links", "component_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return whitened.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+#: A run whose checksum this divides loses a letter.
+MISSPELT = 199
+
+
+def misspelt(doc_id: Column, run: Column) -> Column:
+    """The run, or what is left of it without one letter, by the checksum of document and run."""
+    checksum = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
+    at = (checksum % F.length(run)).cast("int")
+    less = F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))
+    return F.when(checksum % MISSPELT == 0, less).otherwise(run)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = runs.select(misspelt(F.col("doc_id"), F.col("run")).alias("word"))
+    return spelling.group(spelling.vocabulary(words))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """``tokenizer``: the path of a byte-level vocabulary; without it the installed one of 50,000 tokens."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = packing.pieces(docs, tokenizer).select("doc_id", "piece", "start", "length", F.crc32("tokens").alias("ids_crc32"))
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -138,6 +175,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (
         op1_url_filter, op2_mixing, op3_sharding, op4_secret_scan, op5_toxicity, op6_embedding_dedup,
-        op7_line_dedup, op8_decontamination, op9_pii, op10_jaccard_join, op10_jaccard_links, pipeline,
+        op7_line_dedup, op8_decontamination, op9_pii, op10_jaccard_join, op10_jaccard_links, op11_whitening, op12_spelling, op13_packing, pipeline,
     )
     return {f.__name__: f for f in each}
