@@ -7,8 +7,9 @@ overlap, are removed.
 
 Scale. What is shuffled is 128 bits of hash and a place per window. First places are
 minima, combined before the shuffle, so a passage that a third of the documents share is
-one row per task there; the way back is an equi-join that adaptive execution splits where
-a window is hot. Texts are shuffled once, to meet the lines to remove.
+one row per task there. They are written before the way back, which so is an equi-join of
+two plain exchanges, and these adaptive execution splits where a window is hot. Texts are
+shuffled once, to meet the lines to remove.
 
 Defined results. Documents of fewer than three lines, null texts among them, have no
 window. Windows of three blank lines are not repeats. Rows of equal doc_id and equal text
@@ -23,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellium.llm import rows
+from trellium.llm import rows, scratch
+from trellium.llm.scratch import store
 
 WINDOW = 3
 ADDED = ("n_lines", "removed", "clean")
@@ -60,10 +62,12 @@ def later_places(docs: DataFrame) -> DataFrame:
         found.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"))
         .where("first <> last").select("h", "g", "first")
     )
-    again = found.join(first, ["h", "g"]).where(place != F.col("first"))
+    # written: under a join an aggregation of its keys keeps a hot key in one task
+    again = found.join(store(first, "first-places").df, ["h", "g"]).where(place != F.col("first"))
     return again.groupBy("doc_id", "k").agg(F.collect_set("i").alias("starts"))
 
 
+@scratch.tidy
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with ``n_lines``, ``removed`` (sorted line numbers) and ``clean``, the text that stays."""
     gone = later_places(docs).select(F.col("doc_id").alias("doc"), "k", "starts")

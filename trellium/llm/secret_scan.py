@@ -9,9 +9,10 @@ is added as a span of kind ``owned`` only where ownership says that it may be li
 
 Scale. Texts are scanned once, without a shuffle; what is shuffled are candidate hashes.
 The distinct counts are three nested aggregations that combine before each shuffle, so a
-value copied into a third of the rows is a row per task. Labels go back by an equi-join
-on the hash, split by adaptive execution where a value is hot, and spans are regrouped
-by row. The candidate table, without texts, is written once in the shared folder.
+value copied into a third of the rows is a row per task. Candidates, without texts, and
+their ownership are written in the shared folder, so labels go back by an equi-join of two
+plain exchanges, which adaptive execution splits where a value is hot. Spans are regrouped
+by row.
 
 Defined results. A null text is empty; an empty or clean text has no span. A null
 repository or owner counts as one of its own. Repeated rows are separate rows. Extra
@@ -115,7 +116,9 @@ def scan(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
     each_row = candidates(docs, r=F.xxhash64(repository), o=F.xxhash64(owner))
     held = store(each_row.withColumn("id", F.monotonically_increasing_id()), "secrets")
     each = held.df.where(F.size("found") > 0).select("id", F.explode("found").alias("x")).select("id", "x.*")
-    known = each.join(ownership(held.df), "hash").withColumn("label", label(F.col("random"), F.col("owners")))
+    # written: under a join an aggregation of its key keeps a hot key in one task
+    owned = store(ownership(held.df), "ownership")
+    known = each.join(owned.df, "hash").withColumn("label", label(F.col("random"), F.col("owners")))
     kept = known.where((F.col("kind") != "owned") | (F.col("label") == "live"))
     span = F.struct("kind", "ord", "start", "end", "owners", "repositories", "label")
     per_row = kept.groupBy("id").agg(F.collect_list(span).alias("spans"))
