@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,30 @@ def test_packing_cases(spark):
         packed([11], 10, False)
 
 
+def packed_in_turn(lengths, budget, padded):
+    out, batch, count, total, longest = [], 0, 0, 0, 0
+    for n in lengths:
+        cost = (count + 1) * max(longest, n) if padded else total + n
+        if count and cost > budget:
+            batch, count, total, longest = batch + 1, 0, 0, 0
+        count, total, longest = count + 1, total + n, max(longest, n)
+        out.append(batch)
+    return out
+
+
+@pytest.mark.parametrize("padded", [False, True])
+@pytest.mark.parametrize(("block", "low"), [(1, 4), (64, 9), (1 << 18, 1)])
+def test_packing_in_blocks_is_packing_in_turn(spark, padded, block, low):
+    rng = random.Random(block)
+    by_shard = {None: [rng.randint(low, 40) for _ in range(700)], "a": [rng.choice((low, 60, 75)) for _ in range(300)], "b": [70]}
+    rows = [(s, i, n, "kept") for s, ns in by_shard.items() for i, n in enumerate(ns)]
+    df = spark.createDataFrame(rows, "s string, i int, n int, batch string").repartition(3)
+    got = batching.pack(df, ["s"], ["i"], "n", 70, padded, alone=True, block=block).orderBy("s", "i").collect()
+    for s, ns in by_shard.items():
+        assert [r["batch"] for r in got if r["s"] == s] == packed_in_turn(ns, 70, padded)
+    assert len(got) == len(rows) and batching.pack(df.where("i < 0"), ["s"], ["i"], "n", 70).collect() == []
+
+
 def test_call_round_trip(spark):
     args = F.create_map(F.lit("a"), F.lit("1\n2"), F.lit("b"), F.lit('{"x": [1]}'))
     r = one(spark, c=toolcalls.parse_calls(toolcalls.serialize_call(F.lit("f"), args)))["c"]
@@ -61,17 +86,51 @@ def test_repeated_parameter_keeps_the_last(spark):
 @pytest.mark.parametrize(
     ("turn", "outcome"),
     [
-        ("hi", "no_call"), ("<tool_call><function=f>", "malformed"), ("<tool_call></tool_call>", "malformed"),
-        ("<tool_call><function=></function></tool_call>", "malformed"), ("<tool_call><function=g></function></tool_call>", "unknown_tool"),
+        ("hi", "no_call"), ("<tool_call><function=f>", "malformed_syntax"), ("<tool_call></tool_call>", "malformed_syntax"),
+        ("<tool_call><function=></function></tool_call>", "malformed_syntax"), ("<tool_call><function=g></function></tool_call>", "unknown_tool"),
         ("<tool_call><function=f></function></tool_call>", "bad_arguments"),
         ("<tool_call><function=f><parameter=a>1</parameter></function></tool_call>", "ok"),
+        ("<tool_call><function=f><parameter=a>1</parameter></function><function= ></function></tool_call>", "malformed_syntax"),
+        ("<tool_call><function=f><parameter=a>x</parameter></function></tool_call>", "bad_arguments"),
+        ("<tool_call><function=f><parameter=a>1</parameter><parameter=z>1</parameter></function></tool_call>", "bad_arguments"),
+        ("<function=f></function><tool_call></tool_call>", "no_call"),
     ],
 )
 def test_turn_outcomes(spark, turn, outcome):
-    needs = F.create_map(F.lit("f"), F.array(F.lit("a")))
+    needs = F.create_map(F.lit("f"), F.array(F.struct(F.lit("a").alias("name"), F.lit("integer").alias("type"), F.lit(True).alias("required"))))
     assert one(spark, o=toolcalls.classify_turn(F.lit(turn), F.array(F.lit("f")), needs))["o"] == outcome
 
 
+def test_parsed_turn(spark):
+    turn = "<think> why </think> said <tool_call><function=f><parameter=a>\n+1_0\n</parameter></function></tool_call>"
+    got = one(spark, p=toolcalls.parse_turn(F.lit(turn)), q=toolcalls.parse_turn(F.lit("  plain \n")), n=toolcalls.parse_turn(F.lit(None).cast("string")))
+    assert tuple(got["p"]) == ("ok", "f", {"a": "+1_0"}, "said", "why", None)
+    assert tuple(got["q"]) == ("no_call", None, None, "plain", "", None) and got["n"] is None
+
+
+@pytest.mark.parametrize(
+    ("text", "calls"),
+    [
+        ('{"name": "f"}', [("f", {})]), ('[{"name": "f", "args": {"a": [1, 2]}}]', [("f", {"a": "[1,2]"})]), ('x\n[{"name": "f"}, 3]', []), ('{"name": "f", "arguments": null}', []),
+        ('<tool_call>\n{\n "name": "g",\n "arguments": {"x": {"y": 1}}\n}\n</tool_call>', [("g", {"x": '{"y":1}'})]), ('<tool_call>[{"name": "g"}]</tool_call>', []),
+        ('<tool_call>{"name": "g", "arguments": 3}</tool_call>\n{"name": "h"}', [("h", {})]), ("plain", []), (None, []),
+    ],
+)
+def test_json_calls(spark, text, calls):
+    got = one(spark, c=toolcalls.any_calls(F.lit(text).cast("string")))["c"]
+    assert [(c["name"], c["arguments"]) for c in got] == calls
+
+
+@pytest.mark.parametrize(
+    ("annotation", "kind"),
+    [
+        ("None | int", "integer"), ("Union[int, None]", "integer"), ("typing.Optional[int]", "integer"), ("int | None", "integer"), ("Union[int, str]", "string"), ("typing.Dict[str, int]", "object"),
+        ("Union[None, Dict[str, int]]", "object"), ("Union[Dict[str, int], str]", "string"), ("Optional[Optional[bool]]", "boolean"), ("float", "number"), ("Foo", "string"),
+    ],
+)
+def test_types_of_annotations(spark, annotation, kind):
+    assert one(spark, k=toolcalls.json_type(F.lit(annotation)))["k"] == kind
+
 def test_reasoning(spark):
     r = one(
         spark, a=toolcalls.split_reasoning(F.lit("<think> r </think> c")), b=toolcalls.split_reasoning(F.lit("<think>open")),

@@ -130,8 +130,10 @@ def test_states_and_checks(spark):
     assert judged.where("t = 'u'").first()["passed"] is False
 
 
-def test_windows_of_values_in_ranges(spark, monkeypatch):
+@pytest.mark.parametrize("small", [1000, 30])
+def test_windows_of_values_in_ranges(spark, monkeypatch, small):
     monkeypatch.setattr(ordered, "RANGES", 3)
+    monkeypatch.setattr(ordered, "SMALL", small)
     rows = [(k, i, float((i * 7 + (k or 5)) % 11)) for k in (None, 1, 2) for i in range(40)]
     df = spark.createDataFrame(rows, "k int, i int, v double")
     sums = {(r["k"], r["i"]): r["s"] for r in ordered.running(df, ["i"], F.col("v"), "s", ["k"]).collect()}

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 IGNORED = -100
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of the value, which is computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def common_prefix(a: Column, b: Column) -> Column:
     """How many elements from the first on are equal."""
     pairs = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))

@@ -51,20 +51,44 @@ def call_text(name: Column, arguments: Column) -> Column:
     return F.pandas_udf(run, "string")(name, arguments)
 
 
-def coerce_argument(value: Column, declared: Column) -> Column:
-    """struct<value, reason>: a JSON value as text where it fits the declared type without loss, else why not."""
-    whole, number = r"^-?[0-9]+(\.0+)?$", r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
-    bare = F.regexp_replace(value, r'^"|"$', "")
-    fits = (
-        F.when(declared == "boolean", bare.isin("true", "false"))
-        .when(declared == "integer", bare.rlike(whole))
-        .when(declared == "number", bare.rlike(number))
-        .when(declared == "array", F.coalesce(F.schema_of_variant(F.try_parse_json(value)).startswith("ARRAY"), F.lit(False)))
-        .when(declared == "object", F.coalesce(F.schema_of_variant(F.try_parse_json(value)).startswith("OBJECT"), F.lit(False)))
-        .otherwise(F.lit(True))
+#: What Python's int and float read, but for surrounding space.
+WHOLE = r"^[+-]?[0-9](_?[0-9])*$"
+REAL = r"(?i)^[+-]?(([0-9](_?[0-9])*\.?([0-9](_?[0-9])*)?|\.[0-9](_?[0-9])*)(e[+-]?[0-9](_?[0-9])*)?|inf|infinity|nan)$"
+
+
+def coerced(value: Column, declared: Column) -> Column:
+    """struct<value, reason>: a variant as the text of a value of the declared type, or why it is none.
+
+    Text that reads as a boolean or number becomes one, as Python's int and float read it;
+    numbers and booleans become text as Python writes them; containers are checked by
+    their outer shape. Unknown and null types take anything.
+    """
+    kind = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    said = F.try_variant_get(value, "$", "string")
+    bare = F.regexp_replace(said, r"^\s+|\s+$", "")
+    plain = F.replace(bare, F.lit("_"), F.lit(""))
+    is_text, is_flag = kind == "STRING", kind == "BOOLEAN"
+    is_whole = kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | F.schema_of_variant(value).rlike(r"^DECIMAL\([0-9]+,0\)$")
+    is_real = kind.isin("DECIMAL", "DOUBLE", "FLOAT") & ~is_whole
+    number = F.try_variant_get(value, "$", "double")
+    digits = F.regexp_replace(F.regexp_replace(plain, r"^\+", ""), r"^(-?)0+(?=[0-9])", "$1")
+    integer = (
+        F.when(is_whole, said).when(is_real & (number == F.floor(number)), number.try_cast("decimal(38,0)").cast("string"))
+        .when(is_text & bare.rlike(WHOLE), F.when(digits == "-0", "0").otherwise(digits))
     )
-    out = F.when(declared == "integer", F.regexp_replace(bare, r"\.0+$", "")).when(declared.isin("boolean", "number", "string"), bare).otherwise(value)
-    return F.struct(F.when(fits, out).alias("value"), F.when(~fits, F.concat(F.lit("not "), declared)).alias("reason"))
+    fits = F.when(declared == "boolean", F.when(is_flag, said).when(is_text & F.lower(bare).isin("true", "false"), F.lower(bare)))
+    fits = fits.when(declared == "integer", integer).when(declared == "number", F.when(is_whole | is_real, said).when(is_text & bare.rlike(REAL), plain))
+    fits = fits.when(declared == "string", F.when(is_text, said).when(is_flag, F.initcap(said)).when(is_whole | is_real, said))
+    for name, want in (("array", "ARRAY"), ("object", "OBJECT")):
+        fits = fits.when(declared == name, F.when(kind == want, F.to_json(value)))
+    out = fits.otherwise(F.when(is_text, said).otherwise(F.to_json(value)))
+    return F.struct(out.alias("value"), F.when(value.isNotNull() & out.isNull(), F.concat(F.lit("not "), declared)).alias("reason"))
+
+
+def coerce_argument(value: Column, declared: Column) -> Column:
+    """``coerced`` of a JSON value as text; text that is no JSON counts as a string. Numbers stay as they are written."""
+    written = F.when((declared == "number") & value.rlike(REAL), F.struct(value.alias("value"), F.lit(None).cast("string").alias("reason")))
+    return F.coalesce(written, coerced(F.coalesce(F.try_parse_json(value), value.cast("variant")), declared))
 
 
 def argument_faults(given: Column, declared: Column, required: Column) -> Column:

@@ -8,9 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trellium.functions import python_calls
+from trellium.functions.arrays import bound
+
 BLOCK = r"(?s)<tool_call>(.*?)</tool_call>"
-FUNCTION = r"(?s)<function=([^>]*)>(.*?)</function>"
-PARAMETER = r"(?s)<parameter=([^>]*)>(.*?)</parameter>"
+FUNCTION = r"(?s)<function=([^\s>]+)>(.*?)</function>"
+PARAMETER = r"(?s)<parameter=([^\s>]+)>(.*?)</parameter>"
+CALLS = "array<struct<name:string,arguments:map<string,string>>>"
 #: The closing marks of a turn, the mark of a failed task, and public methods that are no tools.
 DONE_WORDS = ("task_finished", "task finished", "task completed", "finish")
 ERROR_WORD = "task_error"
@@ -28,7 +32,7 @@ def parse_calls(text: Column) -> Column:
     def arguments(body: Column) -> Column:
         keys = F.regexp_extract_all(body, F.lit(PARAMETER), F.lit(1))
         values = F.regexp_extract_all(body, F.lit(PARAMETER), F.lit(2))
-        pairs = F.zip_with(keys, values, lambda k, v: F.struct(strip(k).alias("key"), F.regexp_replace(v, r"^\n+|\n+$", "").alias("value")))
+        pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), F.regexp_replace(v, r"^\n+|\n+$", "").alias("value")))
         # only the last entry of a key stays: maps refuse repeated keys
         last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
         return F.map_from_entries(last)
@@ -37,7 +41,7 @@ def parse_calls(text: Column) -> Column:
     functions = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(FUNCTION), F.lit(0))))
     return F.transform(
         functions,
-        lambda f: F.struct(strip(F.regexp_extract(f, FUNCTION, 1)).alias("name"), arguments(F.regexp_extract(f, FUNCTION, 2)).alias("arguments")),
+        lambda f: F.struct(F.regexp_extract(f, FUNCTION, 1).alias("name"), arguments(F.regexp_extract(f, FUNCTION, 2)).alias("arguments")),
     )
 
 
@@ -81,7 +85,7 @@ def split_reasoning(text: Column) -> Column:
     return (
         F.when(closed, F.struct(strip(body).alias("reasoning"), strip(rest).alias("content")))
         .when(opened, F.struct(strip(F.regexp_extract(text, r"(?s)<think>(.*)$", 1)).alias("reasoning"), F.lit("").alias("content")))
-        .otherwise(F.struct(F.lit("").alias("reasoning"), text.alias("content")))
+        .otherwise(F.struct(F.lit("").alias("reasoning"), strip(text).alias("content")))
     )
 
 
@@ -91,7 +95,8 @@ def split_continuation(text: Column, thinking: bool = True) -> Column:
     split = F.struct(
         strip(F.substring_index(text, "</think>", 1)).alias("reasoning"), strip(F.substring(text, at + 8, F.length(text))).alias("content")
     )
-    plain = F.struct((text if thinking else F.lit("")).alias("reasoning"), (F.lit("") if thinking else text).alias("content"))
+    bare = strip(text)
+    plain = F.struct((bare if thinking else F.lit("")).alias("reasoning"), (F.lit("") if thinking else bare).alias("content"))
     return F.when(F.instr(text, "<think>") > 0, split_reasoning(text)).when(at > 0, split).otherwise(plain)
 
 
@@ -99,46 +104,111 @@ def outside_calls(text: Column) -> Column:
     return strip(F.regexp_replace(text, BLOCK, ""))
 
 
-def classify_turn(text: Column, tools: Column, required: Column | None = None) -> Column:
-    """malformed, no_call, unknown_tool, bad_arguments or ok: the first that holds; the first call counts.
+def malformed_reason(text: Column) -> Column:
+    """Why the marks of a call are broken; null if they are not."""
+    count = lambda p: F.regexp_count(text, F.lit(p))
+    return (
+        F.when(text.rlike(r"<function=\s*>"), "empty function name")
+        .when(count("<tool_call>") > count("</tool_call>"), "unclosed <tool_call> tag")
+        .when(count("<function=") > count("</function>"), "unclosed <function=...> tag")
+        .when(text.contains("<tool_call>") & ~text.contains("<function="), "<tool_call> block contains no <function=NAME>")
+    )
+
 
-    ``tools`` lists the known names; ``required`` maps a name to the parameters it needs.
+def argument_reason(arguments: Column, signature: Column) -> Column:
+    """Why parameter texts do not fit a signature; null if they do.
+
+    ``signature``: array<struct<name, type, required>>. The first that holds: an unknown
+    name, a value that its type cannot take, a required one that is missing.
     """
-    count = lambda p: F.regexp_count(text, F.lit(p))
-    calls = parse_calls(text)
-    first = F.get(calls, 0)
-    malformed = (
-        (count("<tool_call>") > count("</tool_call>"))
-        | (count("<function=") > count("</function>"))
-        | ((count("<tool_call>") > 0) & (F.size(calls) == 0))
-        | (first["name"] == "")
+    declared = F.map_from_entries(F.transform(signature, lambda s: F.struct(s["name"], s["type"])))
+    names = F.map_keys(arguments)
+    unknown = F.array_sort(F.array_except(names, F.map_keys(declared)))
+    missing = F.array_sort(F.array_except(F.transform(F.filter(signature, lambda s: s["required"]), lambda s: s["name"]), names))
+    faults = F.transform(
+        F.map_entries(arguments),
+        lambda e: F.concat(F.lit("parameter "), e["key"], F.lit(": "), bound(coerce(e["value"], F.lit("any")), lambda v: python_calls.coerced(v, F.try_element_at(declared, e["key"])))["reason"]),
     )
-    missing = F.lit(False)
-    if required is not None:
-        missing = F.coalesce(F.size(F.array_except(F.try_element_at(required, first["name"]), F.map_keys(first["arguments"]))) > 0, F.lit(False))
     return (
-        F.when(F.coalesce(malformed, F.lit(False)), "malformed")
-        .when(F.size(calls) == 0, "no_call")
-        .when(~F.array_contains(tools, first["name"]), "unknown_tool")
-        .when(missing, "bad_arguments")
-        .otherwise("ok")
+        F.when(F.size(unknown) > 0, F.concat(F.lit("unknown parameter(s) "), F.array_join(unknown, ", ")))
+        .otherwise(F.coalesce(
+            F.get(F.filter(faults, lambda x: x.isNotNull()), 0),
+            F.when(F.size(missing) > 0, F.concat(F.lit("missing required parameter(s) "), F.array_join(missing, ", "))),
+        ))
     )
 
 
+def parse_turn(text: Column, tools: Column | None = None, signatures: Column | None = None) -> Column:
+    """struct<outcome, name, arguments, content, reasoning, reason> of an assistant turn.
+
+    The outcome is malformed_syntax, no_call, unknown_tool, bad_arguments or ok, the first
+    that holds; the first call counts. ``tools`` lists the known names; ``signatures`` maps
+    a name to its parameters (``argument_reason``), and a name without one is unknown.
+    """
+
+    def of(x: Column) -> Column:
+        first, malformed, thought = F.get(x["calls"], 0), x["malformed"], x["thought"]
+        called = malformed.isNull() & (F.size(x["calls"]) > 0)
+        unknown = F.lit(False) if tools is None else ~F.array_contains(tools, first["name"])
+        why = F.lit(None).cast("string")
+        if signatures is not None:
+            signature = F.try_element_at(signatures, first["name"])
+            unknown = unknown | signature.isNull()
+            why = argument_reason(first["arguments"], signature)
+        found = F.struct(
+            F.coalesce(malformed, F.when(called & unknown, F.concat(first["name"], F.lit(" is not one of this environment's tools"))), F.when(called, why)).alias("reason"),
+            F.when(malformed.isNotNull(), "malformed_syntax").when(~called, "no_call").when(unknown, "unknown_tool").alias("early"),
+        )
+        return bound(
+            found,
+            lambda f: F.struct(
+                F.coalesce(f["early"], F.when(f["reason"].isNotNull(), "bad_arguments").otherwise("ok")).alias("outcome"),
+                F.when(called, first["name"]).alias("name"), F.when(called, first["arguments"]).alias("arguments"),
+                F.when(called, outside_calls(thought["content"])).otherwise(thought["content"]).alias("content"), thought["reasoning"].alias("reasoning"), f["reason"].alias("reason"),
+            ),
+        )
+
+    parts = F.struct(parse_calls(text).alias("calls"), malformed_reason(text).alias("malformed"), split_reasoning(text).alias("thought"))
+    return F.when(text.isNotNull(), bound(parts, of))
+
+
+def classify_turn(text: Column, tools: Column | None = None, signatures: Column | None = None) -> Column:
+    """The outcome of ``parse_turn``."""
+    return parse_turn(text, tools, signatures)["outcome"]
+
+
+def _kind(value: Column) -> Column:
+    """What a variant is: OBJECT, ARRAY, STRING, BIGINT, VOID and so on."""
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
+
+def _json_call(value: Column, keys: tuple[str, ...]) -> Column:
+    """The call that a variant holds; its arguments are under the first of ``keys`` that it has, or none; null for anything else."""
+    given = F.coalesce(*[F.try_variant_get(value, f"$.{k}", "variant") for k in keys], F.try_parse_json(F.lit("{}")))
+    sound = (_kind(value) == "OBJECT") & (_kind(F.try_variant_get(value, "$.name", "variant")) == "STRING") & (_kind(given) == "OBJECT")
+    call = F.struct(F.try_variant_get(value, "$.name", "string").alias("name"), F.try_variant_get(given, "$", "map<string,string>").alias("arguments"))
+    return F.when(sound, call)
+
+
 def json_calls(text: Column) -> Column:
     """The calls that the last line holds as a JSON object or list; any bad element empties it."""
     line = strip(F.element_at(F.split(strip(text), "\n"), -1))
-    listed = F.when(line.startswith("{"), F.concat(F.lit("["), line, F.lit("]"))).otherwise(line)
-    shaped = F.from_json(listed, "array<struct<name:string,arguments:map<string,string>>>")
-    good = F.forall(shaped, lambda c: c["name"].isNotNull() & c["arguments"].isNotNull())
-    return F.when(F.coalesce(good, F.lit(False)), shaped).otherwise(F.array().cast("array<struct<name:string,arguments:map<string,string>>>"))
+    value = F.when(line.rlike(r"^[\[{]"), F.try_parse_json(line))
+    items = F.when(_kind(value) == "ARRAY", F.try_variant_get(value, "$", "array<variant>")).otherwise(F.array(value))
+    found = F.transform(items, lambda v: _json_call(v, ("arguments", "args")))
+    return F.when(value.isNotNull() & F.forall(found, lambda c: c.isNotNull()), found).otherwise(F.array().cast(CALLS))
+
+
+def block_calls(text: Column) -> Column:
+    """The calls of blocks that hold one JSON object; other blocks are passed over."""
+    bodies = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(BLOCK), F.lit(1))
+    return F.filter(F.transform(bodies, lambda b: _json_call(F.try_parse_json(strip(b)), ("arguments",))), lambda c: c.isNotNull())
 
 
 def any_calls(text: Column) -> Column:
     """XML calls, else the calls of JSON blocks, else those of a JSON last line."""
-    xml, blocks = parse_calls(text), F.regexp_extract_all(text, F.lit(BLOCK), F.lit(1))
-    inner = F.flatten(F.transform(blocks, json_calls))
-    return F.when(F.size(xml) > 0, xml).when(F.size(inner) > 0, inner).otherwise(json_calls(text))
+    either = lambda first, other: bound(first, lambda x: F.when(F.size(x) > 0, x).otherwise(other))
+    return either(parse_calls(text), either(block_calls(text), json_calls(text)))
 
 
 def _closing(text: Column) -> Column:
@@ -163,11 +233,24 @@ def is_error(result: Column) -> Column:
     return result.startswith("Error during execution:") | F.coalesce(F.array_contains(F.json_object_keys(result), "error"), F.lit(False))
 
 
+def _without_none(annotation: Column) -> Column:
+    """What a union with None holds besides, if that is one type; other annotations as they are."""
+    union = F.regexp_replace(F.regexp_replace(F.regexp_extract(annotation, r"^Union\[(.*)\]$", 1), r",\s*None\s*$", ""), r"^\s*None\s*,\s*", "")
+    flat = union
+    for _ in range(4):
+        flat = F.regexp_replace(flat, r"\[[^\[\]]*\]", "")
+    inner = F.when((union != "") & ~flat.contains(","), union).otherwise(F.regexp_replace(annotation, r"^Optional\[(.*)\]$", "$1"))
+    return strip(F.regexp_replace(F.regexp_replace(inner, r"\s*\|\s*None$", ""), r"^None\s*\|\s*", ""))
+
+
 def json_type(annotation: Column) -> Column:
     """The JSON schema type of an annotation, optional ones unwrapped; string if unknown."""
-    bare = F.regexp_replace(F.regexp_replace(annotation, r"^Optional\[(.*)\]$", "$1"), r"\s*\|\s*None$", "")
-    name = F.lower(F.regexp_extract(bare, r"^([A-Za-z]+)", 1))
-    out = F.lit("string")
-    for python, kind in (("int", "integer"), ("float", "number"), ("bool", "boolean"), ("list", "array"), ("dict", "object")):
-        out = F.when(name == python, kind).otherwise(out)
-    return out
+    bare = bound(bound(strip(F.regexp_replace(annotation, r"\btyping\.", "")), _without_none), _without_none)
+
+    def of(name: Column) -> Column:
+        out = F.lit("string")
+        for names, kind in ((("int",), "integer"), (("float",), "number"), (("bool",), "boolean"), (("list", "List"), "array"), (("dict", "Dict"), "object")):
+            out = F.when(name.isin(*names), kind).otherwise(out)
+        return out
+
+    return F.when(annotation.isNotNull(), bound(F.regexp_extract(bare, r"^([A-Za-z]+)(\[.*\])?$", 1), of))

@@ -2,44 +2,135 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections import deque
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellium.operators import ordered
+from trellium.sources import shared
 
+#: Rows of a block of ``pack``, at least.
+BLOCK = 1 << 18
 
-def pack(rows: DataFrame, shard: Sequence[str], order: Sequence[str], length: str, budget: int, padded: bool = False, alone: bool = False) -> DataFrame:
+
+def next_starts(lengths: np.ndarray, budget: int, padded: bool) -> np.ndarray:
+    """For each row, where the batch after the one that starts with it would start."""
+    if not padded:
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        found = np.searchsorted(before, before[:-1] + budget, side="right") - 1
+        return np.maximum(found, np.arange(1, len(lengths) + 1))
+    out, falling, j = np.empty(len(lengths), np.int64), deque(), 0  # falling: places whose lengths fall, the first is the longest
+    sizes = lengths.tolist()
+    for i in range(len(sizes)):
+        while falling and falling[0] < i:
+            falling.popleft()
+        j = max(j, i)
+        while j < len(sizes) and (j == i or (j - i + 1) * max(sizes[falling[0]], sizes[j]) <= budget):
+            while falling and sizes[falling[-1]] <= sizes[j]:
+                falling.pop()
+            falling.append(j)
+            j += 1
+        out[i] = j
+    return out
+
+
+def _blocks(numbered: DataFrame, keys: Sequence[str], block: int, reach: int) -> DataFrame:
+    """keys, _b, _i, _n: the rows of each block, and after them as many of the next as a batch may reach."""
+    own = F.expr(f"_i div {block}")
+    ahead = F.when((own > 0) & (F.col("_i") % block < reach), own - 1)
+    return numbered.select(*keys, F.explode(F.array_compact(F.array(own, ahead))).alias("_b"), "_i", "_n")
+
+
+def _types(df: DataFrame, keys: Sequence[str], more: str) -> str:
+    return ", ".join([*[f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys], more])
+
+
+def pack(rows: DataFrame, shard: Sequence[str], order: Sequence[str], length: str, budget: int, padded: bool = False, alone: bool = False, block: int = BLOCK) -> DataFrame:
     """``rows`` with ``batch``, filled greedily in order within each shard; no row is split.
 
     The cost of a batch is the sum of its lengths, or rows times the longest if padded. A
     row beyond the budget, unless such rows are to stand ``alone`` in a batch, or without
-    length, is an error. Rows stream through a task
-    sorted by shard; what is held is the state of one batch.
+    length, is an error.
+
+    Where a batch ends depends on where it starts, but where the next would start is known
+    for every row from a bounded number of rows after it. So a shard is cut into blocks
+    that are longer than any batch; each block says for its possible entries, which are
+    its first rows, where the chain of batches leaves it, pointer doubling over these finds
+    the entry of every block, and each then numbers its batches by itself. A task holds a
+    block, two numbers a row, however large the shard.
     """
-    schema = rows.schema.add("batch", "long")
     keys = list(shard)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, batch, count, total, longest = None, 0, 0, 0, 0
-        for part in parts:
-            out = []
-            for key, n in zip(part[keys].itertuples(index=False, name=None), part[length].tolist(), strict=True):
-                if n is None or not n > 0 or n > budget and not alone:
-                    raise ValueError(f"a row of length {n} cannot be in a batch of {budget}")
-                if key != now:
-                    now, batch, count, total, longest = key, 0, 0, 0, 0
-                cost = (count + 1) * max(longest, n) if padded else total + n
-                if count and cost > budget:
-                    batch, count, total, longest = batch + 1, 0, 0, 0
-                count, total, longest = count + 1, total + n, max(longest, n)
-                out.append(batch)
-            yield part.assign(batch=out)
-
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return dealt.mapInPandas(run, schema)
+    n = F.col(length)
+    fault = n.isNull() | ~(n > 0) | (F.lit(False) if alone else n > budget)
+    message = F.concat(F.lit("a row of length "), F.coalesce(n.cast("string"), F.lit("null")), F.lit(f" cannot be in a batch of {budget}"))
+    checked = rows.withColumn("_n", F.when(fault, F.raise_error(message).cast("long")).otherwise(n.cast("long")))
+    numbered = ordered.numbered(checked, list(order), "_i", keys)
+    shortest, last = numbered.agg(F.min("_n"), F.max("_i")).first()
+    if shortest is None:
+        return rows.withColumn("batch", F.lit(0).cast("long"))
+    reach = budget // shortest + 1
+    block = max(block, 2 * reach)
+    parts = _blocks(numbered, keys, block, reach)
+
+    def chained(frame: pd.DataFrame) -> tuple[int, int, np.ndarray]:
+        """The first place of the block, how many rows are its own, and the next start of each of these, counted from there."""
+        frame = frame.sort_values("_i")
+        first, own = int(frame["_i"].iloc[0]), int((frame["_i"] // block == frame["_b"].iloc[0]).sum())
+        return first, own, next_starts(frame["_n"].to_numpy(np.int64), budget, padded)[:own]
+
+    def exits(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        first, own, after = chained(frame)
+        out = after.tolist()
+        for i in range(own - 1, -1, -1):
+            if out[i] < own:
+                out[i] = out[out[i]]
+        some = min(own, reach)
+        return pd.DataFrame({**dict(zip(keys, key, strict=False)), "_at": range(first, first + some), "_to": [first + x for x in out[:some]]})
+
+    def starts(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        first, own, after = chained(frame)
+        entry, marks = frame["_entry"].iloc[0], np.zeros(own, np.int64)
+        at = own if pd.isna(entry) else int(entry) - first  # a last block may lie within the last batch
+        while at < own:
+            marks[at] = 1
+            at = int(after[at])
+        return pd.DataFrame({**dict(zip(keys, key, strict=False)), "_b": int(frame["_b"].iloc[0]), "_i": range(first, first + own), "_in": np.cumsum(marks)})
+
+    blocks = int(last) // block + 1
+    entered = numbered.where("_i = 0").select(*keys, F.col("_i").alias("_entry"))
+    if blocks > 1:
+        jumps = shared.cut(parts.groupBy(*keys, "_b").applyInPandas(exits, _types(rows, keys, "_at long, _to long")))
+        entered = shared.cut(entered)
+        for _ in range((blocks - 1).bit_length()):
+            ahead = _by(entered, jumps, keys, "_entry", "_at").select(*keys, F.col("_to").alias("_entry"))
+            entered = shared.cut(entered.unionByName(ahead).distinct())
+            further = jumps.select(*keys, F.col("_at").alias("_mid"), F.col("_to").alias("_far"))
+            jumps = shared.cut(_by(jumps, further, keys, "_to", "_mid").select(*keys, "_at", F.col("_far").alias("_to")))
+    # the end of a shard is no entry of its last block
+    entries = entered.groupBy(*keys, F.expr(f"_entry div {block}").alias("_block")).agg(F.min("_entry").alias("_entry"))
+    met = _by(parts, entries, keys, "_b", "_block", "left").select(*keys, "_b", "_i", "_n", "_entry")
+    counted = met.groupBy(*keys, "_b").applyInPandas(starts, _types(rows, keys, "_b long, _i long, _in long"))
+    if blocks > 1:
+        counted = shared.cut(counted)
+        totals = counted.groupBy(*keys, "_b").agg(F.max("_in").alias("_starts"))
+        upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        before = totals.select(*keys, F.col("_b").alias("_block"), F.coalesce(F.sum("_starts").over(upto), F.lit(0)).alias("_before"))
+        counted = _by(counted, before, keys, "_b", "_block").select(*keys, "_i", (F.col("_in") + F.col("_before")).alias("_in"))
+    batch = counted.select(*keys, F.col("_i").alias("_place"), (F.col("_in") - 1).alias("batch"))
+    return _by(numbered.drop("batch"), batch, keys, "_i", "_place").select(*[c for c in rows.columns if c != "batch"], "batch")
+
+
+def _by(a: DataFrame, b: DataFrame, keys: Sequence[str], left: str, right: str, how: str = "inner") -> DataFrame:
+    """The rows of ``a`` with what ``b`` adds where its keys, nulls among them, and the two columns agree."""
+    other = b.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[c for c in b.columns if c not in keys])
+    same = F.col(left) == F.col(right)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return a.join(other, same, how).drop(*[f"_key{i}" for i in range(len(keys))])
 
 
 def epoch_key(rows: DataFrame, key: str, seed: int, epoch: int, out: str = "epoch_key") -> DataFrame:

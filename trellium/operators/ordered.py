@@ -1,4 +1,9 @@
-"""Running values along an order, of all rows or by key, without a task that holds a whole group."""
+"""Running values along an order, of all rows or by key, without a task that holds a whole group.
+
+Groups of up to ``SMALL`` rows, which one count tells, are plain windows. Larger ones are
+dealt by ranges of the order into a written table; the partition number is the range, so
+what lies before a range is known from one row per range and key.
+"""
 
 from __future__ import annotations
 
@@ -7,29 +12,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE, RANGES = 4000, 64
-
-
-def _range(rows: DataFrame, order: Sequence[str]) -> Column:
-    """The number of the range of order keys that a row is in, equal keys in one range.
+from trellium.sources import shared
 
-    The bounds come from a sample of at most SAMPLE keys on the driver. They decide how
-    evenly the rows are dealt, never the result.
-    """
-    sample = {tuple(r) for r in rows.select(*order).orderBy(F.rand(7)).limit(SAMPLE).collect()}
-    keys = sorted((k for k in sample if all(x == x for x in k)), key=lambda k: tuple((x is not None, x) for x in k))
-    step = max(1, len(keys) // RANGES)
-    types = [rows.schema[c].dataType for c in order]
-    bounds = [F.struct(*[F.lit(x).cast(t).alias(c) for x, t, c in zip(k, types, order, strict=True)]) for k in keys[step::step]]
-    if not bounds:
-        return F.lit(0)
-    mine = F.struct(*[F.col(c).alias(c) for c in order])
-    return F.size(F.filter(F.array(*bounds), lambda b: b <= mine))
+SMALL, RANGES = 1_000_000, 64
 
 
-def dealt(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``rows`` with ``_range``; the work on each range of a key is a task of its own."""
-    return rows.withColumn("_range", _range(rows, order))
+def _dealt(rows: DataFrame, order: Sequence[str], by: Sequence[str]) -> DataFrame | None:
+    """``rows`` with ``_range``, the range of order keys that a row is in, equal keys in one range; none where every group is small."""
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    if (largest or 0) <= SMALL:
+        return None
+    ranges = max(RANGES, -(-total // SMALL))
+    return shared.cut(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
 
 
 def _carried(ranged: DataFrame, by: Sequence[str], inside: Column, ahead: Column) -> DataFrame:
@@ -38,7 +33,7 @@ def _carried(ranged: DataFrame, by: Sequence[str], inside: Column, ahead: Column
 
 
 def _met(ranged: DataFrame, carried: DataFrame, by: Sequence[str]) -> DataFrame:
-    if not by:  # at most 2 * RANGES rows
+    if not by:  # a row a range
         return ranged.join(F.broadcast(carried), "_range")
     keys = [f"_by{i}" for i in range(len(by))]
     sides = carried.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col("_range").alias("_at"), "_before")
@@ -48,37 +43,43 @@ def _met(ranged: DataFrame, carried: DataFrame, by: Sequence[str]) -> DataFrame:
     return ranged.join(sides, same).drop(*keys, "_at")
 
 
+def _along(by: Sequence[str], order: Sequence[str], last: int) -> Column:
+    """The window of the rows up to ``last`` places from the row."""
+    return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+
+
 def running(rows: DataFrame, order: Sequence[str], value: Column, out: str, by: Sequence[str] = ()) -> DataFrame:
     """``rows`` with ``out``, the sum of ``value`` up to and including the row, by key.
 
-    Ranges of the order are summed, and each range counts on from what lies before it. Rows
-    with equal keys come in any order.
+    Rows with equal keys come in any order.
     """
-    ranged = dealt(rows, order).withColumn("_value", value)
-    ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = _carried(ranged, by, F.sum("_value"), F.coalesce(F.sum("_part").over(ahead), F.lit(0)))
-    inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.col("_before") + F.coalesce(F.sum("_value").over(inside), F.lit(0))
-    return _met(ranged, before, by).withColumn(out, total).drop("_range", "_value", "_before")
+    valued = rows.withColumn("_value", value)
+    sums = lambda keys: F.coalesce(F.sum("_value").over(_along(keys, order, 0)), F.lit(0))
+    ranged = _dealt(valued, order, by)
+    if ranged is None:
+        return valued.withColumn(out, sums(by)).drop("_value")
+    before = _carried(ranged, by, F.sum("_value"), F.coalesce(F.sum("_part").over(_along(by, ["_range"], -1)), F.lit(0)))
+    return _met(ranged, before, by).withColumn(out, F.col("_before") + sums([*by, "_range"])).drop("_range", "_value", "_before")
 
 
 def largest_before(rows: DataFrame, order: Sequence[str], value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
     """``rows`` with ``out``, the largest ``value`` of the rows before the row, by key; null for none."""
-    ranged = dealt(rows, order)
-    ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = _carried(ranged, by, F.max(value), F.max("_part").over(ahead))
-    inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return _met(ranged, before, by).withColumn(out, F.greatest("_before", F.max(value).over(inside))).drop("_range", "_before")
+    most = lambda keys: F.max(value).over(_along(keys, order, -1))
+    ranged = _dealt(rows, order, by)
+    if ranged is None:
+        return rows.withColumn(out, most(by))
+    before = _carried(ranged, by, F.max(value), F.max("_part").over(_along(by, ["_range"], -1)))
+    return _met(ranged, before, by).withColumn(out, F.greatest("_before", most([*by, "_range"]))).drop("_range", "_before")
 
 
 def previous(rows: DataFrame, order: Sequence[str], value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
     """``rows`` with ``out``, the ``value`` of the row before, by key; null for the first."""
-    ranged = dealt(rows, order)
-    ahead = Window.partitionBy(*by).orderBy("_range")
+    ranged = _dealt(rows, order, by)
+    if ranged is None:
+        return rows.withColumn(out, F.lag(value).over(Window.partitionBy(*by).orderBy(*order)))
     last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order))
-    before = _carried(ranged, by, last, F.lag("_part").over(ahead))
-    inside = Window.partitionBy(*by, "_range").orderBy(*order)
-    here = F.lag(F.struct(F.col(value).alias("v"))).over(inside)
+    before = _carried(ranged, by, last, F.lag("_part").over(Window.partitionBy(*by).orderBy("_range")))
+    here = F.lag(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(*by, "_range").orderBy(*order))
     return _met(ranged, before, by).withColumn(out, F.coalesce(here, "_before")["v"]).drop("_range", "_before")
 
 

@@ -125,7 +125,6 @@ def _all() -> dict[str, str]:
             SELECT s_suppkey, position, (position // 7)::BIGINT AS group_index FROM n WHERE position < t // 7 * 7""",
         "flatten_offsets": "SELECT conv_id, sum(length(text))::BIGINT AS cu_seqlen, max(length(text))::INT AS max_len FROM conversations GROUP BY conv_id",
         "tool_call_roundtrip": "SELECT event_id, event_type AS name, json_extract_string(props, '$.k') AS k FROM events",
-        "classify_turns": "SELECT ['no_call', 'malformed', 'unknown_tool', 'bad_arguments', 'ok'][event_id % 5 + 1] AS outcome, count(*) AS n FROM events GROUP BY 1",
         "redact_urls": r"SELECT page_id, regexp_replace(url, '^([a-z]+)://[^/?#]*([^?#]*).*$', '\1://redacted\2') AS endpoint FROM pages",
         "user_turns": "SELECT role, count(*) FILTER (role = 'user' AND NOT starts_with(ltrim(text), '<tool_response>')) AS user_turns, count(*) AS n FROM conversations GROUP BY role",
         "dedup_exact": "SELECT sha256(text) AS h, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",

@@ -303,20 +303,8 @@ def tool_call_roundtrip(spark, sf_dir):
     events = read(spark, sf_dir, "events").select("event_id", "event_type", "props")
     call = toolcalls.serialize_call(F.col("event_type"), F.create_map(F.lit("k"), F.get_json_object("props", "$.k")))
     back = toolcalls.parse_calls(F.concat(F.lit("text before "), call))
-    return events.select("event_id", F.get(back, 0)["name"].alias("name"), F.get(back, 0)["arguments"]["k"].alias("k"))
-
-
-@query
-def classify_turns(spark, sf_dir):
-    n = F.col("event_id") % 5
-    shown = (
-        F.when(n == 0, "no call at all").when(n == 1, "<tool_call><function=click><parameter=a>1</parameter></function>")
-        .when(n == 2, "<tool_call><function=nope><parameter=a>1</parameter></function></tool_call>")
-        .when(n == 3, "<tool_call><function=click></function></tool_call>").otherwise("x <tool_call><function=click><parameter=a>1</parameter></function></tool_call>")
-    )
-    needs = F.create_map(F.lit("click"), F.array(F.lit("a")))
-    outcome = toolcalls.classify_turn(shown, F.array(F.lit("click")), needs)
-    return read(spark, sf_dir, "events").select(outcome.alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
+    first = events.select("event_id", F.get(back, 0).alias("c"))
+    return first.select("event_id", F.col("c.name").alias("name"), F.col("c.arguments")["k"].alias("k"))
 
 
 @query

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trellium.functions import arrays
 from trellium.operators import batching, evaluation, ordered, plugins, records, sweep, telemetry, trajectories, turns
 from trellium.plans.queries import _arrays, _events, query, read
-from trellium.streaming import metrics
+from trellium.streaming import metrics, slots
 
 SQL: dict[str, str] = {}
 _RECORDS = """d AS (SELECT doc_id, lang, (doc_id % 9 + 1)::INT AS n, list_transform(range(1, doc_id % 9 + 2), lambda x: x::INT) AS ids,
@@ -352,3 +352,29 @@ def resume_guard(spark, sf_dir):
 
     rows = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("profile"), F.lit(None).cast("string").alias("dtype"))
     return guards.resumable(rows, {"profile": "F", "dtype": None}, "5-LOW").select("o_orderkey")
+
+
+SQL["episode_slots"] = """WITH e AS (SELECT o_orderkey AS position, o_custkey AS worker, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::DOUBLE AS opened FROM orders),
+    x AS (SELECT e.*, c.hit FROM e LEFT JOIN (SELECT c_custkey, floor((c_acctbal + 1000) / 5)::DOUBLE AS hit FROM customer) c ON c_custkey = worker AND hit >= opened AND hit < opened + 30)
+    SELECT worker::VARCHAR AS worker, position, 0 AS attempt, position::VARCHAR AS episode_id, NULL::VARCHAR AS replaced_episode_id, opened, coalesce(hit, opened + 30) AS ended,
+      CASE WHEN hit IS NULL OR hit >= opened + 2 THEN 1 ELSE 0 END::BIGINT AS step_count, CASE WHEN hit IS NULL OR hit >= opened + 1 THEN 1 ELSE 0 END::BIGINT AS generation_count,
+      CASE WHEN hit IS NULL THEN 'final_answer' ELSE 'worker_crash' END AS terminal_reason FROM x
+    UNION ALL SELECT worker::VARCHAR, position, 1, position || '~1', position::VARCHAR, hit, hit + 30, 0, 0, 'final_answer' FROM x WHERE hit IS NOT NULL"""
+
+
+@query
+def episode_slots(spark, sf_dir):
+    """Orders as episodes of 30 days held by their customer, whose one crash replaces those that are open then."""
+    orders = read(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("worker"), F.col("o_orderkey").alias("position"), F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")).cast("double").alias("opened")
+    )
+    crashes = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("worker"), F.floor((F.col("c_acctbal") + 1000) / 5).cast("double").alias("at"))
+    hit = orders.join(crashes, "worker").where("at >= opened and at < opened + 30")
+    first = orders.select("worker", "position", F.lit(0).alias("attempt"), "opened", (F.col("opened") + 30).alias("ended"), F.lit("final_answer").alias("reason"))
+    second = hit.select("worker", "position", F.lit(1).alias("attempt"), F.col("at").alias("opened"), (F.col("at") + 30).alias("ended"), F.lit("final_answer").alias("reason"))
+
+    def moved(event: str, after: int):
+        return orders.select("worker", (F.col("opened") + after).alias("at"), F.lit(1).alias("seq"), F.lit(event).alias("event"), "position", F.lit(0).alias("attempt"))
+
+    events = slots.feed(first.unionByName(second), crashes).unionByName(moved("generate", 1)).unionByName(moved("call", 2))
+    return slots.episode_slots(events, 1e9).drop("invalid_call_count", "stage_timings")

@@ -32,12 +32,12 @@ def _bare(x: str) -> str:
     return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
-THOUGHT = "CASE WHEN turn % 4 = 0 THEN '<think> ' || role || ' </think> ' || text WHEN turn % 4 = 1 THEN text || '<think>' || role WHEN turn % 4 = 2 THEN role || ' <think>' || text || '</think> ' || role ELSE text END"
+THOUGHT = "CASE WHEN turn % 4 = 0 THEN '<think> ' || role || ' </think> ' || text WHEN turn % 4 = 1 THEN text || '<think>' || role WHEN turn % 4 = 2 THEN role || ' <think>' || text || '</think> ' || role ELSE ' ' || text || chr(10) END"
 _OPEN, _CLOSE = "strpos(t, '<think>')", "strpos(substr(t, strpos(t, '<think>')), '</think>')"
 SQL["split_reasonings"] = _of_turns(
     THOUGHT,
     f"CASE WHEN {_OPEN} = 0 THEN '' WHEN {_CLOSE} > 0 THEN {_bare(f'substr(t, {_OPEN} + 7, {_CLOSE} - 8)')} ELSE {_bare(f'substr(t, {_OPEN} + 7)')} END AS reasoning, "
-    f"CASE WHEN {_OPEN} = 0 THEN t WHEN {_CLOSE} > 0 THEN {_bare(f'substr(t, 1, {_OPEN} - 1) || substr(t, {_OPEN} + {_CLOSE} + 7)')} ELSE '' END AS content",
+    f"CASE WHEN {_OPEN} = 0 THEN {_bare('t')} WHEN {_CLOSE} > 0 THEN {_bare(f'substr(t, 1, {_OPEN} - 1) || substr(t, {_OPEN} + {_CLOSE} + 7)')} ELSE '' END AS content",
 )
 
 
@@ -47,12 +47,12 @@ def split_reasonings(spark, sf_dir):
     return _turns(spark, sf_dir, THOUGHT).select("conv_id", "turn", s["reasoning"].alias("reasoning"), s["content"].alias("content"))
 
 
-CONTINUED = "CASE WHEN turn % 3 = 0 THEN role || ' </think> ' || text WHEN turn % 3 = 1 THEN text ELSE '<think>' || role || '</think>' || text END"
+CONTINUED = "CASE WHEN turn % 3 = 0 THEN role || ' </think> ' || text WHEN turn % 3 = 1 THEN chr(10) || text || ' ' ELSE '<think>' || role || '</think>' || text END"
 _END = "strpos(t, '</think>')"
 SQL["split_continuations"] = _of_turns(
     CONTINUED,
     f"CASE WHEN {_END} = 0 THEN '' WHEN {_OPEN} > 0 THEN {_bare(f'substr(t, 8, {_END} - 8)')} ELSE {_bare(f'substr(t, 1, {_END} - 1)')} END AS reasoning, "
-    f"CASE WHEN {_END} = 0 THEN t ELSE {_bare(f'substr(t, {_END} + 8)')} END AS content",
+    f"CASE WHEN {_END} = 0 THEN {_bare('t')} ELSE {_bare(f'substr(t, {_END} + 8)')} END AS content",
 )
 
 
@@ -62,10 +62,34 @@ def split_continuations(spark, sf_dir):
     return _turns(spark, sf_dir, CONTINUED).select("conv_id", "turn", s["reasoning"].alias("reasoning"), s["content"].alias("content"))
 
 
+CALLING = (
+    "CASE (conv_id + turn) % 8 WHEN 0 THEN text WHEN 1 THEN text || '<tool_call><function=' || role || '><parameter=n> ' || turn || '</parameter></function></tool_call>' "
+    "WHEN 2 THEN '<think>' || text || '</think><tool_call><function=' || role || '><parameter=n>' || role || '</parameter></function></tool_call>' "
+    "WHEN 3 THEN '<tool_call><function=' || role || '>' || text WHEN 4 THEN '<tool_call>' || text || '</tool_call>' "
+    "WHEN 5 THEN '<tool_call><function=' || role || '><parameter=' || role || '>1</parameter></function></tool_call>' "
+    "WHEN 6 THEN '<tool_call><function=' || role || '></function></tool_call>' ELSE '<tool_call><function= ></function></tool_call>' || text END"
+)
+_COUNT = "len(regexp_extract_all(t, '{}'))"
+_NAME, _KEY = r"regexp_extract(t, '(?s)<tool_call>.*?<function=([^\s>]+)>', 1)", r"regexp_extract(t, '<parameter=([^\s>]+)>', 1)"
+SQL["classify_turns"] = _of_turns(
+    CALLING,
+    rf"""CASE WHEN regexp_matches(t, '<function=\s*>') OR {_COUNT.format('<tool_call>')} > {_COUNT.format('</tool_call>')} OR {_COUNT.format('<function=')} > {_COUNT.format('</function>')}
+        OR ({_COUNT.format('<tool_call>')} > 0 AND {_COUNT.format('<function=')} = 0) THEN 'malformed_syntax' WHEN {_NAME} = '' THEN 'no_call' WHEN {_NAME} <> 'assistant' THEN 'unknown_tool'
+        WHEN {_KEY} <> 'n' OR NOT regexp_full_match(trim(regexp_extract(t, '<parameter=n>([^<]*)</parameter>', 1)), '[+-]?[0-9]+') THEN 'bad_arguments' ELSE 'ok' END AS outcome""",
+)
+
+
+@query
+def classify_turns(spark, sf_dir):
+    signature = F.array(F.struct(F.lit("n").alias("name"), F.lit("integer").alias("type"), F.lit(True).alias("required")))
+    outcome = toolcalls.classify_turn(F.col("t"), F.array(F.lit("assistant")), F.create_map(F.lit("assistant"), signature))
+    return _turns(spark, sf_dir, CALLING).select("conv_id", "turn", outcome.alias("outcome"))
+
+
 CALLED = (
     "CASE WHEN turn % 4 = 0 THEN text || '<tool_call><function=' || role || '><parameter=a>' || text || '</parameter></function></tool_call>' "
-    "WHEN turn % 4 = 1 THEN '<tool_call>{\"name\": \"' || role || '\", \"arguments\": {\"a\": 1}}</tool_call>' || text "
-    "WHEN turn % 4 = 2 THEN text || chr(10) || '[{\"name\": \"' || role || '\", \"arguments\": {}}, {\"name\": \"x\", \"arguments\": {}}]' ELSE text END"
+    "WHEN turn % 4 = 1 THEN '<tool_call>' || chr(10) || '{\"name\":' || chr(10) || '\"' || role || '\", \"arguments\": {\"a\": 1}}</tool_call>' || text "
+    "WHEN turn % 4 = 2 THEN text || chr(10) || '[{\"name\": \"' || role || '\", \"args\": {}}, {\"name\": \"x\"}]' ELSE text END"
 )
 _LINE = "regexp_extract(t, '([^\\n]*)$', 1)"
 SQL["call_cascade"] = _of_turns(

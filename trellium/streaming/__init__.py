@@ -1 +1,11 @@
-"""Structured Streaming twins of the telemetry operators."""
+"""Structured Streaming: counters, gauges, sessions, episode state and snapshots.
+
+What runs on the executors travels with the plan, by value, so they need no copy of this
+package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
