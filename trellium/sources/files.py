@@ -8,23 +8,46 @@ import json
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from trellium.sources import json_arrays
+
 
 def json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A file that holds one top-level array. Such a file is one task; convert it once to Parquet."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    """Files that hold one top-level array of objects each, by as many tasks as they have splits."""
+    return json_arrays.read(spark, path, schema)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1) and text of every line of text files, which are read in splits.
+
+    The lines of a split come in order in its task, so a line's number is its place there
+    and the number of lines in the splits before it in the file.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text")
+    )
+    splits = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return lines.join(starts, ["file", "_block"]).select("file", (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line"), "text")
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1) and text of each line that is no JSON, blank ones left out."""
+    return numbered_lines(spark, path).where(r"text rlike '\\S'").where(F.try_parse_json("text").isNull())
 
 
 def json_lines(spark: SparkSession, path: str, schema: StructType, strict: bool = True) -> DataFrame:
-    """One object per line, blank lines skipped; bad lines fail, or are kept in ``_corrupt`` with their file."""
+    """One object per line, blank lines skipped; a bad line is an error that names file and line, or is kept in ``_corrupt`` with ``_file`` and ``_line``."""
+    lines = numbered_lines(spark, path).where(r"text rlike '\\S'")
+    bad = F.try_parse_json("text").isNull()
     if strict:
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    wide = StructType([*schema.fields]).add("_corrupt", "string")
-    read = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return read.withColumn("_file", F.col("_metadata.file_path"))
+        message = F.concat(F.col("file"), F.lit(":"), F.col("line").cast("string"), F.lit(": not valid JSON"))
+        return lines.select(F.from_json(F.when(bad, F.raise_error(message)).otherwise(F.col("text")), schema).alias("v")).select("v.*")
+    return lines.select(F.from_json(F.when(~bad, F.col("text")), schema).alias("v"), F.when(bad, F.col("text")).alias("_corrupt"), F.col("file").alias("_file"), F.col("line").alias("_line")).select("v.*", "_corrupt", "_file", "_line")
 
 
 def json_any(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -170,12 +193,6 @@ def pinned(spark: SparkSession, paths: Sequence[str], digest: str) -> str:
     raise FileNotFoundError(f"none of {list(paths)} is there")
 
 
-def bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 1) and text of each line that is no JSON, blank ones left out. A file is read by one task."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "text"))
-    return text.where(r"text rlike '\\S'").where(F.try_parse_json("text").isNull()).select("file", (F.col("i") + 1).alias("line"), "text")
-
-
 def point_faults(found: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The points that are missing from a study, not expected in it, or there more than once."""
     counted = found.groupBy(*keys).agg(F.count("*").alias("n"))
