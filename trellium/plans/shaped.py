@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellium.functions import arrays, python_calls, text, toolcalls
-from trellium.operators import checks, trajectories
+from trellium.operators import checks, conditions, trajectories
 from trellium.plans.queries import query, read
 
 SQL: dict[str, str] = {}
@@ -196,6 +196,25 @@ def argument_coercion(spark, sf_dir):
     return _events(spark, sf_dir, GIVEN).select("event_id", made["value"].alias("value"), made["reason"].alias("reason"))
 
 
+#: The final state of an event: its own fields, what it has read, and its totals; the initial one: its fields alone.
+STATE = "'{\"k\": ' || coalesce(regexp_extract(props, '[0-9]+', 0), 'null') || ', \"kind\": \"' || event_type || '\", \"seen\": [{\"n\": ' || event_id % 7 || ', \"ok\": true}, {\"n\": ' || event_id % 3 || ', \"ok\": ' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || '}]}'"
+CONDITIONS = {
+    "large": "final_state['k'] > 50 and final_state['kind'] != 'error'", "all_seen": "all(x['n'] > 0 for x in final_state['seen'] if x['ok'])", "sum_seen": "sum(x['n'] for x in final_state['seen']) >= 4",
+    "same_k": "final_state['k'] == initial_state['k']", "known": "final_state['kind'] in ['click', 'view'] or final_state['k'] % 2 == 0", "typo": "final_stat['k'] > 0", "number": "final_state['k'] + 1", "missing": "final_state['gone'] == 1",
+}
+_K = "regexp_extract(props, '[0-9]+', 0)::INT"
+SQL["state_conditions"] = f"""
+WITH s AS (SELECT event_id, event_type, {_K} AS k, event_id % 7 AS a, event_id % 3 AS b, event_id % 2 = 0 AS ok FROM events)
+SELECT event_id, item, passed, error_type FROM s, LATERAL (VALUES ('large', k > 50 AND event_type <> 'error', NULL), ('all_seen', a > 0 AND (NOT ok OR b > 0), NULL), ('sum_seen', a + b >= 4, NULL),
+  ('same_k', true, NULL), ('known', event_type IN ('click', 'view') OR k % 2 = 0, NULL), ('typo', false, 'NameError'), ('number', false, 'NonBoolResult'), ('missing', false, 'LookupError')) v(item, passed, error_type)"""
+
+
+@query
+def state_conditions(spark, sf_dir):
+    states = _events(spark, sf_dir, STATE).select("event_id", F.col("t").alias("final_state"), F.col("props").alias("initial_state"))
+    return conditions.run(states, CONDITIONS).select("event_id", "item", "passed", "error_type")
+
+
 PYTHON = "CASE event_id % 4 WHEN 0 THEN event_type || '(' || event_id || ', k=''' || event_type || ''')' WHEN 1 THEN event_type || '.run()' WHEN 2 THEN event_type || '(*' || event_type || ')' ELSE event_type || ' ' || event_id END"
 SQL["python_call_text"] = _of_events(
     PYTHON,
