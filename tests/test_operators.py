@@ -5,18 +5,22 @@ import pytest
 from pyspark.sql import functions as F
 
 from trellium.functions import arrays, text, toolcalls
-from trellium.operators import batching, evaluation, sweep, telemetry, trajectories
+from trellium.operators import batching, evaluation, ordered, sweep, telemetry, trajectories
 
 
 def one(spark, **columns):
     return spark.range(1).select(*[c.alias(n) for n, c in columns.items()]).first()
 
 
-def test_skylines_agree(spark):
+@pytest.mark.parametrize("small", [1_000_000, 5])
+def test_skylines_agree(spark, monkeypatch, small):
+    monkeypatch.setattr(ordered, "SMALL", small)
     rows = [(i % 3, float(i * 7 % 11), float(i * 5 % 13)) for i in range(60)] + [(0, 10.0, 0.0), (0, 10.0, 0.0)]
     df = spark.createDataFrame(rows, "g int, gain double, cost double")
     a, b = sweep.pareto(df, "gain", "cost", ["g"]), sweep.pareto_by_antijoin(df, "gain", "cost", ["g"])
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert sweep.pareto(df.where("g < 0"), "gain", "cost", ["g"]).collect() == []
+    assert sorted(map(tuple, sweep.pareto(df, "gain", "cost").collect())) == sorted(map(tuple, sweep.pareto_by_antijoin(df, "gain", "cost").collect()))
 
 
 def test_point_reasons_in_order(spark):

@@ -77,3 +77,15 @@ def test_a_strict_reader_names_file_and_line(spark, tmp_path, small_splits):
     small_splits(6)
     with pytest.raises(Exception, match=r"x\.jsonl:4: not valid JSON"):
         files.json_lines(spark, str(tmp_path / "x.jsonl"), "i int").collect()
+
+
+@pytest.mark.parametrize("size", [300, 1 << 20])
+def test_lines_are_written_in_the_order_of_the_input(spark, tmp_path, small_splits, size):
+    for k in range(3):
+        rows = [(k, i, f"{k}-{i * 7 % 40}") for i in range(40)]
+        spark.createDataFrame(rows, "k int, i int, s string").coalesce(1).write.parquet(str(tmp_path / f"in/k={k}"))
+    small_splits(size)
+    read = files.parquet_in_order(spark, str(tmp_path / "in")).drop("k")
+    files.write_json_lines(read.repartition(7 if size == 300 else 1, "s"), str(tmp_path / "out"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert [(x["i"], x["s"]) for x in map(json.loads, text.splitlines())] == [(i, f"{k}-{i * 7 % 40}") for k in range(3) for i in range(40)]

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trellium.operators import ordered
+
 KEYS = ("precision", "tokens", "seqs", "concurrency")
 
 
@@ -43,20 +45,22 @@ def eligible(points_: DataFrame, ttft: float | None = None, tpot: float | None =
 
 
 def pareto(df: DataFrame, gain: str, cost: str, group: Sequence[str] = ()) -> DataFrame:
-    """The rows that no other row of the group dominates; equal rows all stay.
+    """The rows that no other row of the group dominates; equal rows all stay, rows without gain or cost do not.
 
-    One sort per group: a row stays if no row with more gain has as little cost, and no
-    row of its cost has more gain.
+    The least cost of each gain is combined before the shuffle; of these one stays if all
+    with more gain cost more, which is a running minimum along the gains, in ranges where a
+    group is large. What stays is the frontier, and the rows on it are those that meet it.
     """
-    return _skyline(df, gain, cost, [F.col(g) for g in group])
-
-
-def _skyline(df: DataFrame, gain: str, cost: str, by: list[Column]) -> DataFrame:
-    ranked = df.withColumn("_rank", F.dense_rank().over(Window.partitionBy(*by).orderBy(F.desc(gain))))
-    lower = Window.partitionBy(*by).orderBy("_rank").rangeBetween(Window.unboundedPreceding, -1)
-    same = Window.partitionBy(*by, "_rank")
-    marked = ranked.withColumn("_ahead", F.min(cost).over(lower)).withColumn("_least", F.min(cost).over(same))
-    return marked.where((F.col(cost) == F.col("_least")) & (F.col("_ahead").isNull() | (F.col(cost) < F.col("_ahead")))).drop("_rank", "_ahead", "_least")
+    least = df.where(F.col(gain).isNotNull() & F.col(cost).isNotNull()).groupBy(*group, gain).agg(F.min(cost).alias("_least"))
+    turned = least.withColumns({"_down": -F.col(gain), "_cheap": -F.col("_least")})
+    ahead = ordered.largest_before(turned, ["_down"], "_cheap", "_ahead", group)
+    front = ahead.where("_ahead is null or _cheap > _ahead")
+    keys = [*group, gain]
+    met = front.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(keys)], "_least")
+    same = F.col(cost) == F.col("_least")
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_on{i}"))
+    return df.join(met, same, "left_semi")
 
 
 def pareto_by_antijoin(df: DataFrame, gain: str, cost: str, group: Sequence[str] = ()) -> DataFrame:

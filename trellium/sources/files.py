@@ -120,8 +120,15 @@ def write_records(df: DataFrame, path: str, partitions: list[str] | None = None,
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
 
 
-def write_json_lines(df: DataFrame, path: str, order: list[str]) -> None:
-    df.orderBy(*order).write.mode("overwrite").json(path)
+def parquet_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet rows with ``_at``, their place in the input: the file and the row's number in it."""
+    read = spark.read.parquet(path)
+    return read.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_at"))
+
+
+def write_json_lines(df: DataFrame, path: str, order: Sequence[str] = ("_at",)) -> None:
+    """JSON lines in an order, by default that of the input (``parquet_in_order``): the files one after the other hold the rows in it, however many tasks write."""
+    df.orderBy(*order).drop("_at").write.mode("overwrite").json(path)
 
 
 def canonical_hash(value: object) -> str:
