@@ -330,6 +330,25 @@ def test_embeddings_against_brute_force(spark, shard_rows):
     assert embedding_dedup.dedup(df.where("false")).isEmpty()
 
 
+def test_cosines_of_vectors_of_any_size(spark):
+    rows = [(i, [x, 0.0], 1) for i, x in enumerate((1e-200, 2e-200, 1e200, 2e200))] + [(4, [0.0, 5e-324], 1), (5, [1e-300, 1e308], 1), (6, [-1e200, 0.0], 1)]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: 3, 1: 3, 2: 3, 3: 3, 4: 1, 5: 1, 6: 0}
+
+
+def test_long_embeddings_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(500, 768))
+    x = np.concatenate([base, *[base[:200] + s * rng.normal(size=(200, 768)) for s in (0.05, 0.1, 0.19, 0.22)]])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    n = np.sqrt((x * x).sum(1))
+    link = x @ x.T / np.outer(n, n) >= 0.98
+    np.fill_diagonal(link, False)
+    for shard_rows in (300, 1 << 14):
+        got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.dedup(df, shard_rows=shard_rows).collect()}
+        assert sum(got.values()) >= 0.97 * link.sum() and all(got[i] <= link[i].sum() for i in got)
+
+
 def test_repeated_vectors(spark):
     rows = [(1, [1.0, 2.0], 0), (1, [1.0, 2.0], 0), (1, [-2.0, 1.0], 0), (None, [1.0, 2.0], 0), (5, [2.0, 4.0], 0), (7, [1.0, 2.0], None), (None, [5.0, 5.1], 1), (None, [5.1, 5.0], 1)]
     got = embedding_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()

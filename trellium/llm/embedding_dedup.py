@@ -11,7 +11,8 @@ beam as large as the shard gives way to comparing with all of it. Every vector i
 shard of its label, with the beam of that shard's audit or more if the audit of the pair
 of shards asks for it: greedy descent, a beam on the ground level, and from what lies
 above the threshold a walk over all linked vectors above it. What is found is verified by
-cosine in double precision. Links become degrees and components.
+cosine in double precision, of vectors that a power of two has brought near 1, so that
+no size of theirs over- or underflows. Links become degrees and components.
 
 Scale. Equal vectors of a label are one point with a count, so copies are never expanded.
 A shard holds at most ``SHARD_ROWS`` vectors and ``SHARD_FLOATS`` numbers, whatever the
@@ -44,7 +45,8 @@ from trellium.llm.scratch import store
 
 THRESHOLD = 0.98
 SHARD_ROWS = 16384
-SHARD_FLOATS = 1 << 20
+#: Numbers of a shard: 32 MB in double precision.
+SHARD_FLOATS = 1 << 22
 SIDE = 4
 NEIGHBOURS = 12
 GROUND = 24
@@ -334,10 +336,15 @@ def _links(a: Shard, b: Shard, threshold: float) -> pd.DataFrame:
     return pd.concat([linked, tied], ignore_index=True).astype("int64")
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector by a power of two, so that its largest component lies between 1/2 and 1: its directions stay, and no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def _index(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["c", "e"])
-        x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+        x = scaled(np.stack(rows["embedding"].to_numpy()).astype(np.float64))
         shard = Shard(*(rows[k].to_numpy(np.int64) for k in "cem"), x)
         shard.ef = _beam(shard, shard, BEAM, threshold)
         first = rows.iloc[0]
@@ -370,7 +377,7 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SH
     keyed = held.select("vec_id", F.when(ok, c).alias("c"), F.when(ok, e).alias("e"), "label", F.size("x").alias("d"), "x")
     classes = store(
         keyed.where("c is not null").groupBy("c", "e").agg(
-            F.first("d").alias("d"), F.xxhash64(F.first("label"), F.first("d")).alias("g"), F.first("x").alias("embedding"),
+            F.first("d").alias("d"), F.md5(F.concat_ws(":", F.first("d"), F.first("label").cast("string")).cast("binary")).alias("g"), F.first("x").alias("embedding"),
             F.count("*").alias("m"), F.min("vec_id").alias("least"),
         ), "points"
     )
@@ -378,7 +385,7 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SH
     counts = classes.df.groupBy("g").agg(F.max("d").alias("d"), F.count("*").alias("n")).select("g", F.ceil(F.col("n") / fits).cast("int").alias("shards"))
     dealt = classes.df.join(counts, "g").withColumn("shard", F.pmod(F.xxhash64("c", F.lit(1)), F.col("shards")).cast("int"))
     indexes = store(
-        dealt.select("g", "shard", "shards", "c", "e", "m", "embedding").groupBy("g", "shard").applyInPandas(_index(threshold), "g long, shard int, shards int, blob binary"),
+        dealt.select("g", "shard", "shards", "c", "e", "m", "embedding").groupBy("g", "shard").applyInPandas(_index(threshold), "g string, shard int, shards int, blob binary"),
         "graphs",
     )
     block = F.expr(f"shard div {SIDE}").cast("int")

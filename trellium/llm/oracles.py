@@ -82,7 +82,9 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 
 _OP6 = """
 WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
-ok AS (SELECT *, sqrt(list_dot_product(x, x)) AS n FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND list_dot_product(x, x) > 0),
+w AS (SELECT vec_id, label, list_transform(x, lambda c: c / pow(2::DOUBLE, floor(log2(list_max(list_transform(x, lambda y: abs(y))))))) AS x FROM v
+  WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda c: c <> 0)) > 0 AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+ok AS (SELECT *, sqrt(list_dot_product(x, x)) AS n FROM w),
 e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.98),
 r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), d AS (SELECT a, count(*) AS n FROM e GROUP BY a)
@@ -113,7 +115,8 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
   coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 
-def _op10(rule: jaccard_join.Rule) -> str:
+def _op10(rule: jaccard_join.Rule, links: bool = False) -> str:
+    counted = ", (SELECT count(*) FROM u WHERE u.a = d.doc_id) AS n_links" if links else ""
     return rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {rule.n - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {rule.n - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
@@ -122,7 +125,7 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.
 e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {rule.den} * k >= {rule.num} * (x.n + y.n - k)),
 u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)"""
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id{counted} FROM d LEFT JOIN n USING (doc_id)"""
 
 
 # the checksum of a word is the xor of a table entry for each byte and its distance from the end; the first four bytes are inverted, and so is the result
@@ -155,5 +158,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": _OP7,
         "op8_decontamination": _OP8,
         "op10_jaccard_join": _op10(jaccard_join.Rule(4, 85, 100)),
+        "op10_jaccard_links": _op10(jaccard_join.Rule(4, 85, 100), links=True),
         "op12_spelling": _OP12,
     }
