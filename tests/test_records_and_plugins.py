@@ -188,12 +188,38 @@ def test_release_rows_in_full(spark):
     df = spark.createDataFrame(rows, "task_info struct<task_id:string>, messages string, tools string, user_messages string").withColumns({"traj_type": F.lit("c"), "steps": F.lit(2)})
     got = trajectories.parse_release(df).collect()
     assert [r["malformed_reason"] for r in got] == [None, "tools: not a list", "user_messages: not JSON"]
-    assert got[0]["tool_list"] == ['{"name":"f"}'] and got[0]["said"] == ["u", '{"a":1}', "5"]
+    assert got[0]["tool_list"] == ['{"name":"f"}'] and got[0]["said"] == ["u", '{"a": 1}', "5"]
     assert [(c["name"], json.loads(c["arguments"])) for c in got[0]["decoded"][0]["tool_calls"]] == [("f", {"a": 1}), ("g", {"__raw__": "oops"}), ("h", {"__value__": [1]})]
     shown = json.loads(trajectories.parse_release(df).select(trajectories.message_json(F.col("decoded")[0]).alias("j")).first()["j"])
     assert shown == {"role": "assistant", "content": "", "tool_calls": [{"type": "function", "function": {"name": n, "arguments": a}} for n, a in (("f", {"a": 1}), ("g", {"__raw__": "oops"}), ("h", {"__value__": [1]}))]}
 
 
+def test_messages_are_decoded_by_type(spark):
+    said = [{"role": "user", "content": {"a": [1, "x,:y\\\""], "b": None}, "reasoning_content": {"z": 1}}, {"role": "tool", "content": None, "name": "n"}]
+    rows = [json.dumps(said), '[{"role": 5, "content": "x"}]', '[3]', '[{"content": "x"}]', "{}"]
+    df = spark.createDataFrame([({"task_id": "t"}, m, None, 1) for m in rows], "task_info struct<task_id:string>, messages string, tools string, steps int").withColumn("traj_type", F.lit("c"))
+    got = trajectories.parse_release(df).collect()
+    assert [r["malformed_reason"] for r in got] == [None, "messages.role: empty", "messages: not an object", "messages.role: empty", "messages: not a list"]
+    first, second = got[0]["decoded"]
+    assert first["content"] == json.dumps(said[0]["content"], ensure_ascii=False) and second["content"] is None and second["name"] == "n"
+
+
+def test_records_have_all_their_columns(spark):
+    rows = [("a", 0, "user", "one two"), ("a", 1, "assistant", "three"), ("a", 2, "user", "four"), ("b", 0, "user", "x"), ("c", 0, "assistant", "y")]
+    about = spark.createDataFrame([(u, u, "e") for u in "abc"], "trajectory_uid string, task_id string, env_id string")
+    made = trajectories.sft_records(spark.createDataFrame(rows, "trajectory_uid string, turn int, role string, text string"), about, trajectories.hashed_words(), 2, "full", "m", "f")
+    assert tuple(made.columns) == trajectories.RECORD
+    (r,) = made.collect()
+    assert (r["trajectory_uid"], r["seq_length"], r["supervised_tokens"], r["trailing_messages_removed"]) == ("a", 3, 1, 1) and r["labels"][:2] == [-100, -100] and r["labels"][2] == r["input_ids"][2]
+
+
+def test_spans_must_mark_what_the_mask_marks(spark):
+    row = {"prompt_ids": [0], "completion_ids": [1, 2], "logprobs": [-0.1, math.nan], "env_mask": [1, 0], "reward": 1.0, "scenario_id": "s", "mask_spans": [(0, 1, False), (1, 2, True), (2, 3, False)], "boundary": 1, "trajectory": "t"}
+    kind = "prompt_ids array<int>, completion_ids array<int>, logprobs array<double>, env_mask array<int>, reward double, scenario_id string, mask_spans array<struct<start:int,end:int,supervised:boolean>>, boundary int, trajectory string"
+    assert records.assemble(spark.createDataFrame([row], kind)).first()["trajectory"] == "t"
+    fails(records.assemble(spark.createDataFrame([row | {"mask_spans": [(0, 1, False), (1, 3, True)]}], kind)), "spans and mask disagree")
+
+
 def test_prefixes_that_drift(spark):
     kind = "array<struct<start:int,end:int,supervised:boolean>>"
     rows = [([1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 5, 6, 7]), ([1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 9]), ([1, 2, 3, 4, 5, 6], [8])]

@@ -68,3 +68,9 @@ def json_field(text: Column, path: str, kind: str) -> Column:
     }[kind]
     ok = F.coalesce(fits, F.lit(False))
     return F.struct(F.when(ok, value).alias("value"), F.when(~ok, F.lit(f"{path}: no {kind}")).alias("fault"))
+
+
+def python_json(compact: Column) -> Column:
+    """JSON text without spaces as Python's ``json.dumps`` lays it out: one after each comma and colon outside strings."""
+    parts = F.regexp_extract_all(compact, F.lit(r'"(?:[^"\\]|\\.)*"|[^"]'), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.isin(",", ":"), F.concat(x, F.lit(" "))).otherwise(x)), "")

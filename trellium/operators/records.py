@@ -109,11 +109,37 @@ def episode_rows(turns: DataFrame, key: str = "episode_id") -> DataFrame:
     )
 
 
+#: The fields of an episode's row, in its order.
+EPISODE = (
+    "episode_id", "scenario_id", "group_index", "messages", "observations", "step_count", "generation_count", "invalid_call_count", "terminal_reason", "replaced_episode_id", "reward",
+    "per_check_bools", "drift", "stage_timings",
+)
+
+
+def trajectory_rows(turns: DataFrame, episodes: DataFrame) -> DataFrame:
+    """EPISODE, a row an episode: its messages with reasoning and calls, and what ``episodes`` knows of it.
+
+    ``turns``: episode_id, turn, role, content, reasoning_content, tool_calls (JSON of the
+    calls, or null) and invalid (whether its call was). ``episodes`` has the other fields by
+    episode_id; checks that were not made are an empty list.
+    """
+    said = F.struct("turn", "role", "content", "reasoning_content", "tool_calls")
+    each = turns.groupBy("episode_id").agg(
+        F.array_sort(F.collect_list(said)).alias("m"), F.count_if(F.col("role") == "assistant").alias("generation_count"), F.count_if(F.col("role") == "tool").alias("step_count"),
+        F.count_if(F.coalesce("invalid", F.lit(False))).alias("invalid_call_count"),
+    )
+    shown = F.transform("m", lambda x: F.struct(*[x[c].alias(c) for c in ("role", "content", "reasoning_content", "tool_calls")]))
+    observed = F.transform(F.filter("m", lambda x: x["role"] == "tool"), lambda x: x["content"])
+    made = each.withColumns({"messages": shown, "observations": observed}).drop("m")
+    return episodes.join(made, "episode_id").withColumn("per_check_bools", F.coalesce("per_check_bools", F.array().cast("array<boolean>"))).select(*EPISODE)
+
+
 def assemble(episodes: DataFrame) -> DataFrame:
     """The columns of a rollout batch, after its contracts hold: equal lengths, no log probability where the mask is 0, a reward.
 
     ``episodes`` has prompt_ids, completion_ids, logprobs, env_mask, reward and what is
-    passed through: per_check_bools, terminal_reason, scenario_id, group_index.
+    passed through: per_check_bools, terminal_reason, scenario_id, group_index, trajectory.
+    With mask_spans and boundary, the spans must mark as many tokens as the mask.
     """
     n = F.size("completion_ids")
     masked = F.exists(F.arrays_zip(F.col("env_mask").alias("m"), F.col("logprobs").alias("p")), lambda x: (x["m"] == 0) & ~F.isnan(x["p"]))
@@ -122,8 +148,10 @@ def assemble(episodes: DataFrame) -> DataFrame:
         .when(masked, "a masked position has a log probability")
         .when(F.col("reward").isNull(), "no reward")
     )
+    if "mask_spans" in episodes.columns:
+        fault = F.coalesce(fault, F.when(~span_sum_matches(F.col("mask_spans"), F.col("boundary"), F.col("env_mask")), "spans and mask disagree"))
     good = episodes.where(F.when(fault.isNull(), True).otherwise(F.raise_error(F.concat_ws(": ", F.col("scenario_id").cast("string"), fault)).cast("boolean")))
-    through = [c for c in ("per_check_bools", "terminal_reason", "scenario_id", "group_index") if c in episodes.columns]
+    through = [c for c in ("per_check_bools", "terminal_reason", "scenario_id", "group_index", "trajectory") if c in episodes.columns]
     return good.select("prompt_ids", "completion_ids", "logprobs", "env_mask", F.col("reward").cast("double").alias("rollout_reward"), *through)
 
 

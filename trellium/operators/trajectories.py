@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellium.functions.text import is_user_turn, malformed_key
+from trellium.functions.text import is_user_turn, malformed_key, python_json
 from trellium.functions.toolcalls import strip
 
 CALL = "struct<function:struct<name:string,arguments:string>,name:string,arguments:string>"
@@ -20,7 +20,8 @@ def parse_release(rows: DataFrame) -> DataFrame:
     ``malformed_reason`` is null for good rows; no row is dropped. Tools that are no objects
     are left out, and user messages that are no strings become their JSON.
     """
-    messages = F.from_json("messages", f"array<{MESSAGE}>")
+    listed_messages = F.try_variant_get(F.try_parse_json("messages"), "$", "array<variant>")
+    messages = F.transform(listed_messages, message_of)
     said = F.col("user_messages") if "user_messages" in rows.columns else F.lit(None).cast("string")
 
     def listed(column: Column) -> Column:
@@ -37,12 +38,13 @@ def parse_release(rows: DataFrame) -> DataFrame:
         .when(F.try_parse_json("messages").isNull(), "messages: not JSON")
         .when(messages.isNull() | ~listed(F.col("messages")), "messages: not a list")
         .when(F.size(messages) == 0, "messages: empty")
+        .when(F.exists(listed_messages, lambda m: ~F.coalesce(F.schema_of_variant(m).startswith("OBJECT"), F.lit(False))), "messages: not an object")
         .when(F.exists(messages, lambda m: F.coalesce(m["role"], F.lit("")) == ""), "messages.role: empty")
     )
     faults = F.coalesce(reason, fault(F.col("tools"), "tools"), fault(said, "user_messages"))
     variants = lambda c: F.try_variant_get(F.try_parse_json(c), "$", "array<variant>")
     objects = F.filter(variants(F.col("tools")), lambda t: F.schema_of_variant(t).startswith("OBJECT"))
-    spoken = F.transform(variants(said), lambda u: F.when(F.schema_of_variant(u) == "STRING", F.try_variant_get(u, "$", "string")).otherwise(F.to_json(u)))
+    spoken = F.transform(variants(said), lambda u: F.when(F.schema_of_variant(u) == "STRING", F.try_variant_get(u, "$", "string")).otherwise(python_json(F.to_json(u))))
     return rows.withColumns({
         "malformed_reason": faults,
         "uid": F.concat_ws(":", "task_info.task_id", "traj_type"),
@@ -53,6 +55,21 @@ def parse_release(rows: DataFrame) -> DataFrame:
     })
 
 
+def message_of(m: Column) -> Column:
+    """A message that a variant holds, as ``MESSAGE``: a role that is no text is none, content that is no text becomes its JSON."""
+
+    def field(name: str, other=None) -> Column:
+        found = F.try_variant_get(m, f"$.{name}", "variant")
+        kind = F.schema_of_variant(found)
+        text = F.when(kind == "STRING", F.try_variant_get(found, "$", "string"))
+        return text if other is None else text.when(kind != "VOID", other(F.to_json(found)))
+
+    calls = F.try_variant_get(m, "$.tool_calls", f"array<{CALL}>")
+    return F.struct(
+        field("role").alias("role"), field("content", python_json).alias("content"), field("reasoning_content", lambda x: x).alias("reasoning_content"), field("name").alias("name"), calls.alias("tool_calls")
+    )
+
+
 def call_arguments(text: Column) -> Column:
     """The arguments of a call as a JSON object: text that is no JSON under ``__raw__``, a value that is no object under ``__value__``."""
     parsed = F.try_parse_json(text)
@@ -155,6 +172,8 @@ def trim_after_last_assistant(turns: DataFrame, key: str = "conv_id", order: str
     if strict:
         message = F.concat(F.col(key).cast("string"), F.lit(": "), fault)
         marked = marked.where(F.when(fault.isNull(), True).otherwise(F.raise_error(message).cast("boolean")))
+    else:
+        marked = marked.where(fault.isNull())
     cut = F.count_if(F.col(order) > F.col("_last")).over(by)
     return marked.withColumn("removed", cut).where(F.col(order) <= F.col("_last")).drop("_last", "_asked")
 
@@ -191,6 +210,29 @@ def training_record(rows: DataFrame, version: int, semantics: str, fingerprint:
     }).drop("mask")
 
 
+#: The columns of a persisted training record, in its order.
+RECORD = (
+    "schema_version", "semantics", "trajectory_uid", "task_id", "env_id", "mode", "input_ids", "labels", "seq_length", "supervised_tokens", "template_fingerprint", "trailing_messages_removed",
+)
+
+
+def sft_records(turns: DataFrame, about: DataFrame, tokenizer: Callable[[Column], Column], version: int, semantics: str, mode: str, fingerprint: str, key: str = "trajectory_uid", order: str = "turn") -> DataFrame:
+    """RECORD, a row per trajectory that can be trained on, from its turns (key, order, role, text).
+
+    What follows the last assistant turn is removed and counted. Each turn's tokens are
+    supervised if the assistant said it. ``about`` has task_id and env_id by key.
+    """
+    trimmed = trim_after_last_assistant(turns, key, order)
+    each = tokenized(trimmed, tokenizer, "text", "_ids").select(key, "removed", F.struct(order, F.col("_ids").alias("ids"), (F.col("role") == "assistant").alias("own")).alias("_t"))
+    whole = each.groupBy(key).agg(F.max("removed").cast("int").alias("trailing_messages_removed"), F.array_sort(F.collect_list("_t")).alias("_turns"))
+    laid = whole.select(
+        key, "trailing_messages_removed", F.flatten(F.transform("_turns", lambda t: t["ids"])).alias("input_ids"),
+        F.flatten(F.transform("_turns", lambda t: F.transform(t["ids"], lambda _: t["own"].cast("int")))).alias("mask"),
+    )
+    made = training_record(laid, version, semantics, fingerprint).join(about, key).withColumn("mode", F.lit(mode))
+    return made.where("supervised_tokens > 0").withColumnRenamed(key, "trajectory_uid").select(*RECORD)
+
+
 def tokenized(rows: DataFrame, tokenizer: Callable[[Column], Column], text: str = "text", out: str = "input_ids") -> DataFrame:
     """``rows`` with the ids that a plugged-in tokenizer, a column function or an Arrow UDF, makes of the text."""
     return rows.withColumn(out, tokenizer(F.col(text)))

@@ -378,3 +378,53 @@ def episode_slots(spark, sf_dir):
 
     events = slots.feed(first.unionByName(second), crashes).unionByName(moved("generate", 1)).unionByName(moved("call", 2))
     return slots.episode_slots(events, 1e9).drop("invalid_call_count", "stage_timings")
+
+
+_SPOKEN = """u AS (SELECT conv_id, turn, role, text, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), lambda w: length(w)::INT) AS ids FROM conversations),
+    k AS (SELECT conv_id, max(turn) FILTER (role = 'assistant') AS last, min(turn) FILTER (role = 'user') AS asked FROM u GROUP BY conv_id)"""
+SQL["sft_records"] = f"""WITH {_SPOKEN},
+    r AS (SELECT conv_id, flatten(list(ids ORDER BY turn)) AS ids, flatten(list(CASE WHEN role = 'assistant' THEN ids ELSE list_transform(ids, lambda x: -100) END ORDER BY turn)) AS labels,
+      (SELECT count(*) FROM u x JOIN k y USING (conv_id) WHERE x.conv_id = u.conv_id AND x.turn > y.last) AS cut FROM u JOIN k USING (conv_id) WHERE last > asked AND turn <= last GROUP BY conv_id)
+    SELECT 2 AS schema_version, 'reasoning' AS semantics, 'c' || conv_id AS trajectory_uid, conv_id::VARCHAR AS task_id, 'env' || conv_id % 7 AS env_id, 'full' AS mode, array_to_string(ids, ',') AS input_ids,
+      array_to_string(labels, ',') AS labels, len(ids)::INT AS seq_length, len(list_filter(labels, lambda x: x <> -100))::INT AS supervised_tokens, 't1' AS template_fingerprint, cut::INT AS trailing_messages_removed
+    FROM r WHERE len(list_filter(labels, lambda x: x <> -100)) > 0"""
+
+
+@query
+def sft_records(spark, sf_dir):
+    """Conversations as training records; the length of a word stands for its token."""
+    uid = F.concat(F.lit("c"), "conv_id").alias("trajectory_uid")
+    turns = read(spark, sf_dir, "conversations").select(uid, "conv_id", "turn", "role", "text")
+    about = turns.select("trajectory_uid", F.col("conv_id").cast("string").alias("task_id"), F.concat(F.lit("env"), F.expr("conv_id % 7")).alias("env_id")).distinct()
+    lengths = lambda text: F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), F.length)
+    made = trajectories.sft_records(turns.drop("conv_id"), about, lengths, 2, "reasoning", "full", "t1")
+    return made.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("input_ids", "labels")})
+
+
+SQL["trajectory_rows"] = """WITH s AS (SELECT conv_id, turn, CASE WHEN role = 'user' AND turn > 0 THEN 'tool' ELSE role END AS role, text FROM conversations)
+    SELECT conv_id::VARCHAR AS episode_id, 's' || conv_id % 5 AS scenario_id, (conv_id % 3)::INT AS group_index, sha256(string_agg(role || ':' || text || ':' || CASE WHEN role = 'assistant' THEN upper(role) ELSE '' END, chr(10) ORDER BY turn)) AS messages,
+      sha256(coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'tool'), '')) AS observations, count(*) FILTER (role = 'tool') AS step_count, count(*) FILTER (role = 'assistant') AS generation_count,
+      count(*) FILTER (role = 'assistant' AND length(text) % 2 = 0) AS invalid_call_count, CASE WHEN conv_id % 4 = 0 THEN 'timeout' ELSE 'final_answer' END AS terminal_reason, NULL::VARCHAR AS replaced_episode_id,
+      (conv_id % 4)::DOUBLE / 4 AS reward, 0 AS checks, 2 AS stages FROM s GROUP BY conv_id"""
+
+
+@query
+def trajectory_rows(spark, sf_dir):
+    said = read(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("episode_id"), "conv_id", "turn", F.when((F.col("role") == "user") & (F.col("turn") > 0), "tool").otherwise(F.col("role")).alias("role"), F.col("text").alias("content")
+    )
+    own = F.col("role") == "assistant"
+    turns = said.withColumns({"reasoning_content": F.when(own, F.upper("role")), "tool_calls": F.lit(None).cast("string"), "invalid": own & (F.length("content") % 2 == 0)}).drop("conv_id")
+    none = F.lit(None)
+    episodes = said.select("episode_id", "conv_id").distinct().select(
+        "episode_id", F.concat(F.lit("s"), F.expr("conv_id % 5")).alias("scenario_id"), F.expr("cast(conv_id % 3 as int)").alias("group_index"), F.when(F.col("conv_id") % 4 == 0, "timeout").otherwise("final_answer").alias("terminal_reason"),
+        none.cast("string").alias("replaced_episode_id"), (F.col("conv_id") % 4 / 4.0).cast("double").alias("reward"), none.cast("array<boolean>").alias("per_check_bools"), F.struct(F.lit(0).alias("clean")).alias("drift"),
+        F.expr("map('ready', array(1D), 'tool', array(2D))").alias("stage_timings"),
+    )
+    rows = records.trajectory_rows(turns, episodes)
+    lines = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"], F.lit(":"), F.coalesce(m["reasoning_content"], F.lit("")))), "\n")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return rows.select(
+        "episode_id", "scenario_id", "group_index", digest(lines).alias("messages"), digest(F.array_join("observations", "\n")).alias("observations"), "step_count", "generation_count", "invalid_call_count",
+        "terminal_reason", "replaced_episode_id", "reward", F.size("per_check_bools").alias("checks"), F.size("stage_timings").alias("stages"),
+    )
