@@ -66,7 +66,7 @@ def _all() -> dict[str, str]:
             a AS (SELECT l_orderkey, l_returnflag, count(*) AS have FROM lineitem WHERE l_linenumber >= 2 GROUP BY ALL)
             SELECT l_orderkey, bool_and(coalesce(have, 0) >= want) AS contained FROM e LEFT JOIN a USING (l_orderkey, l_returnflag) GROUP BY l_orderkey""",
         "running_mean": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 9) AS running_mean FROM events",
-        "expected_set": """WITH f AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_nationkey > 3), x AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 20)
+        "expected_set": """WITH f AS (SELECT DISTINCT s_nationkey AS k FROM supplier), x AS (SELECT DISTINCT n_regionkey AS k FROM nation)
             SELECT k, 'missing' AS problem FROM (SELECT k FROM x EXCEPT ALL SELECT k FROM f) UNION ALL SELECT k, 'unexpected' FROM (SELECT k FROM f EXCEPT ALL SELECT k FROM x)""",
         "comparison_table": f"""WITH {_TASKS} SELECT category, round(avg(score) FILTER (doc_id % 2 = 0), 6) AS even, round(avg(score) FILTER (doc_id % 2 = 1), 6) AS odd
             FROM tasks GROUP BY category""",
@@ -155,8 +155,8 @@ def _all() -> dict[str, str]:
         "dimension_lookup": "SELECT o_orderkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey",
         "token_budgets": "SELECT doc_id, greatest(1, least(512, 4096 - n_chars - 8)) AS budget FROM documents",
         "eval_boundaries": "SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' OR (o_orderkey > 0 AND o_orderkey % 50 = 0)",
-        "mute_groups": """SELECT l_suppkey, count(*) AS episodes, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS reasons FROM lineitem
-            GROUP BY l_suppkey HAVING max(CASE WHEN l_quantity > 49 THEN l_linenumber ELSE 0 END) = 0""",
+        "mute_groups": """SELECT l_orderkey, count(*) AS episodes, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS reasons FROM lineitem
+            GROUP BY l_orderkey HAVING max(CASE WHEN l_quantity > 20 THEN l_linenumber ELSE 0 END) = 0""",
         "cap_messages": "SELECT 'p' || p_partkey AS field, 'p' || p_partkey || '=' || p_size || ' exceeds cap 40' AS message FROM part WHERE p_size > 40",
         "turn_replay": """WITH r AS (SELECT event_id, user_id, ts, event_type <> 'purchase' AS has_call FROM events),
             t AS (SELECT *, coalesce(sum(CASE WHEN has_call THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS task_turn FROM r),
@@ -167,7 +167,10 @@ def _all() -> dict[str, str]:
             a AS (SELECT user_id, event_id, i, 0::BIGINT AS starts, n AS ends, list_sort([0, 0, n]) AS free FROM d WHERE i = 1 UNION ALL
               SELECT d.user_id, d.event_id, d.i, a.free[1], a.free[1] + d.n, list_sort(list_append(a.free[2:], a.free[1] + d.n)) FROM a JOIN d ON d.user_id = a.user_id AND d.i = a.i + 1)
             SELECT event_id, starts, ends FROM a""",
-        "call_outcomes": "SELECT ['worker_crash', 'timeout', 'error', 'ok'][event_id % 4 + 1] AS outcome, count(*) AS n FROM events GROUP BY 1",
+        "call_outcomes": """WITH r AS (SELECT l_orderkey, min((l_shipdate, l_linenumber, l_returnflag)) AS f FROM lineitem GROUP BY l_orderkey),
+            x AS (SELECT o_orderkey AS call_id, o_orderdate::DATE AS d, f[1]::DATE AS back, f[3] AS flag, DATE '1992-01-01' + floor((c_acctbal + 1000) / 5)::INT AS died FROM orders LEFT JOIN r ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey),
+            y AS (SELECT *, died >= d AND (back IS NULL OR died <= back) AS lost FROM x)
+            SELECT call_id, CASE WHEN lost THEN CASE WHEN died <= d + 40 THEN 'worker_crash' ELSE 'timeout' END WHEN back IS NULL OR back > d + 40 OR back < d THEN 'timeout' WHEN flag = 'R' THEN 'error' ELSE 'ok' END AS outcome FROM y""",
         "system_prompts": """SELECT r_name, 'Act.' || chr(10) || '# Environment Information' || chr(10) || chr(10) || '## Brief Introduction:  ' || chr(10) || r_name || chr(10) || chr(10)
             || '## Environment Rules / Constraints:  ' || chr(10) || string_agg('- ' || n_name || chr(10), '' ORDER BY n_name) AS prompt FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name""",
         "results_covered": """WITH e AS (SELECT l_orderkey, l_linenumber, l_returnflag, count(*) AS want FROM lineitem WHERE l_quantity > 10 GROUP BY ALL)
@@ -175,9 +178,9 @@ def _all() -> dict[str, str]:
             FROM e GROUP BY ALL""",
         "eval_records": """SELECT doc_id AS task_id, lang, round(e.w, 4) AS wall_s, CASE WHEN e.w IS NULL THEN 'never_run' ELSE 'final_answer' END AS terminal_reason, coalesce(quality, 0)::DOUBLE AS score
             FROM documents LEFT JOIN (SELECT vec_id, vec_id / 7.0::DOUBLE AS w FROM embeddings) e ON doc_id = vec_id LEFT JOIN labels USING (doc_id)""",
-        "study_points": "SELECT p AS precision, s AS seqs, t AS tokens FROM (VALUES ('bf16'), ('fp8')) a(p), (VALUES (32, 4096), (64, 8192), (128, 16384)) b(s, t)",
-        "ladder_lookup": f"WITH {_POINTS} SELECT config, throughput, latency FROM points WHERE precision = 'O' AND flag = 'N' AND config <= 6",
-        "strict_rows": "SELECT event_id FROM events WHERE event_id % 9 <> 0",
+        "study_points": "SELECT s_suppkey, p AS precision, s AS seqs, t AS tokens FROM supplier, (VALUES ('bf16'), ('fp8')) a(p), (VALUES (32, 4096), (64, 8192), (128, 16384)) b(s, t)",
+        "ladder_lookup": f"WITH {_POINTS} SELECT l_orderkey AS run, config, throughput, latency FROM lineitem JOIN points ON precision = l_linestatus AND flag = l_returnflag AND config = l_linenumber",
+        "strict_rows": "SELECT event_id FROM events WHERE regexp_matches(props, '[0-9]*[13579]\\b') AND event_type NOT LIKE '%c%'",
         "scenario_checks": "SELECT l_orderkey::VARCHAR AS task_id, count(*)::INT AS checks FROM lineitem GROUP BY l_orderkey",
         "logp_stops": "SELECT event_id FROM events WHERE event_id % 10 <> 0 AND value > 20",
         "running_totals": "SELECT doc_id, (sum(n_chars) OVER (ORDER BY doc_id))::BIGINT AS ends, (sum(n_chars) OVER (ORDER BY doc_id) - n_chars)::BIGINT AS starts FROM documents",

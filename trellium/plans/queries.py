@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trellium.functions import arrays, python_calls, text, toolcalls
 from trellium.operators import batching, evaluation, guards, sweep, telemetry, trajectories, turns as replays
 from trellium.sources import files
-from trellium.streaming import metrics
+from trellium.streaming import calls, metrics
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -144,7 +144,7 @@ def running_mean(spark, sf_dir):
 @query
 def expected_set(spark, sf_dir):
     nations, suppliers = read(spark, sf_dir, "nation"), read(spark, sf_dir, "supplier")
-    return evaluation.expect_set(suppliers.select(F.col("s_nationkey").alias("k")).where("k > 3").distinct(), nations.select(F.col("n_nationkey").alias("k")).where("k < 20"), ["k"])
+    return evaluation.expect_set(suppliers.select(F.col("s_nationkey").alias("k")).distinct(), nations.select(F.col("n_regionkey").alias("k")).distinct(), ["k"])
 
 
 @query
@@ -428,8 +428,8 @@ def eval_boundaries(spark, sf_dir):
 
 @query
 def mute_groups(spark, sf_dir):
-    episodes = read(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_returnflag").alias("terminal_reason"), F.when(F.col("l_quantity") > 49, F.col("l_linenumber")).otherwise(0).alias("generation_count"))
-    return guards.nothing_generated(episodes, ["l_suppkey"]).withColumn("reasons", F.array_join("reasons", ","))
+    episodes = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("terminal_reason"), F.when(F.col("l_quantity") > 20, F.col("l_linenumber")).otherwise(0).alias("generation_count"))
+    return guards.nothing_generated(episodes, ["l_orderkey"]).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query
@@ -452,9 +452,16 @@ def admission_window(spark, sf_dir):
 
 @query
 def call_outcomes(spark, sf_dir):
-    n = F.col("event_id") % 4
-    reply = F.when(n == 1, "partial").when(n == 2, "Error during execution: no").when(n == 3, "fine")
-    return read(spark, sf_dir, "events").groupBy(replays.outcome(reply, n >= 2).alias("outcome")).agg(F.count("*").alias("n"))
+    """Orders as calls, their first shipment as the reply, and customers as workers that are lost on a day."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call_id"), "o_custkey", F.to_timestamp("o_orderdate").alias("at"))
+    first = F.min(F.struct("l_shipdate", "l_linenumber", "l_returnflag")).alias("f")
+    received = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("call_id")).agg(first)
+    reply = F.concat(F.when(F.col("f.l_returnflag") == "R", F.lit("Error during execution: ")).otherwise(F.lit("")), F.col("f.l_returnflag"))
+    replies = received.select("call_id", F.to_timestamp("f.l_shipdate").alias("at"), reply.alias("reply"))
+    lost = read(spark, sf_dir, "customer").select("c_custkey", F.to_timestamp(F.date_add(F.lit("1992-01-01").cast("date"), F.floor((F.col("c_acctbal") + 1000) / 5).cast("int"))).alias("died"))
+    held = orders.join(lost, (F.col("o_custkey") == F.col("c_custkey")) & (F.col("died") >= F.col("at"))).groupBy("c_custkey", "died").agg(F.collect_list("call_id").alias("lost"))
+    signalled = calls.first_signals(calls.signals(replies, held.select("lost", F.col("died").alias("at"))))
+    return calls.outcomes(orders.drop("o_custkey"), signalled, "40 days").select("call_id", "outcome")
 
 
 @query
@@ -479,19 +486,22 @@ def eval_records(spark, sf_dir):
 
 @query
 def study_points(spark, sf_dir):
+    """The points of each supplier's study."""
     points = replays.study_points(["bf16", "fp8"], [(32, 4096), (64, 8192), (128, 16384)], ["precision", "seqs", "tokens"])
-    return spark.range(1).select(F.inline(points))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", F.inline(points))
 
 
 @query
 def ladder_lookup(spark, sf_dir):
-    ladder = spark.range(1, 7).select(F.col("id").cast("int").alias("config"))
-    return guards.looked_up(ladder, _points(spark, sf_dir).where("precision = 'O' and flag = 'N'").select("config", "throughput", "latency"), ["config"])
+    runs = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), *[F.col(c).alias(n) for c, n in (("l_linestatus", "precision"), ("l_returnflag", "flag"), ("l_linenumber", "config"))])
+    found = guards.looked_up(runs, _points(spark, sf_dir).select("precision", "flag", "config", "throughput", "latency"), ["precision", "flag", "config"])
+    return found.select("run", "config", "throughput", "latency")
 
 
 @query
 def strict_rows(spark, sf_dir):
-    parsed = read(spark, sf_dir, "events").withColumn("malformed_reason", F.when(F.col("event_id") % 9 == 0, "no task"))
+    task = F.regexp_extract("props", "[0-9]*[13579]\\b", 0)
+    parsed = read(spark, sf_dir, "events").withColumn("malformed_reason", F.when(task == "", "no odd number").when(F.col("event_type").contains("c"), "no task"))
     return guards.valid_rows(parsed).select("event_id")
 
 

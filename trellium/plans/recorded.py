@@ -169,17 +169,16 @@ def scheduler_events(spark, sf_dir):
     return turns.scheduler_log(advanced.join(starts, "user_id"), "user_id", "event_id", F.col("event_id") == F.col("start"))
 
 
-SQL["worker_crashes"] = """WITH e AS (SELECT DISTINCT l_orderkey AS position, l_suppkey % 10 AS worker, l_quantity AS opened FROM lineitem WHERE l_linenumber = 1), c AS (SELECT DISTINCT s_suppkey % 10 AS worker, round(s_acctbal / 250) AS t FROM supplier WHERE s_acctbal > 0)
-    SELECT position, worker, (SELECT min(t) FROM c WHERE c.worker = e.worker AND t >= opened AND t < opened + 5)::DOUBLE AS crashed_at,
-    CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.worker = e.worker AND t >= opened AND t < opened + 5) THEN 'worker_crash' ELSE 'finished' END AS outcome FROM e"""
+SQL["worker_crashes"] = """SELECT position, worker, crashed_at, outcome FROM (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS position, l_suppkey AS worker, CASE WHEN t >= l_quantity AND t < l_quantity + 5 THEN t END::DOUBLE AS crashed_at,
+    CASE WHEN t >= l_quantity AND t < l_quantity + 5 THEN 'worker_crash' ELSE 'finished' END AS outcome, l_quantity AS opened FROM lineitem LEFT JOIN (SELECT s_suppkey, round((s_acctbal + 1000) / 250) AS t FROM supplier) ON s_suppkey = l_suppkey)"""
 
 
 @query
 def worker_crashes(spark, sf_dir):
-    episodes = read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(
-        F.col("l_orderkey").alias("position"), F.expr("l_suppkey % 10").alias("worker"), F.lit(0).alias("attempt"), F.col("l_quantity").cast("double").alias("opened"), (F.col("l_quantity") + 5).cast("double").alias("ended")
+    episodes = read(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"), F.col("l_suppkey").alias("worker"), F.lit(0).alias("attempt"), F.col("l_quantity").cast("double").alias("opened"), (F.col("l_quantity") + 5).cast("double").alias("ended")
     )
-    crashes = read(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.expr("s_suppkey % 10").alias("worker"), F.round(F.col("s_acctbal") / 250).cast("double").alias("at")).distinct()
+    crashes = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("worker"), F.round((F.col("s_acctbal") + 1000) / 250).cast("double").alias("at"))
     return turns.replaced(crashes, episodes).select("position", "worker", "crashed_at", "outcome")
 
 
@@ -221,14 +220,15 @@ def adapter_summary(spark, sf_dir):
     return plugins.run(plugins.Exact(questions, "r1"), backend).select("category", "n_tasks", "score", "avg_tokens", "invalid_call_rate")
 
 
-SQL["stage_rows"] = """WITH s AS (SELECT CASE event_type WHEN 'click' THEN 'generation' WHEN 'view' THEN 'env.step' WHEN 'error' THEN 'verifier' END AS stage, value FROM events)
+_STAGES = (("click", "generation"), ("view", "env.step"), ("error", "verifier"), ("purchase", "parse"), ("signup", "tokenization"))
+SQL["stage_rows"] = f"""WITH s AS (SELECT CASE event_type {" ".join(f"WHEN '{e}' THEN '{s}'" for e, s in _STAGES)} END AS stage, value FROM events)
     SELECT stage, round(sum(value), 2) AS total_s, count(*) AS calls, max(value) AS max_s FROM s WHERE stage IS NOT NULL GROUP BY stage UNION ALL SELECT 'scheduling', round(1e9 - sum(value), 2), 7, 0 FROM s WHERE stage IS NOT NULL"""
 
 
 @query
 def stage_rows(spark, sf_dir):
-    names = F.when(F.col("event_type") == "click", "generation").when(F.col("event_type") == "view", "env.step").when(F.col("event_type") == "error", "verifier")
-    samples = read(spark, sf_dir, "events").select(names.alias("stage"), F.col("value").alias("seconds")).where("stage is not null")
+    names = F.create_map(*[F.lit(x) for pair in _STAGES for x in pair])
+    samples = read(spark, sf_dir, "events").select(names[F.col("event_type")].alias("stage"), F.col("value").alias("seconds")).where("stage is not null")
     none = spark.createDataFrame([], "stage string, start double, end double")
     return telemetry.stage_table(samples, none, 1e9, 7).select("stage", F.round("total_s", 2).alias("total_s"), "calls", "max_s")
 
