@@ -88,18 +88,24 @@ def numbered(rows: DataFrame, order: Sequence[str], out: str = "position", by: S
     return running(rows, order, F.lit(1).cast("long"), out, by).withColumn(out, F.col(out) - 1)
 
 
-#: Beyond so many values a quantile is looked for in a bracket only, this wide in share of the rows on each side.
-WHOLE, BRACKET, ACCURACY = 10_000, 0.001, 10_000
+#: Beyond so many values in a group a quantile is looked for in a bracket only, this wide in share of the rows on each side.
+WHOLE, BRACKET, ACCURACY = 1_000_000, 0.001, 10_000
 
 
 def ranked_value(df: DataFrame, by: Sequence[str], value: str, q: float, rank: Column) -> DataFrame:
     """by, p: the ``rank``-th smallest value of each group, exact; ``rank`` is made of the count ``n`` and lies near q * n.
 
-    An approximate quantile, whose error is bounded, brackets the value; what lies below the
+    Where all groups are small, which one count tells, they are ranked as they are. Else an
+    approximate quantile, whose error is bounded, brackets the value; what lies below the
     bracket is only counted, and the distinct values inside it are counted and ranked. So a
     group of any size is combined where it lies, and its window sees a few thousandths of it.
     """
     some = df.where(F.col(value).isNotNull())
+    largest = some.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) <= WHOLE:
+        group = Window.partitionBy(*by)
+        placed = some.select(*by, F.col(value).alias("p"), F.row_number().over(group.orderBy(value)).alias("_at"), F.count("*").over(group).alias("n"))
+        return placed.where(F.col("_at") == rank).select(*by, "p")
     spots = F.array(F.lit(max(0.0, q - BRACKET)), F.lit(min(1.0, q + BRACKET)))
     stats = some.groupBy(*by).agg(
         F.count("*").alias("n"), F.min(value).alias("_least"), F.max(value).alias("_most"), F.percentile_approx(value, spots, ACCURACY).alias("_b")
