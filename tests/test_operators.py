@@ -1,5 +1,6 @@
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +31,20 @@ def test_point_reasons_in_order(spark):
     assert got == {"a": "duplicate_repetition", "b": "failed_requests", "c": "preemptions", "d": None}
 
 
+@pytest.mark.parametrize("small", [1_000_000, 3])
+def test_points_have_exact_medians(spark, monkeypatch, small):
+    monkeypatch.setattr(ordered, "SMALL", small)
+    monkeypatch.setattr(ordered, "WHOLE", small)
+    rows = [(k, i, float((i * 37) % 101), float(i) if i % 5 else None, 0, 0) for k, n in (("a", 40), ("b", 41), (None, 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, repetition int, x double, y double, failed int, preemptions int")
+    got = {r["k"]: r for r in sweep.points(df, ["k"], ["x", "y"]).collect()}
+    for k in ("a", "b", None):
+        for m, at in (("x", 2), ("y", 3)):
+            values = [r[at] for r in rows if r[0] == k and r[at] is not None]
+            assert got[k][f"med_{m}"] == statistics.median(values) and (got[k][f"min_{m}"], got[k][f"max_{m}"]) == (min(values), max(values))
+        assert got[k]["n_runs"] == sum(r[0] == k for r in rows) and got[k]["valid"]
+
+
 def test_group_variance_case(spark):
     df = spark.createDataFrame([(0, 0.0), (0, 1.0), (1, 0.5), (1, 0.5)], "group_index int, reward double")
     r = evaluation.group_variance(df).first()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellium.operators import ordered
@@ -17,11 +18,21 @@ def points(runs: DataFrame, keys: Sequence[str], metrics: Sequence[str], expecte
 
     Needs repetition, failed and preemptions. Exact medians average the middle two.
     """
-    stats = [f(m).alias(f"{name}_{m}") for m in metrics for name, f in (("med", F.median), ("min", F.min), ("max", F.max))]
-    counted = runs.groupBy(*keys).agg(
-        F.count("*").alias("n_runs"), F.count_distinct("repetition").alias("n_repetitions"),
-        F.max("failed").alias("max_failed"), F.max("preemptions").alias("max_preemptions"), *stats,
-    )
+    ends = [f(m).alias(f"{name}_{m}") for m in metrics for name, f in (("min", F.min), ("max", F.max))]
+    counts = [
+        F.count("*").alias("n_runs"), F.count_distinct("repetition").alias("n_repetitions"), F.max("failed").alias("max_failed"), F.max("preemptions").alias("max_preemptions"),
+    ]
+    largest = runs.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) <= ordered.SMALL:
+        counted = runs.groupBy(*keys).agg(*counts, *[F.median(m).alias(f"med_{m}") for m in metrics], *ends)
+    else:
+        # a median keeps the distinct values of its group; of a large group only the two in the middle are looked for
+        parts = [runs.groupBy(*keys).agg(*counts, *ends)]
+        for m in metrics:
+            both = [ordered.ranked_value(runs, keys, m, 0.5, F.floor((F.col("n") + k) / 2)) for k in (1, 2)]
+            parts.append(both[0].unionByName(both[1]).groupBy(*keys).agg(F.avg("p").alias(f"med_{m}")))
+        whole = functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+        counted = whole.groupBy(*keys).agg(*[F.max(c).alias(c) for c in whole.columns if c not in keys])
     reason = (
         F.when((F.col("n_runs") != expected) if expected else F.lit(False), "run_count")
         .when(F.col("n_repetitions") != F.col("n_runs"), "duplicate_repetition")
@@ -47,14 +58,21 @@ def eligible(points_: DataFrame, ttft: float | None = None, tpot: float | None =
 def pareto(df: DataFrame, gain: str, cost: str, group: Sequence[str] = ()) -> DataFrame:
     """The rows that no other row of the group dominates; equal rows all stay, rows without gain or cost do not.
 
-    The least cost of each gain is combined before the shuffle; of these one stays if all
-    with more gain cost more, which is a running minimum along the gains, in ranges where a
-    group is large. What stays is the frontier, and the rows on it are those that meet it.
+    A row stays if no row with more gain has as little cost, and no row of its gain has
+    less cost. Groups of up to ``ordered.SMALL`` rows, which one count tells, are sorted by
+    windows. Else the least cost of each gain is combined before the shuffle, those that are
+    below a running minimum along the gains, in ranges, are the frontier, and the rows on it
+    are those that meet it.
     """
-    least = df.where(F.col(gain).isNotNull() & F.col(cost).isNotNull()).groupBy(*group, gain).agg(F.min(cost).alias("_least"))
+    sound = df.where(F.col(gain).isNotNull() & F.col(cost).isNotNull())
+    largest = sound.groupBy(*group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) <= ordered.SMALL:
+        ahead = Window.partitionBy(*group).orderBy(F.desc(gain)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        marked = sound.withColumns({"_least": F.min(cost).over(ahead), "_most": F.max(gain).over(Window.partitionBy(*group, cost))})
+        return marked.where((F.col(cost) == F.col("_least")) & (F.col(gain) == F.col("_most"))).drop("_least", "_most")
+    least = sound.groupBy(*group, gain).agg(F.min(cost).alias("_least"))
     turned = least.withColumns({"_down": -F.col(gain), "_cheap": -F.col("_least")})
-    ahead = ordered.largest_before(turned, ["_down"], "_cheap", "_ahead", group)
-    front = ahead.where("_ahead is null or _cheap > _ahead")
+    front = ordered.largest_before(turned, ["_down"], "_cheap", "_ahead", group).where("_ahead is null or _cheap > _ahead")
     keys = [*group, gain]
     met = front.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(keys)], "_least")
     same = F.col(cost) == F.col("_least")

@@ -358,3 +358,41 @@ def selftest_fractions(spark, sf_dir):
     want = F.when(k >= 50, 1).otherwise(0) + F.when(k != 7, 1).otherwise(0) + 1
     known = read(spark, sf_dir, "events").select("event_id", want.cast("long").alias("want"))
     return checks.exact_fractions(_checked(spark, sf_dir).join(known, "event_id"), ["event_id", "want"], F.col("want")).drop("want")
+
+
+SAID = "CASE WHEN role = 'assistant' THEN '<think>' || role || turn || ' </think>' || chr(10) || text WHEN turn % 3 = 2 THEN '<tool_response>' || text || '</tool_response>' ELSE ' ' || text END"
+THOUGHT_OF = "CASE WHEN turn % 4 = 3 THEN ' R' || turn END"
+_C = _bare("t")
+SQL["history_rendered"] = rf"""
+WITH s AS (SELECT conv_id, turn, role, {SAID} AS t, {THOUGHT_OF} AS r FROM conversations), c AS (SELECT *, {_C} AS b FROM s),
+a AS (SELECT conv_id, coalesce(max(turn) FILTER (role = 'user' AND NOT (starts_with(b, '<tool_response>') AND ends_with(b, '</tool_response>'))), -1) AS asked FROM c GROUP BY conv_id),
+p AS (SELECT conv_id, turn, role, b, asked, CASE WHEN r IS NULL THEN regexp_replace(list_extract(string_split(b, '</think>'), -1), '^\n+', '') ELSE b END AS answer,
+  coalesce(r, CASE WHEN strpos(b, '</think>') > 0 THEN list_extract(string_split(list_extract(string_split(b, '</think>'), 1), '<think>'), -1) END, '') AS thought FROM c JOIN a USING (conv_id))
+SELECT conv_id, sha256(string_agg(role || ':' || CASE WHEN role <> 'assistant' THEN b WHEN turn > asked THEN '<think>' || chr(10) || {_bare("thought")} || chr(10) || '</think>' || chr(10) || chr(10) || answer ELSE answer END, chr(10) ORDER BY turn)) AS rendered
+FROM p GROUP BY conv_id"""
+
+
+@query
+def history_rendered(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", F.expr(SAID).alias("content"), F.expr(THOUGHT_OF).alias("reasoning_content")).alias("m"))
+    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("messages"))
+    shown = F.transform(trajectories.with_history(F.col("messages")), lambda m: F.concat(m["role"], F.lit(":"), m["content"]))
+    return listed.select("conv_id", F.sha2(F.array_join(shown, "\n").cast("binary"), 256).alias("rendered"))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+SQL["tools_announced"] = f"""
+WITH t AS (SELECT c_nationkey, string_agg(chr(10) || '{{"name":"' || c_name || '"}}', '' ORDER BY c_name) FILTER (c_acctbal > 0) AS tools FROM customer GROUP BY c_nationkey)
+SELECT n_nationkey, sha256(CASE WHEN tools IS NULL THEN n_name ELSE {_quoted(trajectories.TOOLS_HEAD)} || tools || {_quoted(trajectories.TOOLS_TAIL)} || chr(10) || chr(10) || n_name END) AS prompt FROM nation LEFT JOIN t ON c_nationkey = n_nationkey"""
+
+
+@query
+def tools_announced(spark, sf_dir):
+    named = F.when(F.col("c_acctbal") > 0, F.concat(F.lit('{"name":"'), "c_name", F.lit('"}')))
+    tools = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(named)).alias("tools"))
+    met = read(spark, sf_dir, "nation").join(tools, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    listed = F.coalesce("tools", F.array().cast("array<string>"))
+    return met.select("n_nationkey", F.sha2(trajectories.tools_prompt(listed, F.concat(F.lit(" "), "n_name")).cast("binary"), 256).alias("prompt"))
