@@ -39,7 +39,16 @@ def probe(key: Column, words: Column, bits: int, hashes: int, seed: int) -> Colu
     return test
 
 
+def within(rows: DataFrame, key: str, words: DataFrame, bits: int, hashes: int, seed: int, held: bool = True) -> DataFrame:
+    """The rows whose key passes the filter of the one row of ``build``; with ``held`` false the others.
+
+    The words are broadcast. In the plan they would be part of its text, once a probe, and
+    the driver keeps the text of every plan.
+    """
+    return rows.join(F.broadcast(words), probe(F.col(key), F.col("bits"), bits, hashes, seed), "left_semi" if held else "left_anti")
+
+
 def literal(row: DataFrame) -> Column:
-    """The words of ``build`` as a literal of the plan; the caller has bounded their number."""
+    """The words of ``build`` as a literal of the plan, for filters whose size the tables do not set; the caller has bounded their number."""
     words = row.first()["bits"]
     return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")

@@ -553,8 +553,8 @@ def _class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, rule: Ru
     keyed = docs.select(row_key().alias("k"), "text")
     bits, hashes = bloom.plan(max(1, need.df.count()), 10.0)
     if bits <= MAX_BITS:
-        words = bloom.literal(bloom.build(need.df, "k", bits, hashes, 7))
-        keyed = keyed.where(bloom.probe(F.col("k"), words, bits, hashes, 7))
+        words = store(bloom.build(need.df, "k", bits, hashes, 7), "bloom")
+        keyed = bloom.within(keyed, "k", words.df, bits, hashes, 7)
     else:
         keyed = keyed.join(need.df, "k", "left_semi")
     return keyed.select("text").mapInArrow(_sets(rule, clashes), "v long, tokens binary")
@@ -602,8 +602,8 @@ def _sketched(base: DataFrame, wanted: DataFrame) -> Stored:
     some, rows_ = wanted.distinct(), base.where("v is not null").select("v", "n", "sketch")
     bits, hashes = bloom.plan(max(1, some.count()), 10.0)
     if bits <= MAX_BITS:
-        words = bloom.literal(bloom.build(some, "v", bits, hashes, 9))
-        rows_ = rows_.where(bloom.probe(F.col("v"), words, bits, hashes, 9))
+        words = store(bloom.build(some, "v", bits, hashes, 9), "bloom")
+        rows_ = bloom.within(rows_, "v", words.df, bits, hashes, 9)
     else:
         rows_ = rows_.join(some, "v", "left_semi")
     return store(rows_.groupBy("v").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
@@ -738,12 +738,13 @@ def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
     known.drop()
     bits, hashes = bloom.plan(max(1, touched.df.count()), 10.0)
     keyed = rows.carry(docs, key=row_key())
-    inside = F.lit(True)
-    if bits <= MAX_BITS:  # else every row takes the join
-        words = bloom.literal(bloom.build(touched.df, "k", bits, hashes, 8))
-        inside = bloom.probe(F.col("key"), words, bits, hashes, 8)
-    free = keyed.where(~inside).select("row")
-    decided = keyed.where(inside).join(touched.df.withColumnRenamed("k", "key"), "key", "left")
+    if bits <= MAX_BITS:
+        words = store(bloom.build(touched.df, "k", bits, hashes, 8), "bloom")
+        free = bloom.within(keyed, "key", words.df, bits, hashes, 8, held=False).select("row")
+        inside = bloom.within(keyed, "key", words.df, bits, hashes, 8)
+    else:  # every row takes the join
+        free, inside = keyed.where("false").select("row"), keyed
+    decided = inside.join(touched.df.withColumnRenamed("k", "key"), "key", "left")
     single = decided.where("keep is null").select("row")
     kept = decided.where("keep").dropDuplicates(["key"]).select("row")
     return free.unionByName(single).unionByName(kept).select(*rows.restore(docs.columns))
