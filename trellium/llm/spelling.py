@@ -13,7 +13,8 @@ Scale. Texts are read once; counts are combined before the shuffle, so a word th
 third of all texts hold is a row per task there. The vocabulary is written once. Its join
 is an equi-join of two plain exchanges, whose hot keys adaptive execution splits, and
 gives verified pairs only, each once: a pair that agrees in several bands or both halves
-counts in the first. Each form is at least ``RATIO`` times as frequent as its word, so
+counts in the first. Joins of the vocabulary are merges by hint: Spark's estimate of a side does not count
+the rows that ``explode`` makes of a word, and would broadcast millions of them through the driver. Each form is at least ``RATIO`` times as frequent as its word, so
 the number of doublings is bounded by the logarithm of the largest count's logarithm.
 
 Defined results. A null text has no words; a null doc_id is an empty one. Repeated rows
@@ -91,8 +92,8 @@ def near_pairs(vocab: DataFrame) -> DataFrame:
     for band in range(1, BANDS):
         for earlier in range(band):
             new_band = new_band & ((F.col("a.band") != band) | (F.col(f"a.m{earlier}") != F.col(f"b.m{earlier}")))
-    pairs = a.join(
-        b,
+    pairs = a.hint("merge").join(
+        b.hint("merge"),
         (F.col("a.key") == F.col("b.key")) & (F.col("a.base") == F.col("b.base")) & (F.col("a.half") == F.col("b.half")) & (F.col("a.band") == F.col("b.band"))
         & ((F.col("b.size") > F.col("a.size")) | (F.col("a.word") < F.col("b.word")))
         & (differ <= 2) & new_band & new_half & (F.levenshtein("a.word", "b.word", 1) == 1),
@@ -107,7 +108,7 @@ def _roots(links: DataFrame, largest: int, ratio: int, least: int) -> DataFrame:
     held = store(links, "forms")
     for _ in range((steps - 1).bit_length()):
         further = held.df.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        later = store(held.df.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root")), "forms")
+        later = store(held.df.join(further.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root")), "forms")
         held.drop()
         held = later
     return held.df
@@ -121,7 +122,7 @@ def group(vocab: DataFrame, ratio: int = RATIO, least: int = LEAST_COUNT) -> Dat
     near = near_pairs(words.df).groupBy(F.col("word").alias("to")).agg(F.count("*").alias("near"), best.alias("best"))
     with_form = -F.col("best.m") >= ratio * F.col("n")
     formed = store(
-        words.df.join(near, F.col("word") == F.col("to"), "left").select(
+        words.df.join(near.hint("merge"), F.col("word") == F.col("to"), "left").select(
             "word", "n", F.coalesce("near", F.lit(0)).cast("long").alias("n_near"),
             F.when(with_form, F.col("best.other")).alias("form"), F.when(with_form, -F.col("best.m")).alias("form_n"),
         ),
@@ -130,5 +131,5 @@ def group(vocab: DataFrame, ratio: int = RATIO, least: int = LEAST_COUNT) -> Dat
     words.drop()
     largest = formed.df.agg(F.max("n")).first()[0] or least
     last = _roots(formed.df.where("form is not null").select("word", F.col("form").alias("root")), largest, ratio, least)
-    known = formed.df.join(last.withColumnRenamed("word", "of"), F.col("word") == F.col("of"), "left")
+    known = formed.df.join(last.withColumnRenamed("word", "of").hint("merge"), F.col("word") == F.col("of"), "left")
     return known.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
