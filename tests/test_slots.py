@@ -87,3 +87,17 @@ def test_a_failure_that_repeats_is_an_error(spark):
     assert [r["attempt"] for r in slots.episode_slots(events, 99.0, most=3).orderBy("attempt").collect()] == [0, 1, 2]
     with pytest.raises(Exception, match="position 1 has more than 2 replacements"):
         slots.episode_slots(events, 99.0, most=2).collect()
+
+
+def test_a_table_is_replayed_without_a_state_store(spark):
+    """Odd rows too: no worker, no time, and workers whose events lie in several batches."""
+    rows = [*STORY, (None, 1.0, 0, "open", 7, 0), (None, 2.0, 0, "final_answer", 7, 0), ("z", 1.0, 0, "open", 8, 0), ("z", None, 0, "final_answer", 8, 0)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = slots.episode_slots(spark.createDataFrame(rows, EVENTS), 20.0)
+        assert "TransformWithState" not in out._jdf.queryExecution().toString()
+        got = {(r["worker"], r["episode_id"]): r["terminal_reason"] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {(w[0], w[1]): w[8] for w in WANT} | {(None, "7"): "final_answer", ("z", "8"): "final_answer"}

@@ -4,8 +4,9 @@ A worker's state are the slots that are open on it (a map by position), the stag
 intervals of their episodes (a list) and the deadline of its timer (a value). An episode
 is ``ready``, ``generating`` or ``tool``, and ``done`` once it is emitted. A crash retires
 every episode that its worker holds, and opens the next attempt of each, named ``~n``; what
-an earlier attempt still brings is stale and ignored. The same function serves tables and
-streams; on a stream a timer ends episodes that are silent beyond their budget.
+an earlier attempt still brings is stale and ignored. The same transitions serve tables and
+streams; on a stream a timer ends episodes that are silent beyond their budget. A table
+needs no state store: its events are sorted by worker and time, and replayed in one pass.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -155,6 +157,29 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.replace("string,array", "string;array").split(", ")])
 
 
+def _replayed(budget_s: float, most: int):
+    """Over rows (worker, at, event, position, attempt) sorted by worker and time: what ends, with the state of one worker at a time."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "map<string,array<double>>": pa.map_(pa.string(), pa.list_(pa.float64()))}
+    fields = [x.split(" ") for x in OUT.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, current = Slots(budget_s, most, "None"), object()
+        slots: dict[int, dict] = {}
+        timings: dict[int, dict[str, list[float]]] = {}
+        for batch in batches:
+            out: list[tuple] = []
+            for worker, at, event, position, attempt in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if worker != current:
+                    current, slots, timings = worker, {}, {}
+                out += machine._event(worker, slots, timings, at, event, position, attempt)
+            if out:
+                *plain, stages = zip(*out, strict=True)
+                columns = [*plain, [list(x.items()) for x in stages]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
+
+    return run
+
+
 def episode_slots(events: DataFrame, budget_s: float, most: int = 3, clock: str = "None", late: str = "1 millisecond") -> DataFrame:
     """An OUT row for every episode that ends, of events (worker, at, seq, event, position, attempt).
 
@@ -167,10 +192,14 @@ def episode_slots(events: DataFrame, budget_s: float, most: int = 3, clock: str
     ``ProcessingTime``, where ``at`` must be the machine's; None for tables.
     """
     spark = events.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    _ = spark.streams.active  # tables keep state in the stores of streams, which this starts
     cast = {"worker": "string", "at": "double", "seq": "long", "event": "string", "position": "long", "attempt": "int"}
     given = events.select(*[F.col(c).cast(t).alias(c) for c, t in cast.items()])
+    if clock == "None" and not events.isStreaming:
+        timed = given.withColumn("at", F.coalesce("at", F.lit(float("nan")))).repartition("worker")
+        placed = timed.sortWithinPartitions("worker", "at", F.asc_nulls_last("seq")).select("worker", "at", "event", "position", "attempt")
+        return placed.mapInArrow(_replayed(budget_s, most), OUT)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    _ = spark.streams.active  # tables keep state in the stores of streams, which this starts
     if clock == "EventTime":
         # a watermark drops what is not above it, and starts at 0
         given = given.withColumn("_ts", F.timestamp_millis((F.col("at") * 1000).cast("long") + 1)).withWatermark("_ts", late)
