@@ -91,8 +91,11 @@ class _Value:
 
     def of_kind(self, kind: str) -> Column:
         """The value as a number, text or flag; null if it is of another kind."""
+        if self.kind is None and kind == "number":
+            # whole numbers are read as what they are: a variant's own conversion makes a new cast by value
+            return self.bind(lambda v: F.when(v.type() == "BIGINT", v.got("bigint").cast("double")).when(_is(v.type(), kind), v.got("double")))
         if self.kind is None:
-            return self.bind(lambda v: F.when(_is(v.type(), kind), v.got(HELD[kind])))
+            return self.bind(lambda v: F.when(v.type() == kind, v.got(HELD[kind])))
         return (self.column if self.kind == kind else F.lit(None)).cast(HELD[kind])
 
     def array(self) -> Column:
@@ -119,7 +122,7 @@ class _Value:
 
         def of(v: _Value, type_: Column) -> Column:
             return (
-                F.when(type_ == "BOOLEAN", v.got("boolean")).when(_is(type_, "number"), v.got("double") != 0).when(type_ == "VOID", False).otherwise(v.size() > 0)
+                F.when(type_ == "BOOLEAN", v.got("boolean")).when(type_ == "BIGINT", v.got("bigint") != 0).when(_is(type_, "number"), v.got("double") != 0).when(type_ == "VOID", False).otherwise(v.size() > 0)
             )
 
         return self.bind(lambda v: bound(v.type(), lambda t: of(v, t)))
@@ -151,8 +154,7 @@ def _equal(a: _Value, b: _Value) -> Column:
         return F.when(a.defined() & b.defined(), a.kind == b.kind)
     if a.kind == "VOID":
         return b.bind(lambda b: F.when(b.defined(), F.is_variant_null(b.variant())))
-    # the value is compared before its kind is looked up: most values differ
-    same = lambda a, b: b.got(HELD[a.kind]).eqNullSafe(a.column.cast(HELD[a.kind])) & _is(b.type(), a.kind)
+    same = lambda a, b: F.coalesce(a.of_kind(a.kind) == b.of_kind(a.kind), F.lit(False))
     return a.bind(lambda a: b.bind(lambda b: F.when(a.defined() & b.defined(), same(a, b))))
 
 
