@@ -29,3 +29,8 @@ def test_workers_crash_more_than_once(spark):
     assert rows.count() == spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity").distinct().count()
     crashed = rows.where("crashed_at is not null").groupBy("worker").agg(F.countDistinct("crashed_at").alias("c")).collect()
     assert len(crashed) == 10 and all(r["c"] > 1 for r in crashed)
+
+
+def test_events_are_spread_before_conditions_are_judged(spark, sf):
+    """A small file is one task's, and judging is what takes the time."""
+    assert queries.REGISTRY["state_conditions"](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
